@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import explode_structs, let
 from ..functions.rules import DEFAULT_RULES, Rule, may_match, text_spans
+from .tokens import first_tokens
 
 
 class Detector(Protocol):
@@ -130,14 +131,8 @@ def aggregate_first(token_preds: DataFrame) -> DataFrame:
     Input rows hold ``doc_id`` and ``tokens``, an array of structs ``word_id,
     word_start, word_end, tag, score`` in order, as a tagger returns them.
     """
-    firsts = F.filter(
-        F.col("tokens"),
-        lambda t, i: F.coalesce(
-            t["word_id"] != F.get(F.col("tokens"), i - 1)["word_id"], F.lit(True)
-        ),
-    )
     words = F.transform(
-        firsts,
+        first_tokens(F.col("tokens")),
         lambda t: F.struct(
             t["word_start"].alias("start"), t["word_end"].alias("end"), t["tag"], t["score"]
         ),

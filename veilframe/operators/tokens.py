@@ -96,15 +96,21 @@ def word_tokens(df: DataFrame, text: str = "text", max_length: int | None = None
     return explode_structs(with_tokens(df, text, max_length), ["doc_id"], F.col("tokens"))
 
 
+def first_tokens(tokens: Column) -> Column:
+    """The first token of every word."""
+    return let(
+        tokens,
+        lambda ts: F.filter(
+            ts,
+            lambda t, i: F.coalesce(t["word_id"] != F.get(ts, i - 1)["word_id"], F.lit(True)),
+        ),
+    )
+
+
 def word_spans(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per word: the union of its tokens' spans."""
     words = F.transform(
-        F.filter(
-            F.col("tokens"),
-            lambda t, i: F.coalesce(
-                t["word_id"] != F.get(F.col("tokens"), i - 1)["word_id"], F.lit(True)
-            ),
-        ),
+        first_tokens(F.col("tokens")),
         lambda t: F.struct(
             t["word_id"].alias("word_id"), t["word_start"].alias("start"), t["word_end"].alias("end")
         ),

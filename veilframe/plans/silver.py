@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..operators.detect import RuleDetector
 from ..sources.tables import documents
 
@@ -52,3 +53,10 @@ def disturbed(doc_id: Column, masks: Column) -> Column:
             F.when(digit(m).isin("3", "4"), F.lit("TEL")).otherwise(m["label"]).alias("label"),
         ),
     )
+
+
+def scored_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus with predicted masks next to the silver ones."""
+    rows = corpus(spark, sf_dir)
+    predicted = let(F.col("privacy_mask"), lambda ms: disturbed(F.col("doc_id"), ms))
+    return rows.withColumn("predicted_mask", predicted)

@@ -1,5 +1,5 @@
 """Importing the modules fills the registry."""
 
-from . import REGISTRY, text
+from . import REGISTRY, labels, text
 
-__all__ = ["REGISTRY", "text"]
+__all__ = ["REGISTRY", "labels", "text"]

@@ -143,3 +143,104 @@ RESOLVED_MEMBERS = (
 )
 MASK_MEMBERS = (DOCS, rule_spans("whole_spans", "docs"), MASKS)
 SPLIT = "CASE WHEN substring(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '3' THEN 'validation' ELSE 'train' END"
+
+
+# ---- labels and alignment ----
+
+VOCAB = """
+vocab AS (
+  SELECT 'O' AS label, 0 AS label_id, CAST(NULL AS VARCHAR) AS entity, 'O' AS bio
+  UNION ALL
+  SELECT b.bio || '-' || v.label, CAST(1 + 2 * (v.i - 1) + b.k AS INT), v.label, b.bio
+  FROM (SELECT label, row_number() OVER (ORDER BY doc_id, mask_idx) AS i FROM (
+          SELECT label, doc_id, mask_idx, row_number() OVER (PARTITION BY label ORDER BY doc_id, mask_idx) AS rn
+          FROM masks) WHERE rn = 1) v,
+       (VALUES ('B', 0), ('I', 1)) b(bio, k))"""
+
+PREDICTED = """
+pmasks AS (
+  SELECT doc_id, mask_idx, "start", "end" + CASE WHEN h IN ('5', '6') THEN 8 ELSE 0 END AS "end",
+         CASE WHEN h IN ('3', '4') THEN 'TEL' ELSE label END AS label
+  FROM (SELECT *, substring(md5(doc_id || ':' || "start" || ':' || label), 1, 1) AS h FROM masks) WHERE h > '2')"""
+
+
+def tagged(name: str, masks: str, mode: str) -> str:
+    """Tokens with the tag of ``masks`` under an alignment mode."""
+    if mode in ("word_union", "word_union_sticky"):
+        before = (
+            "lag(ent) OVER (PARTITION BY doc_id ORDER BY token_idx)"
+            if mode == "word_union"
+            else "last_value(ent IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY token_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        )
+        return f"""
+{name} AS (
+  SELECT doc_id, token_idx, word_id, "start", "end", word_start, word_end, text,
+         CASE WHEN ent IS NULL THEN 'O'
+              WHEN "start" > word_start OR before = ent THEN 'I-' || ent ELSE 'B-' || ent END AS tag
+  FROM (SELECT *, {before} AS before
+        FROM (SELECT t.*, m.label AS ent FROM wtok t
+              LEFT JOIN (SELECT w.doc_id, w.word_id, max(k.mask_idx) AS mask_idx
+                         FROM (SELECT DISTINCT doc_id, word_id, word_start, word_end FROM wtok) w
+                         JOIN {masks} k ON w.doc_id = k.doc_id AND w.word_start < k."end" AND w.word_end > k."start"
+                         GROUP BY 1, 2) x ON t.doc_id = x.doc_id AND t.word_id = x.word_id
+              LEFT JOIN {masks} m ON m.doc_id = x.doc_id AND m.mask_idx = x.mask_idx)))"""
+    touch = (
+        't."start" >= k."start" AND t."end" <= k."end"'
+        if mode == "contain"
+        else 't."end" > k."start" AND t."start" < k."end"'
+    )
+    begins = 't."start" = m."start"' if mode == "contain" else 't."start" <= m."start"'
+    return f"""
+{name} AS (
+  SELECT t.doc_id, t.token_idx, t.word_id, t."start", t."end", t.word_start, t.word_end, t.text,
+         CASE WHEN m.label IS NULL THEN 'O' WHEN {begins} THEN 'B-' || m.label ELSE 'I-' || m.label END AS tag
+  FROM wtok t
+  LEFT JOIN (SELECT t.doc_id, t.token_idx, min(k.mask_idx) AS mask_idx FROM wtok t
+             JOIN {masks} k ON t.doc_id = k.doc_id AND {touch} GROUP BY 1, 2) x
+         ON t.doc_id = x.doc_id AND t.token_idx = x.token_idx
+  LEFT JOIN {masks} m ON m.doc_id = x.doc_id AND m.mask_idx = x.mask_idx)"""
+
+
+TAG_MEMBERS = (*MASK_MEMBERS, TOKENS, WORDS)
+
+PAIRS = """
+pairs AS (SELECT g.doc_id, g.token_idx, g.text, g."start", g.word_start, g.tag AS gold, p.tag AS pred
+          FROM gtag g JOIN ptag p ON g.doc_id = p.doc_id AND g.token_idx = p.token_idx),
+kept AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY token_idx) - 1 AS INT) AS i
+         FROM pairs WHERE gold = 'O' OR "start" = word_start)"""
+
+PAIR_MEMBERS = (
+    *TAG_MEMBERS, PREDICTED, tagged("gtag", "masks", "word_union"), tagged("ptag", "pmasks", "word_union"), PAIRS,
+)
+
+
+def iob_spans(name: str, tag: str) -> str:
+    """Lenient IOB spans over the kept tokens."""
+    return f"""
+{name} AS (
+  SELECT doc_id, any_value(typ) AS label, min(i) AS "first", max(i) AS "last"
+  FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS grp
+        FROM (SELECT doc_id, i, typ, CASE WHEN {tag} LIKE 'B-%' OR before IS NULL OR before <> typ THEN 1 ELSE 0 END AS opens
+              FROM (SELECT doc_id, i, {tag}, substring({tag}, 3) AS typ,
+                           CASE WHEN lag({tag}) OVER (PARTITION BY doc_id ORDER BY i) <> 'O'
+                                THEN substring(lag({tag}) OVER (PARTITION BY doc_id ORDER BY i), 3) END AS before
+                    FROM kept) WHERE {tag} <> 'O'))
+  GROUP BY doc_id, grp)"""
+
+
+SPAN_MEMBERS = (*PAIR_MEMBERS, iob_spans("gspans", "gold"), iob_spans("pspans", "pred"))
+
+COUNTS = """
+counts AS (
+  SELECT coalesce(g.label, p.label) AS label,
+         count(*) FILTER (g.label IS NOT NULL AND p.label IS NOT NULL) AS tp,
+         count(g.label) AS n_true, count(p.label) AS n_pred
+  FROM gspans g FULL JOIN pspans p
+    ON g.doc_id = p.doc_id AND g.label = p.label AND g."first" = p."first" AND g."last" = p."last"
+  GROUP BY 1),
+rates AS (
+  SELECT label, tp, n_true, n_pred, precision, recall,
+         CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1
+  FROM (SELECT *, CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0 END AS precision,
+                  CASE WHEN n_true > 0 THEN tp / n_true ELSE 0 END AS recall FROM counts))"""
+SCORE_MEMBERS = (*SPAN_MEMBERS, COUNTS)
