@@ -45,16 +45,34 @@ def with_rates(counts: DataFrame) -> DataFrame:
     )
 
 
-def span_counts(true: DataFrame, pred: DataFrame) -> DataFrame:
+def stack_spans(true: DataFrame, pred: DataFrame) -> DataFrame:
+    """Gold and predicted spans under each other, marked ``t`` and ``p``."""
+    return true.select(*SPAN_KEY, F.lit(1).alias("t"), F.lit(0).alias("p")).unionByName(
+        pred.select(*SPAN_KEY, F.lit(0).alias("t"), F.lit(1).alias("p"))
+    )
+
+
+def stack_sequences(sequences: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
+    """The same from rows that hold both arrays of tags, in one pass over them."""
+
+    def marked(tags: str, t: int, p: int) -> Column:
+        return F.transform(
+            tag_spans(F.col(tags)),
+            lambda s: F.struct(
+                s["label"], s["first"], s["last"], F.lit(t).alias("t"), F.lit(p).alias("p")
+            ),
+        )
+
+    return explode_structs(sequences, ["doc_id"], F.concat(marked(gold, 1, 0), marked(pred, 0, 1)))
+
+
+def span_counts(stacked: DataFrame) -> DataFrame:
     """``label, tp, n_true, n_pred``; a match needs document, label and both ends.
 
-    Both sides are stacked and reduced on the span itself, which combines before
-    the shuffle and spreads even one hot label or document.
+    Both sides are reduced on the span itself, which combines before the shuffle
+    and spreads even one hot label or document.
     """
-    both = true.select(*SPAN_KEY, F.lit(1).alias("t"), F.lit(0).alias("p")).unionByName(
-        pred.select(*SPAN_KEY, F.lit(0).alias("t"), F.lit(1).alias("p"))
-    )
-    spans = both.groupBy(*SPAN_KEY).agg(F.max("t").alias("t"), F.max("p").alias("p"))
+    spans = stacked.groupBy(*SPAN_KEY).agg(F.max("t").alias("t"), F.max("p").alias("p"))
     return spans.groupBy("label").agg(
         F.sum(F.col("t") * F.col("p")).alias("tp"),
         F.sum("t").alias("n_true"),
@@ -62,15 +80,15 @@ def span_counts(true: DataFrame, pred: DataFrame) -> DataFrame:
     )
 
 
-def entity_scores(true: DataFrame, pred: DataFrame) -> DataFrame:
+def entity_scores(stacked: DataFrame) -> DataFrame:
     """``label, precision, recall, f1, support`` per entity type."""
-    rated = with_rates(span_counts(true, pred))
+    rated = with_rates(span_counts(stacked))
     return rated.select("label", "precision", "recall", "f1", F.col("n_true").alias("support"))
 
 
-def overall_scores(true: DataFrame, pred: DataFrame) -> DataFrame:
+def overall_scores(stacked: DataFrame) -> DataFrame:
     """Micro precision, recall and F1 over all spans, and the mean F1 over types."""
-    per_label = with_rates(span_counts(true, pred))
+    per_label = with_rates(span_counts(stacked))
     total = per_label.agg(
         F.coalesce(F.sum("tp"), F.lit(0)).alias("tp"),
         F.coalesce(F.sum("n_true"), F.lit(0)).alias("n_true"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.format import fixed
+
 # The entity types a report lists, in this order.
 ENTITY_LABELS = [
     "BOD", "BUILDING", "CITY", "COUNTRY", "DATE", "DRIVERLICENSE", "EMAIL", "GEOCOORD",
@@ -77,7 +79,7 @@ def prediction_table(sequences: DataFrame, n: int = 50) -> DataFrame:
         joined("text").alias("sequence"),
         joined("gold").alias("true_labels"),
         joined("pred").alias("pred_labels"),
-        F.concat(F.format_string("%.2f", percent), F.lit("%")).alias("accuracy"),
+        F.concat(fixed(percent, 2), F.lit("%")).alias("accuracy"),
     )
 
 
@@ -92,7 +94,7 @@ def entity_report(scores: DataFrame, worst: int | None = None) -> DataFrame:
     else:
         place, kept = F.struct("f1", "label"), known.orderBy("f1", "label").limit(worst)
     line = F.concat(
-        F.lit("| "), "label", F.lit(" | "), F.format_string("%.4f", "f1"), F.lit(" | "),
+        F.lit("| "), "label", F.lit(" | "), fixed(F.col("f1"), 4), F.lit(" | "),
         F.coalesce(F.col("support").cast("string"), F.lit("None")), F.lit(" |\n"),
     )
     lines = F.array_sort(F.collect_list(F.struct(place.alias("place"), line.alias("line"))))
@@ -155,7 +157,7 @@ def best_metrics(logs: DataFrame) -> DataFrame:
 def compare_runs(registry: DataFrame, scores: DataFrame) -> DataFrame:
     """One Markdown row per registered model with its score."""
     row = F.format_string(
-        "| [%s](%s) | %.4f | %s | %s | %s |",
-        "model_name", "link", "eval_f1", "size_label", "speed_label", "best_for",
+        "| [%s](%s) | %s | %s | %s | %s |",
+        "model_name", "link", fixed(F.col("eval_f1"), 4), "size_label", "speed_label", "best_for",
     )
     return registry.join(scores.select("run", "eval_f1"), "run").select("run", row.alias("row"))

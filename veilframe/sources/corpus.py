@@ -11,7 +11,7 @@ CORPUS_SCHEMA = (
 )
 VOCAB_SCHEMA = "label string, label_id int, entity string, bio string"
 LABEL_INFO_SCHEMA = (
-    "entities array<string>, label2id map<string,int>, id2label map<int,string>, "
+    "entities array<string>, label2id map<string,int>, id2label map<string,string>, "
     "all_entities_counted map<string,bigint>, train_counted_entities map<string,bigint>"
 )
 
@@ -76,4 +76,5 @@ def write_label_info(info: DataFrame, path: str, mode: str = "error") -> None:
 
 def read_label_info(spark: SparkSession, path: str) -> DataFrame:
     """Ids are text in JSON and come back as integers."""
-    return spark.read.schema(LABEL_INFO_SCHEMA).json(path)
+    info = spark.read.schema(LABEL_INFO_SCHEMA).json(path)
+    return info.withColumn("id2label", F.transform_keys("id2label", lambda k, _: k.cast("int")))
