@@ -49,13 +49,20 @@ def logical_split(text: Column, end: Column, lookback: int = LOOKBACK) -> Column
     return split_after(F.substring(text, begin + 1, end - begin), end)
 
 
-def chunk_array(
-    text: Column, tokens: Column, ends: Column, max_length: int = 512, stride: float = 0.5
-) -> Column:
-    """Overlapping chunks as ``array<struct<chunk_id,start,end,first_token,end_token>>``.
+CHUNK = "struct<chunk_id:int,start:int,end:int,first_token:int,end_token:int>"
+
+
+def span_length(tokens: Column, first: Column, stop: Column) -> Column:
+    """Characters in tokens ``first`` to ``stop``, without the offsets of all tokens."""
+    return F.length(F.array_join(F.slice(tokens, first + 1, stop - first), ""))
+
+
+def chunk_array(text: Column, tokens: Column, max_length: int = 512, stride: float = 0.5) -> Column:
+    """Overlapping chunks as an array of structs; see ``CHUNK`` for the fields.
 
     Every next start depends on where the previous chunk snapped, so this is a
-    fold; one step touches only the tokens near a boundary.
+    fold. One step reads the tokens of one chunk, so the whole is linear in the
+    text. ``tokens`` may be empty for a text known to be a single chunk.
     """
     if not 0 < stride < 1:
         raise ValueError("stride must lie in (0, 1)")
@@ -63,65 +70,71 @@ def chunk_array(
     overlap = int(max_length * stride)
     progress = max(1, budget - LOOKBACK - 1 - overlap)
 
-    def start_of(t: Column) -> Column:
-        return F.when(t <= 0, F.lit(0)).otherwise(F.element_at(ends, F.greatest(t, F.lit(1))))
+    def edge(stop: Column, end: Column) -> Column:
+        return F.struct(stop.alias("stop"), end.alias("end"))
 
-    def end_of(t: Column) -> Column:
-        return F.element_at(ends, F.greatest(t, F.lit(1)))
-
-    def snap(first: Column, stop: Column) -> Column:
-        near = F.greatest(first, stop - LOOKBACK - 1)
-        tail_from = F.greatest(F.lit(0), stop - LOOKBACK)
+    def snapped(first: Column, begin: Column, at: Column) -> Column:
+        """Leave out the tokens that start after the split point before ``at``."""
+        near = F.greatest(F.lit(0), at["stop"] - LOOKBACK)
         tail = F.substring(
-            F.array_join(F.slice(tokens, tail_from + 1, stop - tail_from), ""), -LOOKBACK, LOOKBACK
+            F.array_join(F.slice(tokens, near + 1, at["stop"] - near), ""), -LOOKBACK, LOOKBACK
         )
-
-        def walk(candidate: Column) -> Column:
-            # tokens at or after `near` that begin past the candidate are left out
-            late = F.size(
-                F.filter(F.sequence(near, stop - 1), lambda t: start_of(t) > candidate)
-            )
-            return F.when(start_of(first) > candidate, stop).otherwise(stop - late)
-
-        return let(split_after(tail, end_of(stop)), walk)
-
-    def cut(first: Column, n: Column) -> Column:
-        return let(
-            F.least(first + budget, n),
-            lambda stop: F.when(stop < n, snap(first, stop)).otherwise(stop),
+        behind = F.greatest(first, at["stop"] - LOOKBACK - 1)
+        backwards = F.reverse(F.slice(tokens, behind + 1, at["stop"] - behind))
+
+        def walk(limit: Column) -> Column:
+            def back(acc: Column, token: Column) -> Column:
+                start = acc["end"] - F.length(token)
+                return F.when(acc["done"] | (start <= limit), F.struct(acc["stop"], acc["end"], F.lit(True).alias("done"))).otherwise(
+                    F.struct((acc["stop"] - 1).alias("stop"), start.alias("end"), F.lit(False).alias("done"))
+                )
+
+            zero = F.struct(at["stop"].alias("stop"), at["end"].alias("end"), F.lit(False).alias("done"))
+            kept = F.aggregate(backwards, zero, back, lambda acc: edge(acc["stop"], acc["end"]))
+            return F.when(begin > limit, at).otherwise(kept)
+
+        return let(split_after(tail, at["end"]), walk)
+
+    def step(acc: Column, n: Column) -> Column:
+        first, begin = acc["first"], acc["begin"]
+        tentative = let(
+            F.least(first + budget, n), lambda stop: edge(stop, begin + span_length(tokens, first, stop))
         )
-
-    def step(acc: Column, _: Column, n: Column) -> Column:
-        first = acc["first"]
-        moved = let(
-            cut(first, n),
-            lambda stop: F.struct(
-                F.when(stop >= n, n)
-                .when(stop - overlap <= first, first + 1)
-                .otherwise(stop - overlap)
-                .alias("first"),
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            F.size(acc["out"]).alias("chunk_id"),
-                            start_of(first).alias("start"),
-                            F.when(stop >= n, F.length(text)).otherwise(end_of(stop)).alias("end"),
-                            first.alias("first_token"),
-                            stop.alias("end_token"),
-                        )
-                    ),
-                ).alias("out"),
+        final = let(
+            tentative,
+            lambda at: F.when(at["stop"] < n, snapped(first, begin, at)).otherwise(
+                edge(n, F.length(text))
             ),
         )
-        return F.when(first >= n, acc).otherwise(moved)
 
-    kind = "array<struct<chunk_id:int,start:int,end:int,first_token:int,end_token:int>>"
+        def moved(at: Column) -> Column:
+            following = F.when(at["stop"] >= n, n).otherwise(
+                F.greatest(at["stop"] - overlap, first + 1)
+            )
+            chunk = F.struct(
+                F.size(acc["out"]).alias("chunk_id"),
+                begin.alias("start"),
+                at["end"].alias("end"),
+                first.alias("first_token"),
+                at["stop"].alias("end_token"),
+            )
+            return let(
+                following,
+                lambda f: F.struct(
+                    f.alias("first"),
+                    (at["end"] - span_length(tokens, f, at["stop"])).alias("begin"),
+                    F.concat(acc["out"], F.array(chunk)).alias("out"),
+                ),
+            )
+
+        return F.when(first >= n, acc).otherwise(let(final, moved))
 
     def fold(n: Column) -> Column:
         steps = F.sequence(F.lit(0), F.ceil(n / F.lit(progress)).cast("int"))
-        zero = F.struct(F.lit(0).alias("first"), F.array().cast(kind).alias("out"))
-        return F.aggregate(steps, zero, lambda acc, i: step(acc, i, n), lambda acc: acc["out"])
+        zero = F.struct(
+            F.lit(0).alias("first"), F.lit(0).alias("begin"), F.array().cast(f"array<{CHUNK}>").alias("out")
+        )
+        return F.aggregate(steps, zero, lambda acc, _: step(acc, n), lambda acc: acc["out"])
 
     whole = F.array(
         F.struct(
@@ -132,7 +145,7 @@ def chunk_array(
             F.size(tokens).alias("end_token"),
         )
     )
-    return F.when(F.size(tokens) <= max_length, whole.cast(kind)).otherwise(
+    return F.when(F.size(tokens) <= max_length, whole.cast(f"array<{CHUNK}>")).otherwise(
         let(F.size(tokens), fold)
     )
 

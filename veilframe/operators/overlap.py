@@ -22,11 +22,11 @@ def resolve_overlaps(spans: DataFrame, segment: int = SEGMENT_CHARS) -> DataFram
     best = F.max(F.struct("score", (-F.col("chunk_id")).alias("c"), (-F.col("pos")).alias("p"), "label"))
     distinct = spans.groupBy("doc_id", "start", "end").agg(best.alias("b"))
     reach = running_max(
-        distinct, "doc_id", "start", ["start", "end"], F.col("end"), "reach", segment, inclusive=False
+        distinct, ["doc_id"], "start", ["start", "end"], F.col("end"), "reach", segment, inclusive=False
     )
     opens = F.col("reach").isNull() | (F.col("start") >= F.col("reach"))
     grouped = running_max(
-        reach, "doc_id", "start", ["start", "end"], F.when(opens, F.col("start")), "group_start",
+        reach, ["doc_id"], "start", ["start", "end"], F.when(opens, F.col("start")), "group_start",
         segment, inclusive=True,
     )
     winner = F.max(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,15 +11,9 @@ from ..functions.arrays import explode_structs, let, running_total
 from ..functions.text import SPECIAL_TOKENS, chunk_array, chunk_string, starts_word, token_strings
 
 
-def with_token_strings(df: DataFrame, text: str = "text", only: Column | None = None) -> DataFrame:
-    """Add ``_tok`` (token strings) and ``_ends`` (their exclusive end offsets).
-
-    Where ``only`` is false the text is not tokenised and both arrays are empty.
-    """
-    strings = token_strings(F.col(text))
-    if only is not None:
-        strings = F.when(only, strings).otherwise(F.array().cast("array<string>"))
-    return df.withColumn("_tok", strings).withColumn(
+def with_token_strings(df: DataFrame, text: str = "text") -> DataFrame:
+    """Add ``_tok`` (token strings) and ``_ends`` (their exclusive end offsets)."""
+    return df.withColumn("_tok", token_strings(F.col(text))).withColumn(
         "_ends", running_total(F.transform("_tok", lambda t: F.length(t)))
     )
 
@@ -129,6 +125,24 @@ def truncate_tokens(tokens: DataFrame, max_length: int = 512) -> DataFrame:
     return tokens.where(F.col("token_idx") < max_length - SPECIAL_TOKENS)
 
 
+def chunks_of(
+    text: Column, max_length: int, stride: float, only: Column | None, body: Callable[[Column, Column], Column]
+) -> Column:
+    """``body(chunks, tokens)`` for one text.
+
+    A text no longer than ``max_length`` characters cannot hold more tokens than
+    that, so it is one chunk without tokenising. So is a text for which ``only``
+    is false: a caller that needs no chunks of it says so there.
+    """
+    long = F.length(text) > max_length
+    wanted = long if only is None else long & only
+    strings = F.when(wanted, token_strings(text)).otherwise(F.array().cast("array<string>"))
+    return let(
+        strings,
+        lambda ts: let(chunk_array(text, ts, max_length, stride), lambda cs: body(cs, ts)),
+    )
+
+
 def with_chunks(
     df: DataFrame,
     text: str = "text",
@@ -136,28 +150,20 @@ def with_chunks(
     stride: float = 0.5,
     only: Column | None = None,
 ) -> DataFrame:
-    """Add ``chunks``: structs ``chunk_id, start, end, text``.
+    """Add ``chunks``: structs ``chunk_id, start, end, text``; see ``chunks_of`` for ``only``."""
 
-    A text no longer than ``max_length`` characters cannot hold more tokens than
-    that, so it is one chunk without tokenising. So is a text for which ``only``
-    is false: a caller that needs no chunks of it says so there.
-    """
-    long = F.length(text) > max_length
-    out = with_token_strings(df, text, long if only is None else long & only)
-
-    def with_text(cs):
+    def with_text(cs: Column, ts: Column) -> Column:
         return F.transform(
             cs,
             lambda c: F.struct(
                 c["chunk_id"].alias("chunk_id"),
                 c["start"].alias("start"),
                 c["end"].alias("end"),
-                chunk_string(F.col(text), F.col("_tok"), F.size(cs), c).alias("text"),
+                chunk_string(F.col(text), ts, F.size(cs), c).alias("text"),
             ),
         )
 
-    spans = chunk_array(F.col(text), F.col("_tok"), F.col("_ends"), max_length, stride)
-    return out.withColumn("chunks", let(spans, with_text)).drop("_tok", "_ends")
+    return df.withColumn("chunks", chunks_of(F.col(text), max_length, stride, only, with_text))
 
 
 def chunk_text(
@@ -171,9 +177,8 @@ def chunk_spans(
     df: DataFrame, text: str = "text", max_length: int = 512, stride: float = 0.5
 ) -> DataFrame:
     """Rows ``doc_id, chunk_id, start, end``: overlapping windows that cover the text."""
-    out = with_token_strings(df, text, F.length(text) > max_length)
-    spans = F.transform(
-        chunk_array(F.col(text), F.col("_tok"), F.col("_ends"), max_length, stride),
-        lambda c: F.struct(c["chunk_id"], c["start"], c["end"]),
-    )
-    return explode_structs(out, ["doc_id"], spans)
+
+    def spans(cs: Column, _: Column) -> Column:
+        return F.transform(cs, lambda c: F.struct(c["chunk_id"], c["start"], c["end"]))
+
+    return explode_structs(df, ["doc_id"], chunks_of(F.col(text), max_length, stride, None, spans))

@@ -1,5 +1,5 @@
 """Importing the modules fills the registry."""
 
-from . import REGISTRY, labels, requests, scores, text
+from . import REGISTRY, labels, learned, requests, scores, text
 
-__all__ = ["REGISTRY", "labels", "requests", "scores", "text"]
+__all__ = ["REGISTRY", "labels", "learned", "requests", "scores", "text"]
