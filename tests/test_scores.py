@@ -83,9 +83,9 @@ def test_decode(spark):
 
 
 def test_html_and_table(spark):
-    tokens = [("<b>", "O", "O"), ("x", "B-A", "B-A"), ("y", "B-A", "O"), ("&", "O", "B-B")]
+    tokens = [(("<b>",), "O", "O"), (("x",), "B-A", "B-A"), (("y",), "B-A", "O"), (("&",), "O", "B-B")]
     df = spark.createDataFrame(
-        [(i, tokens) for i in range(3)], "doc_id long, tokens array<struct<text:string,gold:string,pred:string>>"
+        [(i, tokens) for i in range(3)], "doc_id long, tokens array<struct<token:struct<text:string>,gold:string,pred:string>>"
     )
     rows = rep.annotate_html(df, limit=2).collect()
     assert len(rows) == 2

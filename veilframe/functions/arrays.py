@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 BLOCK = 32
 
@@ -54,23 +51,6 @@ def running_ends(lengths: Column) -> Column:
     return let(lengths, lambda ls: F.slice(F.flatten(over(blocks(ls))), F.lit(2), F.size(ls)))
 
 
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def running_total(values: pa.Array) -> pa.Array:
-    """Running sum inside each array of a column, one vectorised pass per batch.
-
-    No built-in gives an in-array prefix sum in linear time, and a window over
-    the exploded elements would shuffle every token.
-    """
-    offsets = values.offsets.to_numpy()
-    flat = values.values.to_numpy(zero_copy_only=False)
-    sums = np.concatenate([[0], np.cumsum(flat, dtype=np.int64)])
-    base = np.repeat(sums[offsets[:-1]], np.diff(offsets))
-    inside = sums[offsets[0] + 1 : offsets[-1] + 1] - base
-    return pa.ListArray.from_arrays(
-        pa.array(offsets - offsets[0], pa.int32()), pa.array(inside, pa.int32()), mask=values.is_null()
-    )
-
-
 def explode_structs(df: DataFrame, keys: list, structs: Column) -> DataFrame:
     """One row per struct, its fields as columns; empty arrays give no row.
 

@@ -23,11 +23,12 @@ def entity(tag: Column) -> Column:
     return F.regexp_replace(tag, "^[BI]-", "")
 
 
-def mask_per_token(tokens: Column, masks: Column, mode: str) -> Column:
-    """For every token the deciding mask, or null, as an array parallel to ``tokens``.
+def labelled_tokens(tokens: Column, masks: Column, mode: str) -> Column:
+    """Tokens decided by a mask, as structs ``i, word_id, start, mask_start, label``.
 
     Tokens are taken in blocks and each block looks only at the masks that reach
-    into it, so a long text with many masks does not compare all with all.
+    into it, so a long text with many masks does not compare all with all, and
+    stretches without masks cost next to nothing.
     """
     by_word = mode in (WORD_UNION, WORD_UNION_STICKY)
     begin, stop = ("word_start", "word_end") if by_word else ("start", "end")
@@ -41,85 +42,65 @@ def mask_per_token(tokens: Column, masks: Column, mode: str) -> Column:
         first, last = F.get(block, F.lit(0)), F.element_at(block, -1)
         return F.filter(masks, lambda m: (m["start"] < last[stop]) & (m["end"] > first[begin]))
 
-    def decide(token: Column, candidates: Column) -> Column:
+    def decided(token: Column, candidates: Column) -> Column:
         hits = F.filter(candidates, lambda m: touches(token, m))
         # by word the last mask wins, by token the first
-        return F.get(hits, F.size(hits) - 1) if by_word else F.get(hits, F.lit(0))
+        hit = F.get(hits, F.size(hits) - 1) if by_word else F.get(hits, F.lit(0))
+        return F.struct(
+            token["token_idx"].alias("i"),
+            token["word_id"].alias("word_id"),
+            token["start"].alias("start"),
+            hit["start"].alias("mask_start"),
+            hit["label"].alias("label"),
+        )
 
     def of_block(block: Column) -> Column:
-        return let(near(block), lambda ms: F.transform(block, lambda t: F.when(F.size(ms) > 0, decide(t, ms))))
+        return let(
+            near(block),
+            lambda ms: F.when(
+                F.size(ms) > 0,
+                F.filter(F.transform(block, lambda t: decided(t, ms)), lambda x: x["label"].isNotNull()),
+            ).otherwise(F.array().cast(LABELLED)),
+        )
 
     return F.flatten(F.transform(blocks(tokens, HIT_BLOCK), of_block))
 
 
+LABELLED = "array<struct<i:int,word_id:int,start:int,mask_start:int,label:string>>"
+
+
 def bio_tags(tokens: Column, masks: Column, mode: str = WORD_UNION) -> Column:
-    """BIO tag per token, parallel to ``tokens``."""
+    """BIO tag per token, parallel to ``tokens``.
+
+    Tags are settled among the labelled tokens alone; the O stretches between
+    them are filled in whole.
+    """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
 
-    def tag(hits: Column) -> Column:
-        if mode in (CONTAIN, OVERLAP):
-            return F.transform(tokens, lambda t, i: by_position(t, F.get(hits, i)))
+    def continues(x: Column, before: Column) -> Column:
+        if mode == CONTAIN:
+            return x["start"] != x["mask_start"]
+        if mode == OVERLAP:
+            return x["start"] > x["mask_start"]
+        same = (x["word_id"] == before["word_id"]) | (x["label"] == before["label"])
         if mode == WORD_UNION:
-            return F.transform(
-                tokens, lambda t, i: by_run(t, F.get(hits, i), F.get(tokens, i - 1), F.get(hits, i - 1))
-            )
-        return sticky(hits)
-
-    def by_position(token: Column, hit: Column) -> Column:
-        begins = (
-            token["start"] == hit["start"] if mode == CONTAIN else token["start"] <= hit["start"]
-        )
-        return (
-            F.when(hit.isNull(), F.lit("O"))
-            .when(begins, F.concat(F.lit("B-"), hit["label"]))
-            .otherwise(F.concat(F.lit("I-"), hit["label"]))
-        )
-
-    def by_run(token: Column, hit: Column, before: Column, before_hit: Column) -> Column:
-        continues = (token["word_id"] == before["word_id"]) | (hit["label"] == before_hit["label"])
-        return (
-            F.when(hit.isNull(), F.lit("O"))
-            .when(F.coalesce(continues, F.lit(False)), F.concat(F.lit("I-"), hit["label"]))
-            .otherwise(F.concat(F.lit("B-"), hit["label"]))
-        )
-
-    def sticky(hits: Column) -> Column:
-        # Among the labelled tokens alone the previous label is the element before.
-        numbered = F.transform(
-            tokens, lambda t, i: F.struct(i.alias("i"), t["word_id"].alias("word_id"), F.get(hits, i)["label"].alias("label"))
-        )
-        labelled = F.filter(numbered, lambda x: x["label"].isNotNull())
-
-        def tags_of(ls: Column) -> Column:
-            pairs = F.transform(
-                ls,
-                lambda x, k: F.struct(
-                    x["i"].cast("string").alias("key"),
-                    F.concat(
-                        F.when(
-                            F.coalesce(
-                                (F.get(ls, k - 1)["word_id"] == x["word_id"])
-                                | (F.get(ls, k - 1)["label"] == x["label"]),
-                                F.lit(False),
-                            ),
-                            F.lit("I-"),
-                        ).otherwise(F.lit("B-")),
-                        x["label"],
-                    ).alias("value"),
-                    x["i"].alias("i"),
-                ),
-            )
-            plain = F.transform(
-                F.filter(numbered, lambda x: x["label"].isNull()),
-                lambda x: F.struct(x["i"].alias("i"), F.lit("O").alias("tag")),
-            )
-            marked = F.transform(pairs, lambda p: F.struct(p["i"].alias("i"), p["value"].alias("tag")))
-            return F.transform(F.array_sort(F.concat(plain, marked)), lambda x: x["tag"])
-
-        return let(labelled, tags_of)
-
-    return let(mask_per_token(tokens, masks, mode), tag)
+            same = same & (before["i"] == x["i"] - 1)
+        return F.coalesce(same, F.lit(False))
+
+    def stretch(x: Column, before: Column) -> Column:
+        mark = F.when(continues(x, before), F.lit("I-")).otherwise(F.lit("B-"))
+        gap = x["i"] - F.coalesce(before["i"], F.lit(-1)) - 1
+        return F.concat(F.array_repeat(F.lit("O"), gap), F.array(F.concat(mark, x["label"])))
+
+    def dense(ls: Column) -> Column:
+        marked = F.flatten(F.transform(ls, lambda x, k: stretch(x, F.get(ls, k - 1))))
+        rest = F.size(tokens) - F.coalesce(F.element_at(ls, -1)["i"], F.lit(-1)) - 1
+        return F.concat(marked, F.array_repeat(F.lit("O"), rest))
+
+    plain = F.array_repeat(F.lit("O"), F.size(tokens))
+    some = let(labelled_tokens(tokens, masks, mode), lambda ls: F.when(F.size(ls) > 0, dense(ls)).otherwise(plain))
+    return F.when(F.size(masks) > 0, some).otherwise(plain)
 
 
 def tag_spans(tags: Column) -> Column:

@@ -28,10 +28,6 @@ def token_strings(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
-def starts_word(token: Column) -> Column:
-    return token.rlike(rf"^[{WS}]")
-
-
 def split_after(tail: Column, end: Column) -> Column:
     """Natural split position given the text just before ``end``."""
     back = let(F.reverse(tail), lambda rev: _first_found(rev, end))

@@ -32,18 +32,18 @@ def align(
 
     Text and masks share a row, so this is a projection and an explode.
     """
-    tagged = with_tags(with_tokens(corpus, text, max_length), mode)
-    return explode_structs(tagged, ["doc_id"], tagged_tokens("tokens", "tags"))
+    return tagged_rows(with_tags(with_tokens(corpus, text, max_length), mode))
+
+
+def tagged_rows(tagged: DataFrame, tags: str = "tags") -> DataFrame:
+    """The token rows of documents with parallel arrays ``tokens`` and tags."""
+    rows = explode_structs(tagged, ["doc_id"], tagged_tokens("tokens", tags))
+    return rows.select("doc_id", "token.*", "tag")
 
 
 def tagged_tokens(tokens: str, tags: str) -> Column:
-    fields = ["token_idx", "word_id", "start", "end", "word_start", "word_end", "text"]
-    return let(
-        F.col(tags),
-        lambda gs: F.transform(
-            tokens, lambda t, i: F.struct(*[t[f].alias(f) for f in fields], F.get(gs, i).alias("tag"))
-        ),
-    )
+    """Structs ``token, tag``."""
+    return F.arrays_zip(F.col(tokens).alias("token"), F.col(tags).alias("tag"))
 
 
 def encode_labels(tokens: DataFrame, vocab: DataFrame, unknown: int | None = None) -> DataFrame:
@@ -90,10 +90,12 @@ def stray_tokens(corpus: DataFrame, tokens: str = "tokens", tags: str = "tags")
 
     stray = let(
         F.col("privacy_mask"),
-        lambda ms: F.filter(tagged_tokens(tokens, tags), lambda t: (t["tag"] != "O") & ~touched(t, ms)),
+        lambda ms: F.filter(
+            tagged_tokens(tokens, tags), lambda t: (t["tag"] != "O") & ~touched(t["token"], ms)
+        ),
     )
-    shown = F.transform(stray, lambda t: F.struct(t["token_idx"], t["start"], t["end"], t["tag"]))
-    return explode_structs(corpus, ["doc_id"], shown)
+    rows = explode_structs(corpus, ["doc_id"], stray)
+    return rows.select("doc_id", "token.token_idx", "token.start", "token.end", "tag")
 
 
 def audit_alignment(corpus: DataFrame, tags: str = "tags") -> DataFrame:
@@ -105,7 +107,7 @@ def audit_alignment(corpus: DataFrame, tags: str = "tags") -> DataFrame:
     kept = F.size(
         F.filter(
             tagged_tokens("tokens", tags),
-            lambda t: (t["tag"] == "O") | (t["start"] == t["word_start"]),
+            lambda t: (t["tag"] == "O") | (t["token"]["start"] == t["token"]["word_start"]),
         )
     )
     return corpus.select(

@@ -7,89 +7,46 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import explode_structs, let, running_total
-from ..functions.text import SPECIAL_TOKENS, chunk_array, chunk_string, starts_word, token_strings
+from ..functions.arrays import explode_structs, let
+from ..functions.layout import FIELDS, token_layout
+from ..functions.text import SPECIAL_TOKENS, chunk_array, chunk_string, token_strings
 
 
-def with_token_strings(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``_tok`` (token strings) and ``_ends`` (their exclusive end offsets)."""
-    return df.withColumn("_tok", token_strings(F.col(text))).withColumn(
-        "_ends", running_total(F.transform("_tok", lambda t: F.length(t)))
-    )
+def with_layout(df: DataFrame, text: str = "text", max_length: int | None = None) -> DataFrame:
+    """Add ``_tok`` (token strings) and ``_lay`` (parallel arrays of offsets and words)."""
+    kept = token_strings(F.col(text))
+    if max_length is not None:
+        kept = F.slice(kept, 1, max_length - SPECIAL_TOKENS)
+    return df.withColumn("_tok", kept).withColumn("_lay", token_layout("_tok"))
+
+
+def zipped(*fields: str) -> Column:
+    """Layout arrays zipped into structs with their position and text."""
+    n = F.size("_tok")
+    index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    kind = ",".join(["token_idx:int", *[f"{f}:int" for f in fields], "text:string"])
+    parts = [F.col("_lay")[f] for f in fields]
+    return F.arrays_zip(index, *parts, F.col("_tok")).cast(f"array<struct<{kind}>>")
 
 
 def with_tokens(df: DataFrame, text: str = "text", max_length: int | None = None) -> DataFrame:
-    """Add ``tokens``: structs ``token_idx, word_id, start, end, word_start, word_end, text``.
+    """Add ``tokens``: structs ``token_idx, start, end, word_id, word_start, word_end, text``.
 
     ``max_length`` cuts before words are built and counts the special tokens a
     model adds, so a word at the cut spans its kept tokens only.
     """
-    kept = token_strings(F.col(text))
-    if max_length is not None:
-        kept = F.slice(kept, 1, max_length - SPECIAL_TOKENS)
-    out = (
-        df.withColumn("_tok", kept)
-        .withColumn("_ends", running_total(F.transform("_tok", lambda t: F.length(t))))
-        .withColumn(
-            "_word",
-            running_total(
-                F.transform(
-                    "_tok",
-                    lambda t, i: F.when((i == 0) | starts_word(t), F.lit(1)).otherwise(F.lit(0)),
-                )
-            ),
-        )
-    )
-    ends, word, tok = F.col("_ends"), F.col("_word"), F.col("_tok")
-    n = F.size(tok)
-    firsts = F.filter(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: (i == 0) | (F.get(word, i) != F.get(word, F.greatest(i - 1, F.lit(0)))),
-    )
-
-    def start_of(i):
-        return F.when(i == 0, F.lit(0)).otherwise(F.get(ends, F.greatest(i - 1, F.lit(0))))
-
-    def build(fs):
-        return F.transform(
-            tok,
-            lambda t, i: F.struct(
-                i.alias("token_idx"),
-                (F.get(word, i) - 1).alias("word_id"),
-                start_of(i).alias("start"),
-                F.get(ends, i).alias("end"),
-                start_of(F.get(fs, F.get(word, i) - 1)).alias("word_start"),
-                F.get(ends, F.coalesce(F.get(fs, F.get(word, i)), n) - 1).alias("word_end"),
-                t.alias("text"),
-            ),
-        )
-
-    kind = (
-        "array<struct<token_idx:int,word_id:int,start:int,end:int,"
-        "word_start:int,word_end:int,text:string>>"
-    )
-    tokens = F.when(n > 0, let(firsts, build)).otherwise(F.array().cast(kind))
-    return out.withColumn("tokens", tokens).drop("_tok", "_ends", "_word")
+    out = with_layout(df, text, max_length)
+    return out.withColumn("tokens", zipped(*FIELDS)).drop("_tok", "_lay")
 
 
 def tokenize(df: DataFrame, text: str = "text") -> DataFrame:
     """Rows ``doc_id, token_idx, start, end, text``; the tokens join back to the text."""
-    out = with_token_strings(df.select("doc_id", F.col(text).alias("_text")), "_text")
-    rows = F.transform(
-        "_tok",
-        lambda t, i: F.struct(
-            i.alias("token_idx"),
-            (F.get(F.col("_ends"), i) - F.length(t)).alias("start"),
-            F.get(F.col("_ends"), i).alias("end"),
-            t.alias("text"),
-        ),
-    )
-    return explode_structs(out, ["doc_id"], rows)
+    return explode_structs(with_layout(df, text), ["doc_id"], zipped("start", "end"))
 
 
 def word_tokens(df: DataFrame, text: str = "text", max_length: int | None = None) -> DataFrame:
     """Tokens with the word they belong to and that word's span."""
-    return explode_structs(with_tokens(df, text, max_length), ["doc_id"], F.col("tokens"))
+    return explode_structs(with_layout(df, text, max_length), ["doc_id"], zipped(*FIELDS))
 
 
 def first_tokens(tokens: Column) -> Column:

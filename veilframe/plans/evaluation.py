@@ -5,40 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import explode_structs, let
+from ..functions.arrays import explode_structs
 from ..operators.alignment import with_tags
 from ..operators.tokens import with_tokens
 
 
 def tagged_pairs(corpus: DataFrame, predicted: str = "predicted_mask") -> DataFrame:
-    """``doc_id, tokens``: structs ``token_idx, start, word_start, text, gold, pred``.
+    """``doc_id, tokens``: structs ``token, gold, pred``.
 
     Tokens are cut once and both sides are projected onto them in the same row.
     """
     tagged = with_tokens(corpus, "source_text")
     tagged = with_tags(tagged, masks="privacy_mask", alias="_gold")
     tagged = with_tags(tagged, masks=predicted, alias="_pred")
-    fields = ["token_idx", "start", "word_start", "text"]
-    pairs = let(
-        F.col("_gold"),
-        lambda gold: let(
-            F.col("_pred"),
-            lambda pred: F.transform(
-                "tokens",
-                lambda t, i: F.struct(
-                    *[t[f].alias(f) for f in fields],
-                    F.get(gold, i).alias("gold"),
-                    F.get(pred, i).alias("pred"),
-                ),
-            ),
-        ),
+    pairs = F.arrays_zip(
+        F.col("tokens").alias("token"), F.col("_gold").alias("gold"), F.col("_pred").alias("pred")
     )
     return tagged.select("doc_id", pairs.alias("tokens"))
 
 
 def kept_sequences(pairs: DataFrame) -> DataFrame:
     """Only the tokens that count: later tokens of a labelled word are ignored."""
-    kept = F.filter("tokens", lambda t: (t["gold"] == "O") | (t["start"] == t["word_start"]))
+    kept = F.filter(
+        "tokens", lambda t: (t["gold"] == "O") | (t["token"]["start"] == t["token"]["word_start"])
+    )
     return pairs.select("doc_id", kept.alias("tokens"))
 
 
@@ -46,12 +36,12 @@ def tag_columns(sequences: DataFrame) -> DataFrame:
     """``doc_id, gold, pred`` as arrays of tags."""
     return sequences.select(
         "doc_id",
-        F.transform("tokens", lambda t: t["gold"]).alias("gold"),
-        F.transform("tokens", lambda t: t["pred"]).alias("pred"),
+        F.col("tokens.gold").alias("gold"),
+        F.col("tokens.pred").alias("pred"),
     )
 
 
 def token_rows(sequences: DataFrame) -> DataFrame:
     """Rows ``doc_id, token_idx, text, gold, pred``."""
-    rows = F.transform("tokens", lambda t: F.struct(t["token_idx"], t["text"], t["gold"], t["pred"]))
-    return explode_structs(sequences, ["doc_id"], rows)
+    rows = explode_structs(sequences, ["doc_id"], F.col("tokens"))
+    return rows.select("doc_id", "token.token_idx", "token.text", "gold", "pred")

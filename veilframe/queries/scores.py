@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.arrays import explode_structs
 from ..functions.format import fixed
 from ..operators import evaluate as ev
 from ..operators import reports as rep
@@ -45,9 +46,8 @@ def g2(spark, sf):
     rows = scored_corpus(spark, sf)
     both = mask_rows(rows, "doc_id").unionByName(mask_rows(rows, "doc_id", masks="predicted_mask"))
     vocab = build_vocab(both)
-    fields = ("token_idx", "start", "word_start", "gold", "pred")
-    tokens = tagged_pairs(rows).select("doc_id", F.inline_outer("tokens")).where(F.col("token_idx").isNotNull())
-    tokens = tokens.select("doc_id", *fields).withColumn("word_id", F.lit(0))
+    pairs = explode_structs(tagged_pairs(rows), ["doc_id"], F.col("tokens"))
+    tokens = pairs.select("doc_id", "token.*", "gold", "pred")
     gold = encode_labels(tokens.withColumnRenamed("gold", "tag"), vocab).withColumnRenamed("label_id", "gold_id")
     pred = encode_labels(
         gold.drop("tag").withColumnRenamed("pred", "tag").withColumn("start", F.col("word_start")), vocab
