@@ -34,6 +34,7 @@ class Rule:
 
 # Entity labels with a regular form and the form itself.
 DIGIT = "[0-9]"
+KEYED = "(?:token|password|passwd|secret|username|user|login) *[=:]"
 DEFAULT_RULES = [
     Rule("EMAIL", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0.99, needs="@"),
     Rule("IP", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", 0.95, needs=DIGIT),
@@ -59,17 +60,17 @@ DEFAULT_RULES = [
         r'[^ \t\n\f\r"]{6,}',
         0.9,
         before='(?:token|password|passwd|secret) *[=:] *"?',
-        needs="[=:]",
+        needs=KEYED,
     ),
     Rule(
         "USERNAME",
         r"[A-Za-z0-9._-]{3,}",
         0.6,
         before='(?:username|user|login) *[=:] *"?',
-        needs="[=:]",
+        needs=KEYED,
     ),
-    Rule("TITLE", r"(?:Mr|Mrs|Ms|Dr|Prof)\.", 0.5, before=r"^|[^\p{L}]", needs=r"[rsf]\."),
-    Rule("SEX", r"[Mm]ale|[Ff]emale", 0.35, before=r"^|[^\p{L}]", needs="ale"),
+    Rule("TITLE", r"(?:Mr|Mrs|Ms|Dr|Prof)\.", 0.5, before=r"^|[^\p{L}]", needs=r"(?:Mr|Mrs|Ms|Dr|Prof)\."),
+    Rule("SEX", r"[Mm]ale|[Ff]emale", 0.35, before=r"^|[^\p{L}]", needs="[Mm]ale"),
 ]
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.bounded import broadcast_if_small
 from ..functions.tags import CONTAIN, OVERLAP, WORD_UNION, WORD_UNION_STICKY
 from ..operators import labels as lab
 from ..operators import rows
@@ -289,7 +290,7 @@ _LATER = 'g."start" > g.word_start'
 
 def encoded(spark, sf, mode=WORD_UNION, unknown=None):
     rows_ = corpus(spark, sf)
-    vocab = lab.build_vocab(masks(spark, sf))
+    vocab = broadcast_if_small(lab.build_vocab(masks(spark, sf)))
     return encode_labels(align(rows_, mode), vocab, unknown), vocab
 
 

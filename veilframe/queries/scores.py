@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.arrays import explode_structs
+from ..functions.bounded import broadcast_if_small
 from ..functions.format import fixed
 from ..operators import evaluate as ev
 from ..operators import reports as rep
@@ -45,7 +46,7 @@ def g2(spark, sf):
     """Tags to ids of the shared vocabulary, then back through the decoder."""
     rows = scored_corpus(spark, sf)
     both = mask_rows(rows, "doc_id").unionByName(mask_rows(rows, "doc_id", masks="predicted_mask"))
-    vocab = build_vocab(both)
+    vocab = broadcast_if_small(build_vocab(both))
     pairs = explode_structs(tagged_pairs(rows), ["doc_id"], F.col("tokens"))
     tokens = pairs.select("doc_id", "token.*", "gold", "pred")
     gold = encode_labels(tokens.withColumnRenamed("gold", "tag"), vocab).withColumnRenamed("label_id", "gold_id")
