@@ -123,3 +123,23 @@ def doc_scores(tokens: DataFrame) -> DataFrame:
 
 def worst_labels(scores: DataFrame, k: int = 7) -> DataFrame:
     return scores.orderBy("f1", "label").limit(k)
+
+
+def flat_metrics(stacked: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Rows ``metric, value``: overall rates, accuracy, and F1 and support per type."""
+
+    def unpivoted(df: DataFrame, named: dict) -> DataFrame:
+        pairs = [
+            F.struct(metric.alias("metric"), F.col(value).cast("double").alias("value"))
+            for value, metric in named.items()
+        ]
+        return df.select(F.inline(F.array(*pairs)))
+
+    overall = {"precision": "precision", "recall": "recall", "micro_f1": "f1"}
+    parts = unpivoted(overall_scores(stacked), {c: F.lit(name) for c, name in overall.items()})
+    accuracy = unpivoted(token_accuracy(tokens), {"accuracy": F.lit("accuracy")})
+    per_type = unpivoted(
+        entity_scores(stacked),
+        {c: F.concat("label", F.lit(f"_{c}")) for c in ("f1", "support")},
+    )
+    return parts.unionByName(accuracy).unionByName(per_type)

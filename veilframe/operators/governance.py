@@ -65,7 +65,7 @@ def request_log(requests: DataFrame) -> DataFrame:
         "client_id": client_id(F.col("api_key"), F.col("host")),
         "duration_ms": F.round(F.col("duration") * 1000, 2),
         "text_length": F.length("text"),
-        "entity_count": F.size("entities"),
+        "entity_count": F.when(F.col("entities").isNotNull(), F.size("entities")),
     }
     fields = [values.get(f, F.col(f)).alias(f) for f in LOG_FIELDS]
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")

@@ -103,20 +103,21 @@ def entity_report(scores: DataFrame, worst: int | None = None) -> DataFrame:
 def best_log(logs: DataFrame) -> DataFrame:
     """Per run: newest checkpoint, its best step, and the first log there with an F1.
 
-    ``logs`` holds ``run, checkpoint, best_step, pos, step, eval_f1``. Two
-    aggregations that combine before their shuffle; a run without a match keeps
-    a null F1.
+    ``logs`` holds ``run, checkpoint, best_step, pos, step, eval_f1`` and may hold
+    ``best_checkpoint``. Two aggregations that combine before their shuffle; a
+    run without a match keeps a null F1.
     """
+    named = [c for c in ("best_step", "best_checkpoint") if c in logs.columns]
     hit = (F.col("step") == F.col("best_step")) & F.col("eval_f1").isNotNull()
     per_checkpoint = logs.groupBy("run", "checkpoint").agg(
-        F.max("best_step").alias("best_step"),
+        *[F.max(c).alias(c) for c in named],
         F.min(F.when(hit, F.struct("pos", "eval_f1"))).alias("log"),
     )
-    newest = F.max(F.struct("checkpoint", "best_step", "log")).alias("n")
+    newest = F.max(F.struct("checkpoint", *named, "log")).alias("n")
     return per_checkpoint.groupBy("run").agg(newest).select(
         "run",
         F.col("n.checkpoint").alias("checkpoint"),
-        F.col("n.best_step").alias("best_step"),
+        *[F.col(f"n.{c}").alias(c) for c in named],
         F.col("n.log.eval_f1").alias("eval_f1"),
     )
 

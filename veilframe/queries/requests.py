@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.governance import client_id, client_ip, daily_quota, request_log, validate_requests
 from ..plans.redact import redact_documents
+from ..plans.requests import serve_requests, served_log
 from ..session import shared_dir
 from ..sources.tables import documents, spread, table
 from ..sources.texts import read_redactions, read_texts, redaction_json, write_redactions
@@ -208,3 +209,60 @@ def j1(spark, sf):
     query.awaitTermination()
     out = spark.read.parquet(f"{base}/out")
     return out.select("doc_id", "redacted", "entity_count", entity_line(F.col("entities")).alias("entities"))
+
+
+_SERVED = """
+rq AS (SELECT doc_id, 'd' || doc_id AS request_id, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * doc_id AS ts, text, source AS host,
+         CASE WHEN length(text) > 10000 THEN 'too_long' END AS reason, n_chars / 100000 AS duration FROM documents),
+adm AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 422
+           WHEN row_number() OVER (PARTITION BY host, CAST(ts AS DATE), reason IS NULL ORDER BY ts, request_id) > 10 THEN 429
+           ELSE 200 END AS status_code FROM rq)"""
+
+
+def served(spark, sf):
+    docs = spread(table(spark, sf, "documents"))
+    rows = docs.select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("request_id"),
+        F.expr("timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, cast(doc_id as int), 0)").alias("ts"),
+        "text",
+        F.lit(None).cast("double").alias("threshold"),
+        F.lit(None).cast("string").alias("forwarded"),
+        F.lit(None).cast("string").alias("api_key"),
+        F.col("source").alias("host"),
+        F.lit("/demo/redact").alias("endpoint"),
+        F.lit("POST").alias("method"),
+        (F.col("n_chars") / 100_000).alias("duration"),
+    )
+    return serve_requests(rows)
+
+
+@add(
+    "serve_requests",
+    sql.with_(
+        *sql.RESOLVED_MEMBERS, sql.REDACTED, _SERVED,
+        body="""SELECT a.request_id, CAST(a.status_code AS INT) AS status_code, a.reason,
+                  CASE WHEN a.status_code = 200 THEN r.redacted END AS redacted,
+                  CASE WHEN a.status_code = 200 THEN r.entity_count END AS entity_count
+                FROM adm a JOIN redacted r USING (doc_id)""",
+        recursive=True,
+    ),
+)
+def serve(spark, sf):
+    return served(spark, sf).select("request_id", "status_code", "reason", "redacted", "entity_count")
+
+
+@add(
+    "serve_requests_log",
+    sql.with_(
+        *sql.RESOLVED_MEMBERS, sql.REDACTED, _SERVED,
+        body="""SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS "timestamp", 'INFO' AS level, 'request_completed' AS message,
+                  request_id, 'ip_' || left(sha256(host), 8) AS client_id, '/demo/redact' AS endpoint, 'POST' AS method,
+                  CAST(status_code AS INT) AS status_code, round(duration * 1000, 2) AS duration_ms,
+                  CASE WHEN status_code = 200 THEN CAST(length(a.text) AS INT) END AS text_length,
+                  CASE WHEN status_code = 200 THEN r.entity_count END AS entity_count
+                FROM adm a JOIN redacted r USING (doc_id)""",
+        recursive=True,
+    ),
+)
+def serve_log(spark, sf):
+    return served_log(served(spark, sf))

@@ -215,30 +215,39 @@ def g11_worst(spark, sf):
     return rep.entity_report(ev.entity_scores(stacked(spark, sf)), worst=3)
 
 
+_FLAT = """
+flat AS (
+  SELECT label || '_f1' AS metric, f1 AS value FROM rates
+  UNION ALL SELECT label || '_support', CAST(n_true AS DOUBLE) FROM rates
+  UNION ALL SELECT 'precision', sum(tp) / sum(n_pred) FROM rates
+  UNION ALL SELECT 'recall', sum(tp) / sum(n_true) FROM rates
+  UNION ALL SELECT 'f1', 2 * sum(tp) / (sum(n_true) + sum(n_pred)) FROM rates
+  UNION ALL SELECT 'accuracy', avg(CASE WHEN gold = pred THEN 1.0 ELSE 0.0 END) FROM kept)"""
+
+
+def flat(spark, sf):
+    kept = sequences(spark, sf)
+    return ev.flat_metrics(ev.stack_sequences(tag_columns(kept)), token_rows(kept))
+
+
+@add(
+    "g5_flat_metrics",
+    sql.with_(*sql.SCORE_MEMBERS, _FLAT, body="SELECT metric, round(value, 6) AS value FROM flat"),
+)
+def g5_flat(spark, sf):
+    return rounded(flat(spark, sf), "value")
+
+
 @add(
     "b10_split_by_metric",
     sql.with_(
-        *sql.SCORE_MEMBERS,
-        body="""SELECT metric, round(value, 6) AS value,
-                  CASE WHEN value < 0.9 THEN 'missed' ELSE 'passed' END AS outcome
-                FROM (SELECT label || '_f1' AS metric, f1 AS value FROM rates
-                      UNION ALL SELECT label || '_support', CAST(n_true AS DOUBLE) FROM rates)
-                WHERE value < 0.9 OR metric NOT LIKE '%support'""",
+        *sql.SCORE_MEMBERS, _FLAT,
+        body="""SELECT metric, round(value, 6) AS value, CASE WHEN value < 0.9 THEN 'missed' ELSE 'passed' END AS outcome
+                FROM flat WHERE value < 0.9 OR metric NOT LIKE '%support'""",
     ),
 )
 def b10(spark, sf):
-    scores = ev.entity_scores(stacked(spark, sf))
-    metrics = scores.select(
-        F.inline(
-            F.array(
-                F.struct(F.concat("label", F.lit("_f1")).alias("metric"), F.col("f1").alias("value")),
-                F.struct(
-                    F.concat("label", F.lit("_support")).alias("metric"), F.col("support").cast("double").alias("value")
-                ),
-            )
-        )
-    )
-    return split_by_metric(metrics).withColumn("value", F.round("value", 6))
+    return rounded(split_by_metric(flat(spark, sf)), "value")
 
 
 _LOGS = """

@@ -20,6 +20,8 @@ def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
         .option("pathGlobFilter", "trainer_state.json")
         .json(path)
     )
+    if not states.inputFiles():
+        raise FileNotFoundError(f"no checkpoint under {path}")
     where = F.col("_metadata.file_path")
     rows = states.select(
         F.regexp_extract(where, STATE_PATH, 1).alias("run"),
