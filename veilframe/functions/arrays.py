@@ -22,10 +22,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def blocks(arr: Column, size: int = BLOCK) -> Column:
     """Cut an array into consecutive arrays of at most ``size`` elements."""
-    last = F.floor((F.size(arr) - 1) / F.lit(size)).cast("int")
-    return F.when(F.size(arr) == 0, F.array_repeat(arr, 0)).otherwise(
-        F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(arr, b * size + 1, size))
-    )
+
+    def cut(whole: Column) -> Column:
+        last = F.floor((F.size(whole) - 1) / F.lit(size)).cast("int")
+        return F.when(F.size(whole) == 0, F.array_repeat(whole, 0)).otherwise(
+            F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(whole, b * size + 1, size))
+        )
+
+    return let(arr, cut)
 
 
 def running_ends(lengths: Column) -> Column:

@@ -16,7 +16,8 @@ CONTAIN = "contain"
 OVERLAP = "overlap"
 MODES = (WORD_UNION, WORD_UNION_STICKY, CONTAIN, OVERLAP)
 
-HIT_BLOCK = 64
+HIT_BLOCK = 32
+HIT_STRETCH = 2048
 
 
 def entity(tag: Column) -> Column:
@@ -26,9 +27,9 @@ def entity(tag: Column) -> Column:
 def labelled_tokens(tokens: Column, masks: Column, mode: str) -> Column:
     """Tokens decided by a mask, as structs ``i, word_id, start, mask_start, label``.
 
-    Tokens are taken in blocks and each block looks only at the masks that reach
-    into it, so a long text with many masks does not compare all with all, and
-    stretches without masks cost next to nothing.
+    Tokens are taken in stretches and these in blocks; each looks only at the masks
+    that reach into it, so a long text with many masks does not compare all with
+    all, and parts without masks cost next to nothing.
     """
     by_word = mode in (WORD_UNION, WORD_UNION_STICKY)
     begin, stop = ("word_start", "word_end") if by_word else ("start", "end")
@@ -38,9 +39,9 @@ def labelled_tokens(tokens: Column, masks: Column, mode: str) -> Column:
             return (token[begin] >= mask["start"]) & (token[stop] <= mask["end"])
         return (token[begin] < mask["end"]) & (token[stop] > mask["start"])
 
-    def near(block: Column) -> Column:
+    def near(block: Column, candidates: Column) -> Column:
         first, last = F.get(block, F.lit(0)), F.element_at(block, -1)
-        return F.filter(masks, lambda m: (m["start"] < last[stop]) & (m["end"] > first[begin]))
+        return F.filter(candidates, lambda m: (m["start"] < last[stop]) & (m["end"] > first[begin]))
 
     def decided(token: Column, candidates: Column) -> Column:
         hits = F.filter(candidates, lambda m: touches(token, m))
@@ -54,16 +55,26 @@ def labelled_tokens(tokens: Column, masks: Column, mode: str) -> Column:
             hit["label"].alias("label"),
         )
 
-    def of_block(block: Column) -> Column:
+    def narrowed(part: Column, candidates: Column, body) -> Column:
+        """``body(masks)`` with the masks that reach into a part, or nothing at once."""
         return let(
-            near(block),
-            lambda ms: F.when(
-                F.size(ms) > 0,
-                F.filter(F.transform(block, lambda t: decided(t, ms)), lambda x: x["label"].isNotNull()),
-            ).otherwise(F.array().cast(LABELLED)),
+            near(part, candidates),
+            lambda ms: F.when(F.size(ms) > 0, body(ms)).otherwise(F.array().cast(LABELLED)),
         )
 
-    return F.flatten(F.transform(blocks(tokens, HIT_BLOCK), of_block))
+    def of_block(block: Column, ms: Column) -> Column:
+        return F.filter(F.transform(block, lambda t: decided(t, ms)), lambda x: x["label"].isNotNull())
+
+    def of_stretch(part: Column, ms: Column) -> Column:
+        return F.flatten(
+            F.transform(blocks(part, HIT_BLOCK), lambda b: narrowed(b, ms, lambda near_: of_block(b, near_)))
+        )
+
+    return F.flatten(
+        F.transform(
+            blocks(tokens, HIT_STRETCH), lambda p: narrowed(p, masks, lambda ms: of_stretch(p, ms))
+        )
+    )
 
 
 LABELLED = "array<struct<i:int,word_id:int,start:int,mask_start:int,label:string>>"
