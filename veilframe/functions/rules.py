@@ -34,7 +34,7 @@ class Rule:
 
 # Entity labels with a regular form and the form itself.
 DIGIT = "[0-9]"
-KEYED = "(?:token|password|passwd|secret|username|user|login) *[=:]"
+KEYED = "[dnrt] *[=:]"
 DEFAULT_RULES = [
     Rule("EMAIL", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0.99, needs="@"),
     Rule("IP", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", 0.95, needs=DIGIT),
@@ -69,7 +69,7 @@ DEFAULT_RULES = [
         before='(?:username|user|login) *[=:] *"?',
         needs=KEYED,
     ),
-    Rule("TITLE", r"(?:Mr|Mrs|Ms|Dr|Prof)\.", 0.5, before=r"^|[^\p{L}]", needs=r"(?:Mr|Mrs|Ms|Dr|Prof)\."),
+    Rule("TITLE", r"(?:Mr|Mrs|Ms|Dr|Prof)\.", 0.5, before=r"^|[^\p{L}]", needs=r"[MDP](?:r|rs|s|rof)\."),
     Rule("SEX", r"[Mm]ale|[Ff]emale", 0.35, before=r"^|[^\p{L}]", needs="[Mm]ale"),
 ]
 

@@ -18,8 +18,11 @@ def with_tags(
     alias: str = "tags",
 ) -> DataFrame:
     """Add an array of BIO tags next to an existing ``tokens`` array."""
-    tags = let(F.col("tokens"), lambda ts: let(F.col(masks), lambda ms: bio_tags(ts, ms, mode)))
-    return corpus.withColumn(alias, tags)
+    return corpus.withColumn(alias, tags_of(masks, mode))
+
+
+def tags_of(masks: str, mode: str = WORD_UNION) -> Column:
+    return let(F.col("tokens"), lambda ts: let(F.col(masks), lambda ms: bio_tags(ts, ms, mode)))
 
 
 def align(

@@ -24,9 +24,8 @@ def zipped(*fields: str) -> Column:
     """Layout arrays zipped into structs with their position and text."""
     n = F.size("_tok")
     index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    kind = ",".join(["token_idx:int", *[f"{f}:int" for f in fields], "text:string"])
-    parts = [F.col("_lay")[f] for f in fields]
-    return F.arrays_zip(index, *parts, F.col("_tok")).cast(f"array<struct<{kind}>>")
+    parts = [F.col("_lay")[f].alias(f) for f in fields]
+    return F.arrays_zip(index.alias("token_idx"), *parts, F.col("_tok").alias("text"))
 
 
 def with_tokens(df: DataFrame, text: str = "text", max_length: int | None = None) -> DataFrame:

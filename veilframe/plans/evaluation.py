@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import explode_structs
-from ..operators.alignment import with_tags
+from ..operators.alignment import tags_of
 from ..operators.tokens import with_tokens
 
 
@@ -15,13 +15,13 @@ def tagged_pairs(corpus: DataFrame, predicted: str = "predicted_mask") -> DataFr
 
     Tokens are cut once and both sides are projected onto them in the same row.
     """
-    tagged = with_tokens(corpus, "source_text")
-    tagged = with_tags(tagged, masks="privacy_mask", alias="_gold")
-    tagged = with_tags(tagged, masks=predicted, alias="_pred")
-    pairs = F.arrays_zip(
-        F.col("tokens").alias("token"), F.col("_gold").alias("gold"), F.col("_pred").alias("pred")
+    tagged = with_tokens(corpus, "source_text").select(
+        "doc_id",
+        F.col("tokens").alias("token"),
+        tags_of("privacy_mask").alias("gold"),
+        tags_of(predicted).alias("pred"),
     )
-    return tagged.select("doc_id", pairs.alias("tokens"))
+    return tagged.select("doc_id", F.arrays_zip("token", "gold", "pred").alias("tokens"))
 
 
 def kept_sequences(pairs: DataFrame) -> DataFrame:
