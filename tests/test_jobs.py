@@ -1,4 +1,5 @@
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from veilframe.__main__ import parser
 from veilframe.plans.requests import serve_requests, served_log
 from veilframe.plans.silver import MASK
+from veilframe.session import shared_dir
 from veilframe.sources.corpus import read_corpus, read_label_info
 from veilframe.sources.run_logs import read_run_logs
 from veilframe.sources.texts import read_redactions
@@ -63,3 +65,10 @@ def test_served_requests(spark):
 def test_no_checkpoint(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         read_run_logs(spark, str(tmp_path))
+
+
+def test_shared_folder_follows_the_session(spark):
+    assert "veilframe" in shared_dir(spark)
+    settings = {"spark.checkpoint.dir": "s3://bucket/ckpt/"}
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: settings.get(key, default)))
+    assert shared_dir(session).startswith("s3://bucket/ckpt/veilframe/")

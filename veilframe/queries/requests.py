@@ -83,7 +83,19 @@ def a5(spark, sf):
     return back.select("redacted", "entity_count", entity_line(F.col("entities")).alias("entities"))
 
 
-@add("a5_redaction_json")
+@add(
+    "a5_redaction_json",
+    sql.with_(
+        *sql.RESOLVED_MEMBERS, sql.REDACTED,
+        body="""SELECT r.doc_id, CAST(to_json({'original': d.text, 'redacted': r.redacted, 'entities': coalesce(e.es, []),
+                  'entity_count': r.entity_count}) AS VARCHAR) AS value
+                FROM redacted r JOIN docs d USING (doc_id) LEFT JOIN (
+                  SELECT s.doc_id, list({'text': substring(d.text, s."start" + 1, s."end" - s."start"), 'label': s.label,
+                    'start': s."start", 'end': s."end", 'score': s.score} ORDER BY s."start") AS es
+                  FROM resolved s JOIN docs d USING (doc_id) GROUP BY 1) e USING (doc_id)""",
+        recursive=True,
+    ),
+)
 def a5_json(spark, sf):
     return redaction_json(redact_documents(documents(spark, sf)))
 
