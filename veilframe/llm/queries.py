@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..queries import Registry
+from .common import shared_folder
+from .grammar import read_tokens, write_blocks
 from .mixing import mix
 from .outliers import reject_outliers
+from .packing import pack
 from .sharding import shard
 
 REGISTRY = Registry()
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,6 +40,20 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=24)
 
 
+@REGISTRY.add("op3_repair_tokens")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    write_blocks(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
+    return read_tokens(spark, path)
+
+
+@REGISTRY.add("op6_packed_windows")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    crc = F.crc32("ids").alias("ids_crc32")
+    return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
+
+
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source,
