@@ -14,6 +14,8 @@ from .mixing import mix
 from .outliers import reject_outliers
 from .packing import pack
 from .sharding import shard
+from .topk import search
+from .toxicity import train, with_scores
 
 REGISTRY = Registry()
 
@@ -54,6 +56,43 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
 
 
+TOP_SQL = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256.0::DOUBLE * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM vectors q JOIN vectors c ON len(q.v) = len(c.v) AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5
+"""
+
+
+@REGISTRY.add("op4_norm_sorted_search", TOP_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def fold(key: str = "doc_id"):
+    """The fifth of the rows that no label is learnt from has 0 here."""
+    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5))
+
+
+@REGISTRY.add("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"), fold() != 0)
+    scored, score = with_scores(docs, model)
+    return scored.select(
+        "doc_id",
+        (fold() == 0).alias("held_out"),
+        F.col(score).alias("score"),
+        (F.col(score) >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source,
