@@ -12,22 +12,30 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import spans_of
 
 MEMORY = 1_000_000  # pieces a worker remembers, and as many words
 # Before such a character a blank always opens a new piece of the byte vocabulary.
 BYTE_SPLIT = re.compile(" (?=[!-~¡-ᙿ])")
-FIRST = ""  # marks the piece that opens a text: no blank stands before it
+ODD_BLANK = "\x01| [^!-~\u00a1-\u167f]| $"  # texts with these are cut by the pattern above
+CUT = "\x01"
 
 # Runs of Latin letters and of marks are pre-tokens of both vocabularies, and so is a
 # single line end between them; apostrophes, digits and anything else are not simple.
 LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-PART = re.compile(f"[{LATIN}]+|[.,!?;:]+|\n")
-SIMPLE = re.compile(f"[{LATIN}.,!?;:](?:[{LATIN}.,!?;:]|\n(?!\n))*")
+PLAIN = re.compile(f" ?[{LATIN}]+")
+PART = re.compile(f" ?(?:[{LATIN}]+|[.,!?;:]+)|\n")
+SIMPLE = re.compile(f" ?[{LATIN}.,!?;:](?:[{LATIN}.,!?;:]|\n(?!\n))*")
+# One mark between a letter and a blank or line end stands alone in both vocabularies.
+MARKED, SPREAD = f"([{LATIN}])([.,]){CUT}", f"\\1{CUT}\\2{CUT}"
+MARKED_LINE, SPREAD_LINE = f"([{LATIN}])([.,])\n([{LATIN}])", f"\\1{CUT}\\2{CUT}\n{CUT}\\3"
 # Byte-level vocabularies write a byte as a visible character; those without one are moved up.
 _visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _visible)}
@@ -58,6 +66,26 @@ class _Pieces(dict):
         return number
 
 
+class _Words(dict):
+    """Word to its ids as bytes, made when first asked for."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        got = self[word] = self.make(word)
+        return got
+
+
+def _room(held: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``more`` behind the first ``used`` entries; the array doubles when it is full."""
+    if used + len(more) > len(held):
+        held = np.concatenate([held[:used], np.empty(used + 2 * len(more), held.dtype)])
+    held[used : used + len(more)] = more
+    return held
+
+
 class Encoder:
     def __init__(self, path: str, blanks: bool, end: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,19 +98,40 @@ class Encoder:
 
     def _forget(self) -> None:
         self.pieces = _Pieces(1)  # piece 0 is the end of a text
-        self.words: dict[str, list[int]] = {}
+        self.words = _Words(self._word)
         self.ids = np.array([self.end], np.uint32)
         self.starts, self.sizes = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.known, self.used = 1, 1
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
         """Ids of one pre-token: a run of Latin letters, of marks, or a line end."""
-        got = self.words.get(word)
-        if got is None:
-            plain = word if self.blanks else word.lower()
-            if not plain.isascii() or not plain.isalpha():
-                plain = plain.encode().decode("latin-1").translate(BYTES)
-            got = self.words[word] = [t.id for t in self.tool.model.tokenize(plain)]
-        return got
+        plain = word if self.blanks else word.lower()
+        if not plain.isalpha() or not plain.isascii():
+            plain = plain.encode().decode("latin-1").translate(BYTES)
+        return array("I", [t.id for t in self.tool.model.tokenize(plain)]).tobytes()
+
+    def _cut(self, texts: Sequence[str | None]) -> pa.ListArray:
+        """Pieces of each text, the blank before a piece at its front; Arrow does the cutting."""
+        if not self.blanks:
+            plain = [_lower(t or "").replace("\n", CUT).replace(" ", CUT) for t in texts]
+            held = pc.replace_substring_regex(pa.array(plain, pa.string()), MARKED, SPREAD)
+            held = pc.split_pattern(held, CUT)
+            odd = {i: t.replace("\n", " ").split(" ") for i, t in enumerate(texts) if t and CUT in t}
+            if not odd:
+                return held
+            return pa.array([odd.get(i, p) for i, p in enumerate(held.to_pylist())], pa.list_(pa.string()))
+        column = pa.array([t or "" for t in texts], pa.string())
+        odd = pc.match_substring_regex(column, ODD_BLANK).to_pylist()
+        held = pc.replace_substring(column, " ", f"{CUT} ")
+        held = pc.replace_substring_regex(held, MARKED, SPREAD)
+        held = pc.split_pattern(pc.replace_substring_regex(held, MARKED_LINE, SPREAD_LINE), CUT)
+        if not any(odd):
+            return held
+        parts = held.to_pylist()
+        for i in (i for i, o in enumerate(odd) if o):
+            first, *rest = BYTE_SPLIT.split(texts[i])
+            parts[i] = [first, *(f" {p}" for p in rest)]
+        return pa.array(parts, pa.list_(pa.string()))
 
     def _learn(self) -> None:
         """Ids of the pieces that wait."""
@@ -91,56 +140,58 @@ class Encoder:
         asked = self.pieces.new
         self.pieces.new = []
         if len(self.words) > MEMORY:
-            self.words = {}
-        got: list[list[int]] = []
+            self.words.clear()
+        got: list[bytes] = []
         odd: list[int] = []
-        word = self._word
+        word = self.words.__getitem__
         for i, piece in enumerate(asked):
-            if SIMPLE.fullmatch(piece):
-                parts = PART.findall(piece)
-                if self.blanks:
-                    parts[0] = f" {parts[0]}"
-                    got.append([t for p in parts for t in word(p)])
-                else:
-                    got.append([t for p in parts if p != "\n" for t in word(p)])
+            if PLAIN.fullmatch(piece):
+                got.append(word(piece))
+            elif SIMPLE.fullmatch(piece):
+                got.append(b"".join(map(word, PART.findall(piece))))
             else:
                 odd.append(i)
-                got.append([])
-        whole = [asked[i] for i in odd]
-        if self.blanks:
-            whole = [p[1:] if p[:1] == FIRST else f" {p}" for p in whole]
-        for i, e in zip(odd, self.tool.encode_batch_fast(whole, add_special_tokens=False), strict=True):
-            got[i] = e.ids
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(sizes.sum()))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, flat])
+                got.append(b"")
+        found = self.tool.encode_batch_fast([asked[i] for i in odd], add_special_tokens=False)
+        for i, e in zip(odd, found, strict=True):
+            got[i] = array("I", e.ids).tobytes()
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        starts = self.used + np.cumsum(sizes) - sizes
+        self.ids = _room(self.ids, self.used, np.frombuffer(b"".join(got), np.uint32))
+        self.starts = _room(self.starts, self.known, starts)
+        self.sizes = _room(self.sizes, self.known, sizes)
+        self.known += len(got)
+        self.used += int(sizes.sum())
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text's followed by the end id; and the texts' counts."""
         if self.pieces.next > MEMORY:
             self._forget()
-        numbers: list[int] = []
-        counts = np.zeros(len(texts), np.int64)
+        pieces = self._cut(texts)
+        shares = pieces.flatten().dictionary_encode()
         known = self.pieces
-        for i, text in enumerate(texts):
-            text = text or ""
-            if self.blanks:
-                parts = BYTE_SPLIT.split(text)
-                parts[0] = FIRST + parts[0]
-            else:
-                parts = text.replace("\n", " ").split(" ")
-            numbers.extend(map(known.__getitem__, parts))
-            numbers.append(0)
-            counts[i] = len(parts) + 1
+        asked = shares.dictionary.to_numpy(zero_copy_only=False)
+        names = np.fromiter(map(known.__getitem__, asked), np.int64, len(asked))
         self._learn()
-        at = np.array(numbers, np.int64)
+        counts = np.diff(pieces.offsets.to_numpy())
+        ends = np.cumsum(counts + 1)
+        at = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
+        inner = np.ones(len(at), bool)
+        inner[ends - 1] = False  # the end of each text stays piece 0
+        at[inner] = names[shares.indices.to_numpy()]
         sizes = self.sizes[at]
         flat = self.ids[spans_of(self.starts[at], sizes)]
-        ends = np.cumsum(counts)
         upto = np.concatenate([[0], np.cumsum(sizes)])
-        return flat, upto[ends] - upto[ends - counts]
+        return flat, upto[ends] - upto[ends - counts - 1]
+
+
+def _lower(text: str) -> str:
+    """Lower case where a Latin text's is that of its characters; else the library does it."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
 
 def sentence_ends(path: str) -> np.ndarray:
@@ -153,7 +204,7 @@ def sentence_ends(path: str) -> np.ndarray:
     return out
 
 
-def text_batches(texts: Sequence[str | None], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def text_batches(texts: Sequence[str | None], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` characters each, to bound memory."""
     start = total = 0
     for i, text in enumerate(texts):
