@@ -11,6 +11,7 @@ from ..queries import Registry
 from .common import shared_folder
 from .grammar import read_tokens, write_blocks
 from .mixing import mix
+from .neardup import near_duplicates
 from .outliers import reject_outliers
 from .packing import pack
 from .sharding import shard
@@ -75,6 +76,36 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+NEAR_SQL = r"""
+WITH RECURSIVE
+worded AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+  FROM worded WHERE w IS NOT NULL),
+sized AS (SELECT doc_id, len(s)::BIGINT AS n FROM sets),
+shingles AS (SELECT doc_id, unnest(s) AS g FROM sets),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both
+  FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b
+  WHERE 100 * n_both >= 80 * (x.n + y.n - n_both)),
+reach(doc_id, place) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.place = l.a),
+least AS (SELECT doc_id, min(place)::BIGINT AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM least LEFT JOIN sized USING (doc_id)
+"""
+
+
+@REGISTRY.add("op8_minhash_near_duplicates", NEAR_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def fold(key: str = "doc_id"):
     """The fifth of the rows that no label is learnt from has 0 here."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5))
