@@ -15,6 +15,7 @@ from .neardup import near_duplicates
 from .outliers import reject_outliers
 from .packing import pack
 from .sharding import shard
+from .substrings import remove_repeats
 from .topk import search
 from .toxicity import train, with_scores
 
@@ -76,6 +77,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@REGISTRY.add("op7_repeated_strings")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"), length=50)
+    spans = F.size("starts").cast("long").alias("n_spans")
+    return out.select("doc_id", "n_bytes", "n_removed", spans, F.sha2("kept", 256).alias("kept_sha256"))
+
+
 NEAR_SQL = r"""
 WITH RECURSIVE
 worded AS (
