@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..queries import Registry
 from .common import shared_folder
 from .grammar import read_tokens, write_blocks
+from .lines import line_classes
 from .mixing import mix
 from .neardup import near_duplicates
 from .outliers import reject_outliers
@@ -114,6 +115,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+@REGISTRY.add("op9_line_edit_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_classes(table(spark, sf_dir, "documents")).drop("mark")
+
+
 def fold(key: str = "doc_id"):
     """The fifth of the rows that no label is learnt from has 0 here."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5))
