@@ -285,6 +285,8 @@ def links(rows: DataFrame, distance: int) -> DataFrame:
                 at = np.flatnonzero(hit)
                 _, one = np.unique(some.line[at], return_index=True)
                 at = at[one]
+                if not len(at):
+                    continue
                 yield pd.DataFrame(
                     {"line": some.line[at].view(np.int64), "counts": some.counts[at].view(np.int64), "text": [some.texts[i] for i in at]}
                 )
@@ -355,15 +357,15 @@ def drop_lines(docs: DataFrame, distance: int = DISTANCE, key: str = "doc_id", t
     Rows without any line stay as they are, and so do all other columns.
     """
     found = line_classes(docs, distance, key, text)
-    gone, mark = fresh(docs, "_gone"), fresh(docs, "_mark")
+    gone, mark, owner, whole = (fresh(docs, n) for n in ("_gone", "_mark", "_owner", "_whole"))
     by_doc = (
         found.groupBy("doc_id", "mark")
-        .agg(F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("line_no")))).alias(gone), F.bool_and("removed").alias("_all"))
+        .agg(F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("line_no")))).alias(gone), F.bool_and("removed").alias(whole))
         .where(F.size(gone) > 0)
-        .select(F.col("doc_id").alias("_id"), F.col("mark").alias(mark), gone, "_all")
+        .select(F.col("doc_id").alias(owner), F.col("mark").alias(mark), gone, whole)
     )
-    same = F.col(key).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col(mark))
-    joined = docs.join(by_doc, same, "left").where(F.col("_all").isNull() | ~F.col("_all"))
+    same = F.col(key).cast("long").eqNullSafe(F.col(owner)) & (F.xxhash64(text) == F.col(mark))
+    joined = docs.join(by_doc, same, "left").where(~F.coalesce(whole, F.lit(False)))
     left = F.filter(F.split(F.col(text), "\n", -1), lambda s, i: ~F.array_contains(F.col(gone), i))
     columns = [F.when(F.col(gone).isNull(), F.col(f"`{c}`")).otherwise(F.array_join(left, "\n")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     return joined.select(*columns)

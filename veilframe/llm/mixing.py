@@ -148,21 +148,21 @@ def mix(
     )
     sizes = staged(measured)
     state = thresholds(sizes, source_targets(sizes, weights, share, repeats))
-    name = fresh(docs, "mix")
-    plan = broadcast_if_small(state.select(F.struct(*state.columns).alias("_plan")))
-    own = docs.withColumn("_size", word_count(F.col(text))).withColumn("_h", row_hash(F.col(key)))
-    joined = own.join(plan, F.col(source).eqNullSafe(F.col("_plan.source")))
-    fields = {c: F.col(f"_plan.{c}") for c in state.columns}
-    size = F.col("_size")
+    name, held, plan = (fresh(docs, n) for n in ("mix", "_measured", "_plan"))
+    plans = broadcast_if_small(state.select(F.struct(*state.columns).alias(plan)))
+    own = docs.withColumn(held, F.struct(word_count(F.col(text)).alias("size"), row_hash(F.col(key)).alias("h")))
+    joined = own.join(plans, F.col(source).eqNullSafe(F.col(plan)["source"]))
+    fields = {c: F.col(plan)[c] for c in state.columns}
+    size, h = F.col(held)["size"], F.col(held)["h"]
     return joined.withColumn(
         name,
         F.struct(
             size.alias("size"),
             fields["source_size"].alias("source_size"),
             fields["target"].alias("target"),
-            taken_words(size, F.col("_h"), fields).alias("taken"),
+            taken_words(size, h, fields).alias("taken"),
         ),
-    ).drop("_size", "_h", "_plan")
+    ).drop(held, plan)
 
 
 def mixed_rows(docs: DataFrame, **options: object) -> DataFrame:

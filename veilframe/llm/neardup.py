@@ -185,7 +185,8 @@ def confirmed_edges(clusters: DataFrame, docs: DataFrame, width: int, percent: i
                 child, parent = forest(100 * both >= percent * (size[:, None] + size[None, :] - both))
                 a += nodes[start + child].tolist()
                 b += nodes[start + parent].tolist()
-            yield pd.DataFrame({"a": a, "b": b})
+            if a:
+                yield pd.DataFrame({"a": a, "b": b})
 
     ready = dealt.repartition(shuffle_width(docs.sparkSession), *order).sortWithinPartitions(*order)
     return ready.mapInPandas(run, "a binary, b binary")

@@ -121,7 +121,8 @@ def _digits(batches: Iterator[pd.DataFrame], length: int, parts: int) -> Iterato
         rows, later = _stretches(docs, rows)
         spans = _spans_of(rows[later], length)
         here = np.full(len(spans), TaskContext.get().partitionId() % parts)
-        yield _pack(docs, spans, here, SPANS, SPAN)
+        if len(spans):
+            yield _pack(docs, spans, here, SPANS, SPAN)
         rows = rows[~later]
         yield _pack(docs, rows, rows["gram"] % parts, ANCHORS, SUFFIX)
 
