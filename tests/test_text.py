@@ -134,16 +134,47 @@ def test_rules_match_python(spark):
         for i, value in enumerate(values)
         for rule in DEFAULT_RULES
         for m in regex.finditer(rule.pattern, value)
+        if regex.fullmatch(rule.value, m[2])
     }
     assert got == want and len(rows) == len(got) > 300
 
 
-def test_guards_hold_wherever_a_rule_matches():
-    samples = ["a@b.cc", "1.2.3.4", "555-555-0100", "078-05-1120", "2024-01-31", "9:30", "12345", "1.234,5.678",
-               "123456789012", "secret: abcdef", "login=abc", "Prof.", "male"]
+# Per rule a text for each way of writing its context and its value, and texts it must leave.
+FORMS = {
+    "EMAIL": (["a@b.cc", "x.y%z+1-_@sub.d-e.org", "l" * 300 + "@b.cc"], ["a@b", "@b.cc"]),
+    "IP": (["1.2.3.4", "255.255.255.255"], ["1.2.3.4567", "1234.5.6.789.10", "1.2.3", "1.2.3.4.5"]),
+    "TEL": (["555-555-0100", "+1 (555) 555-0100", "+442(555)555-0100"], ["555-123-45678", "5555-555-0100", "+1 (555) 555-01000"]),
+    "SOCIALNUMBER": (["078-05-1120"], ["078-05-11200", "1078-05-1120"]),
+    "DATE": (["2024-01-31", "1/2/24", "11/12/2024"], ["2024-01-311", "1/2/20244"]),
+    "TIME": (["9:30", "09:30:15", "9:30 am", "9:30PM"], ["9:300", "123:30"]),
+    "POSTCODE": (["12345", "12345-6789"], ["123456789", "12345-67890", "1234"]),
+    "GEOCOORD": (["1.234,5.678", "-48.8584, +2.2945"], ["123.4567, 8.901234", "1.2, 3.4"]),
+    "IDCARD": (["123456789012", "1" * 40], ["12345678901"]),
+    "PASS": ([f'{k}{e}"abcdef' for k in ("token", "password", "passwd", "secret") for e in ("=", ": ", " = ")], ["secret: abc"]),
+    "USERNAME": ([f"{k}{e}abc" for k in ("username", "user", "login") for e in ("=", ": ", " = ")], ["user: ab"]),
+    "TITLE": (["Mr.", "Mrs.", "Ms.", "Dr.", "Prof."], ["aMr.", "Mr"]),
+    "SEX": (["male", "Male", "female", "Female"], ["malevolent", "females", "tamale"]),
+}
+
+
+def matches(rule, text):
+    return [m[2] for m in regex.finditer(rule.pattern, text) if regex.fullmatch(rule.value, m[2])]
+
+
+def test_every_form_is_found_whole_and_guarded(spark):
+    assert set(FORMS) == {rule.label for rule in DEFAULT_RULES}
+    rows = []
     for rule in DEFAULT_RULES:
-        hits = [s for s in samples if regex.search(rule.pattern, s)]
-        assert hits and all(regex.search(rule.needs, s) for s in hits), rule
+        for good in FORMS[rule.label][0]:
+            found = matches(rule, f"é {good} x")
+            assert len(found) == 1 and good.endswith(found[0]) and regex.search(rule.needs, good), (rule.label, good)
+            rows.append((rule.label, good, True))
+        for bad in FORMS[rule.label][1]:
+            assert not matches(rule, f"é {bad} x"), (rule.label, bad)
+            rows.append((rule.label, bad, False))
+    found = detect(texts(spark, *[f"é {r[1]} x" for r in rows]).withColumn("chunk_id", F.lit(0)), RuleDetector()).collect()
+    labels = {(r.doc_id, r.label) for r in found}
+    assert [(i, r[0]) in labels for i, r in enumerate(rows)] == [r[2] for r in rows]
 
 
 def test_own_catalogue(spark):

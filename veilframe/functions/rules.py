@@ -16,107 +16,126 @@ from .spans import SPANS, no_spans
 class Rule:
     """``before`` is context in front of the span, ``value`` is the span itself.
 
-    ``needs`` is a pattern that every text with a match contains; it is cheap to
-    test and spares most texts the full search. Use portable patterns only: no
-    look-around, no back-references, no capturing groups.
+    ``run`` finds maximal runs of the characters a value is made of; a run counts only
+    if all of it is a ``value``, so a longer number or word is not masked in part.
+    Without it, ``value`` must be maximal by itself. ``needs`` is a pattern that every
+    text with a match contains; it is cheap to test and spares most texts the full
+    search. Use portable patterns only: no look-around, no back-references, no
+    capturing groups, and none that scan a stretch again from each of its places.
     """
 
     label: str
     value: str
     score: float
     before: str = ""
+    run: str = ""
     needs: str = ""
 
     @property
     def pattern(self) -> str:
-        return f"({self.before})({self.value})"
+        return f"({self.before})({self.run or self.value})"
 
 
 # Entity labels with a regular form and the form itself.
 DIGIT = "[0-9]"
-KEYED = "[dnrt] *[=:]"
+DIGITS_DASHED = "[0-9]+(?:-[0-9]+)*"
 DEFAULT_RULES = [
-    Rule("EMAIL", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0.99, needs="@"),
-    Rule("IP", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", 0.95, needs=DIGIT),
+    Rule(
+        "EMAIL",
+        r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+        0.99,
+        run=r"[A-Za-z0-9._%+-]+(?:@[A-Za-z0-9.-]+\.[A-Za-z]{2,})?",
+        needs="@",
+    ),
+    Rule("IP", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", 0.95, run=r"[0-9]+(?:\.[0-9]+)*", needs=DIGIT),
     Rule(
         "TEL",
         r"\+[0-9]{1,3} ?\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}",
         0.9,
+        run=rf"\+[0-9]+ ?\([0-9]+\) ?{DIGITS_DASHED}|{DIGITS_DASHED}",
         needs=DIGIT,
     ),
-    Rule("SOCIALNUMBER", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.85, needs=DIGIT),
-    Rule("DATE", r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}", 0.7, needs=DIGIT),
-    Rule("TIME", r"[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?: ?[AaPp][Mm])?", 0.65, needs=DIGIT),
-    Rule("POSTCODE", r"[0-9]{5}(?:-[0-9]{4})?", 0.4, before="^|[^0-9]", needs=DIGIT),
+    Rule("SOCIALNUMBER", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.85, run=DIGITS_DASHED, needs=DIGIT),
+    Rule(
+        "DATE",
+        r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}",
+        0.7,
+        run=r"[0-9]+(?:[-/][0-9]+)*",
+        needs=DIGIT,
+    ),
+    Rule(
+        "TIME",
+        r"[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?: ?[AaPp][Mm])?",
+        0.65,
+        run=r"[0-9]+(?::[0-9]+)*(?: ?[AaPp][Mm])?",
+        needs=DIGIT,
+    ),
+    Rule("POSTCODE", r"[0-9]{5}(?:-[0-9]{4})?", 0.4, run=DIGITS_DASHED, needs=DIGIT),
     Rule(
         "GEOCOORD",
         r"[+-]?[0-9]{1,2}\.[0-9]{3,}, ?[+-]?[0-9]{1,3}\.[0-9]{3,}",
         0.9,
+        run=r"[+-]?[0-9]+\.[0-9]+, ?[+-]?[0-9]+\.[0-9]+|[0-9]+",
         needs=DIGIT,
     ),
-    Rule("IDCARD", r"[0-9]{12,19}", 0.8, needs=DIGIT),
+    Rule("IDCARD", r"[0-9]{12,}", 0.8, needs=DIGIT),
     Rule(
         "PASS",
         r'[^ \t\n\f\r"]{6,}',
         0.9,
         before='(?:token|password|passwd|secret) *[=:] *"?',
-        needs=KEYED,
+        needs="[dnt] *[=:]",
     ),
     Rule(
         "USERNAME",
         r"[A-Za-z0-9._-]{3,}",
         0.6,
         before='(?:username|user|login) *[=:] *"?',
-        needs=KEYED,
+        needs="[enr] *[=:]",
     ),
     Rule("TITLE", r"(?:Mr|Mrs|Ms|Dr|Prof)\.", 0.5, before=r"^|[^\p{L}]", needs=r"[MDP](?:r|rs|s|rof)\."),
-    Rule("SEX", r"[Mm]ale|[Ff]emale", 0.35, before=r"^|[^\p{L}]", needs="[Mm]ale"),
+    Rule("SEX", r"[Mm]ale|[Ff]emale", 0.35, run=r"\p{L}+", needs="[Mm]ale"),
 ]
 
 
-def rule_table(rules: Sequence[Rule], guards: Sequence[str]) -> Column:
-    """The catalogue as one array literal, so the plan does not grow with it."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(rule.pattern).alias("pattern"),
-                F.lit(guards.index(rule.needs)).alias("guard"),
-                F.lit(pos).alias("pos"),
-                F.lit(rule.label).alias("label"),
-                F.lit(float(rule.score)).alias("score"),
-            )
-            for pos, rule in enumerate(rules)
-        ]
-    )
-
-
-def rule_spans(text: Column, rule: Column) -> Column:
+def rule_spans(text: Column, rule: Rule, pos: int) -> Column:
     """All matches of one rule with exact offsets.
 
     A match starts after every gap and match before it, so offsets come from the
-    running length of gaps and matches laid alternately.
+    running length of gaps and matches laid alternately. Patterns are literals, which
+    Spark compiles once per task. Runs are located only where one of them is a value.
     """
+    pattern = F.lit(rule.pattern)
+    whole = F.lit(f"^(?:{rule.value})$")
 
-    def located(found: Column) -> Column:
-        gaps = F.split(text, rule["pattern"], F.lit(-1))
+    def located(found: Column, values: Column) -> Column:
+        gaps = F.split(text, rule.pattern, -1)
         steps = let(
             gaps, lambda gs: F.transform(found, lambda m, i: F.length(F.get(gs, i)) + F.length(m))
         )
-        values = F.regexp_extract_all(text, rule["pattern"], F.lit(2))
-        return let(values, lambda vs: F.transform(running_ends(steps), span(vs)))
-
-    def span(values: Column):
-        return lambda end, i: F.struct(
-            (end - F.length(F.get(values, i))).alias("start"),
-            end.alias("end"),
-            F.lit(0).alias("chunk_id"),
-            rule["pos"].alias("pos"),
-            rule["label"].alias("label"),
-            rule["score"].alias("score"),
-        )
 
-    whole = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
-    return let(whole, lambda ms: F.when(F.size(ms) > 0, located(ms).cast(SPANS)).otherwise(no_spans()))
+        def span(end: Column, i: Column) -> Column:
+            value = F.get(values, i)
+            return F.struct(
+                (end - F.length(value)).alias("start"),
+                end.alias("end"),
+                F.lit(0).alias("chunk_id"),
+                F.lit(pos).alias("pos"),
+                F.lit(rule.label).alias("label"),
+                F.lit(float(rule.score)).alias("score"),
+            )
+
+        spans = F.transform(running_ends(steps), span).cast(SPANS)
+        if not rule.run:
+            return spans
+        return let(spans, lambda ss: F.filter(ss, lambda s, i: F.regexp_like(F.get(values, i), whole)))
+
+    def search(values: Column) -> Column:
+        hits = F.exists(values, lambda v: F.regexp_like(v, whole)) if rule.run else F.size(values) > 0
+        all_of = F.regexp_extract_all(text, pattern, F.lit(0)) if rule.before else values
+        return F.when(hits, let(all_of, lambda ms: located(ms, values))).otherwise(no_spans())
+
+    return let(F.regexp_extract_all(text, pattern, F.lit(2)), search)
 
 
 def text_spans(text: Column, rules: Sequence[Rule]) -> Column:
@@ -125,10 +144,13 @@ def text_spans(text: Column, rules: Sequence[Rule]) -> Column:
     flags = F.array(*[_holds(text, needs) for needs in guards])
 
     def search(fs: Column) -> Column:
-        live = F.filter(rule_table(rules, guards), lambda r: F.get(fs, r["guard"]))
-        return F.flatten(F.transform(live, lambda r: rule_spans(text, r)))
+        parts = [
+            F.when(F.get(fs, F.lit(guards.index(rule.needs))), rule_spans(text, rule, pos)).otherwise(no_spans())
+            for pos, rule in enumerate(rules)
+        ]
+        return F.flatten(F.array(*parts))
 
-    return F.coalesce(let(flags, search), no_spans())
+    return F.coalesce(let(flags, search) if rules else no_spans(), no_spans())
 
 
 def may_match(text: Column, rules: Sequence[Rule]) -> Column:

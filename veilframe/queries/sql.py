@@ -62,7 +62,8 @@ def rule_spans(name: str, source: str, extra: str = "") -> str:
         FROM (SELECT doc_id, {extra} string_split_regex(text, {p}) AS gaps,
                      regexp_extract_all(text, {p}, 0) AS found,
                      regexp_extract_all(text, {p}, 2) AS vals
-              FROM {source} WHERE regexp_matches(text, {p})))""")
+              FROM {source} WHERE regexp_matches(text, {p})))
+  WHERE regexp_full_match(vals[i], {pattern(rule.value)})""")
     return f"{name} AS (" + " UNION ALL ".join(parts) + ")"
 
 

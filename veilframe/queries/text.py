@@ -139,6 +139,46 @@ def d2_pages(spark, sf):
     return found.select(F.col("doc_id").alias("page_id"), "start", "end", "label", "score")
 
 
+# The parts of a keyed text, in order: what stands there, and the label it must get.
+# Stated apart from the rules, so that a wrong rule cannot agree with itself.
+_LETTERS = "translate(CAST({} AS VARCHAR), '0123456789', 'abcdefghij')"
+_KEYED = [
+    ("'username = '", "NULL"),
+    ("'usr' || " + _LETTERS.format("user_id"), "'USERNAME'"),
+    ("'; user: '", "NULL"),
+    ("'bob_' || " + _LETTERS.format("event_id"), "'USERNAME'"),
+    ("""', login="'""", "NULL"),
+    ("'amy.' || " + _LETTERS.format("user_id"), "'USERNAME'"),
+    ("""'" '""", "NULL"),
+    ("repeat('7', CAST(6 + event_id % 25 AS INT))", "CASE WHEN event_id % 25 >= 6 THEN 'IDCARD' END"),
+    ("' malevolent, '", "NULL"),
+    ("'female'", "'SEX'"),
+    ("' '", "NULL"),
+    ("repeat('l', CAST(60 + event_id % 20 AS INT)) || '@mail.example.org'", "'EMAIL'"),
+    ("' '", "NULL"),
+    ("'1.2.3.' || CAST(event_id % 2000 AS VARCHAR)", "CASE WHEN event_id % 2000 <= 999 THEN 'IP' END"),
+    ("' end 123-45-67890 555-123-45678'", "NULL"),
+]
+
+
+def _keyed_sql() -> str:
+    parts = "UNION ALL ".join(
+        f"SELECT event_id, {i} AS i, {text} AS part, CAST({label} AS VARCHAR) AS label FROM events " for i, (text, label) in enumerate(_KEYED)
+    )
+    return f"""WITH parts AS ({parts}),
+      placed AS (SELECT *, CAST(sum(length(part)) OVER (PARTITION BY event_id ORDER BY i) AS INT) AS "end" FROM parts)
+    SELECT event_id, CAST("end" - length(part) AS INT) AS "start", "end", label FROM placed WHERE label IS NOT NULL"""
+
+
+@add("d2_rules_on_keyed_text", _keyed_sql())
+def d2_keyed(spark, sf):
+    """Names after keys, digit runs of every length, long local parts, values inside longer ones."""
+    spoken = " || ".join(text for text, _ in _KEYED).replace("AS VARCHAR", "AS STRING")
+    rows = spread(table(spark, sf, "events")).select("event_id", F.expr(spoken).alias("text"))
+    found = detect(rows.withColumn("doc_id", F.col("event_id")).withColumn("chunk_id", F.lit(0)), RuleDetector())
+    return found.select(F.col("doc_id").alias("event_id"), "start", "end", "label")
+
+
 @add(
     "d1_detect_chunks",
     sql.with_(
