@@ -157,22 +157,39 @@ def _stretches(docs: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _pack(docs: np.ndarray, rows: np.ndarray, part: np.ndarray, kind: int, form: np.dtype) -> pd.DataFrame:
-    """One row per part: its rows as bytes, and the documents they name."""
-    order = np.argsort(part, kind="stable")
+    """One row per part: its rows as bytes, and the documents they name.
+
+    Rows go in order of document and field by field, byte by byte of a number, so that
+    the shuffle's compression finds what little order there is beside the hashes.
+    """
+    order = np.lexsort((rows[rows.dtype.names[-1] if kind == SPANS else "at"], rows["doc"], part))
     starts, sizes = runs(part[order])
     out = {"part": part[order][starts], "kind": kind, "docs": [], "rows": []}
     for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
         some = rows[order[s : s + n]]
         here, some["doc"] = np.unique(some["doc"], return_inverse=True)
         out["docs"].append(docs[here].tobytes())
-        out["rows"].append(some.astype(form).tobytes())
+        some = some.astype(form)
+        planes = [np.ascontiguousarray(some[n]).view(np.uint8).reshape(len(some), -1).T.tobytes() for n in form.names]
+        out["rows"].append(b"".join(planes))
     return pd.DataFrame(out)
 
 
+def _from_planes(body: bytes, form: np.dtype) -> np.ndarray:
+    n, at = len(body) // form.itemsize, 0
+    out = np.empty(n, form)
+    for name in form.names:
+        size = form[name].itemsize
+        plane = np.frombuffer(body, np.uint8, n * size, at).reshape(size, n)
+        out[name] = np.ascontiguousarray(plane.T).view(form[name]).ravel()
+        at += n * size
+    return out
+
+
 def _unpack(group: pd.DataFrame, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents, rows, and each row's place among the documents."""
     docs = [np.frombuffer(b, DOCS) for b in group["docs"]]
-    rows = [np.frombuffer(b, kind) for b in group["rows"]]
+    rows = [_from_planes(b, kind) for b in group["rows"]]
     if not docs:
         return np.zeros(0, DOCS), np.zeros(0, kind), np.zeros(0, np.int64)
     first = np.cumsum([0, *map(len, docs)])
@@ -254,7 +271,7 @@ def _strings(batches: Iterator[pd.DataFrame], length: int, parts: int) -> Iterat
     for batch in batches:
         rows, part, keys = [], [], []
         for doc_id, mark, raw, asked in zip(batch["doc_id"], batch["mark"], batch["raw"], batch["anchors"], strict=True):
-            a = np.asarray(asked, np.int64)
+            a = np.asarray([] if asked is None else asked, np.int64)
             if not len(a):
                 continue
             text, at, far, near = Text(raw), a >> 32, (a >> 8) & 255, a & 255
@@ -319,8 +336,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
     second = digits.groupBy("part").applyInPandas(lambda g: _second_digit(g, length), FOUND)
     found = second.groupBy(*name).agg(F.collect_list("span").alias("spans"), F.collect_list("anchor").alias("anchors"))
     asking = there.join(found, name, "left")
-    strings = asking.where(F.size("anchors") > 0).mapInPandas(lambda it: _strings(it, length, parts), PACKED)
+    # Both uses take the same columns of the same outer join, so its exchanges are read again, not made again.
+    strings = asking.mapInPandas(lambda it: _strings(it, length, parts), PACKED)
     third = strings.groupBy("part").applyInPandas(lambda g: _last_digit(g, length), FOUND)
     more = third.groupBy(*name).agg(F.collect_list("span").alias("more"))
-    every = asking.join(more, name, "left").select("doc_id", "raw", "spans", "more")
+    every = asking.join(more, name, "left")
     return every.mapInPandas(_results, RESULTS)
