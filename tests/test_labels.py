@@ -117,16 +117,29 @@ def test_rare_and_drop(spark):
     rare = rows.rare_labels(masks, 3)
     assert [(r.label, r.n) for r in rare.collect()] == [("B", 2)]
     assert rows.rare_labels(masks, 2).count() == 0
-    cleaned = rows.drop_labels(df, rare)
-    joined = rows.drop_labels(df, rare, limit=0)
-    for out in (cleaned, joined):
-        got = {r.doc_id: [m.label for m in r.privacy_mask] for r in out.collect()}
-        assert got == {0: ["A"] * 3, 1: [], 2: []}
-        assert rows.count_removed(df, out).first().removed == 2
-        rows.assert_absent(rows.mask_rows(out, "doc_id"), rare)
+    out = rows.drop_labels(df, rare)
+    got = {r.doc_id: [m.label for m in r.privacy_mask] for r in out.collect()}
+    assert got == {0: ["A"] * 3, 1: [], 2: []}
+    assert rows.count_removed(df, out).first().removed == 2
+    rows.assert_absent(rows.mask_rows(out, "doc_id"), rare)
     with pytest.raises(AssertionError):
         rows.assert_absent(masks, rare)
-    assert rows.drop_labels(df, rare.where("false")) is df
+    assert rows.drop_labels(df, rare.where("false")).collect() == df.collect()
+
+
+def test_drop_labels_and_nulls(spark):
+    mask = "array<struct<start:int,end:int,label:string>>"
+    df = spark.createDataFrame([(7, [(0, 1, "A"), (1, 2, None), (2, 3, "B")]), (7, [(0, 1, "B")]), (8, None)], f"doc_id long, privacy_mask {mask}")
+
+    def left(*labels):
+        out = rows.drop_labels(df, spark.createDataFrame([(x,) for x in labels], "label string"))
+        return [None if r.privacy_mask is None else [m.label for m in r.privacy_mask] for r in out.collect()]
+
+    assert left("B") == [["A", None], [], None]
+    assert left(None) == [["A", "B"], ["B"], None]
+    assert left("A", None) == [["B"], ["B"], None]
+    gone = rows.mask_rows(df, "doc_id")
+    assert rows.labels_left(gone, spark.createDataFrame([(None,)], "label string")).first().n == 1
 
 
 def test_vocabulary(spark):

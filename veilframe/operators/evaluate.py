@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,19 +102,31 @@ def overall_scores(stacked: DataFrame) -> DataFrame:
     )
 
 
-def token_accuracy(tokens: DataFrame) -> DataFrame:
-    right = F.when(F.col("gold") == F.col("pred"), 1.0).otherwise(0.0)
-    return tokens.agg(F.avg(right).alias("accuracy"))
+def right_tokens(tokens: Column) -> Column:
+    return F.size(F.filter(tokens, lambda t: t["gold"] == t["pred"]))
+
+
+def token_accuracy(sequences: DataFrame) -> DataFrame:
+    """Share of right tokens over all; ``tokens`` holds ``gold, pred``. One partial sum."""
+    tokens = F.col("tokens")
+    every = F.sum(F.size(tokens))
+    return sequences.agg(F.when(every > 0, F.sum(right_tokens(tokens)) / every).alias("accuracy"))
 
 
-def doc_scores(tokens: DataFrame) -> DataFrame:
-    """Token-level counts and rates per document, rates rounded to four digits."""
-    gold, pred = F.col("gold"), F.col("pred")
-    hit = (gold != "O") & (gold == pred)
-    miss = (gold != "O") & (gold != pred)
-    alarm = (gold == "O") & (pred != "O")
-    counts = tokens.groupBy("doc_id").agg(
-        *[F.count_if(test).alias(name) for name, test in (("tp", hit), ("fp", alarm), ("fn", miss))]
+def doc_scores(sequences: DataFrame) -> DataFrame:
+    """Token-level counts and rates of each row, rates rounded to four digits.
+
+    Counted within the row; rows without a token that counts are left out.
+    """
+
+    def counted(test: Callable[[Column, Column], Column]) -> Column:
+        return F.size(F.filter("tokens", lambda t: test(t["gold"], t["pred"]))).cast("long")
+
+    counts = sequences.where(F.size("tokens") > 0).select(
+        "doc_id",
+        counted(lambda gold, pred: (gold != "O") & (gold == pred)).alias("tp"),
+        counted(lambda gold, pred: (gold == "O") & (pred != "O")).alias("fp"),
+        counted(lambda gold, pred: (gold != "O") & (gold != pred)).alias("fn"),
     )
     rated = with_rates(
         counts.withColumns({"n_pred": F.col("tp") + F.col("fp"), "n_true": F.col("tp") + F.col("fn")})
@@ -121,11 +135,16 @@ def doc_scores(tokens: DataFrame) -> DataFrame:
     return rated.select("doc_id", *rounded, "tp", "fp", "fn")
 
 
+def gathered(tokens: DataFrame) -> DataFrame:
+    """Rows ``doc_id, tokens`` from one row per token, for token tables."""
+    return tokens.groupBy("doc_id").agg(F.collect_list(F.struct("gold", "pred")).alias("tokens"))
+
+
 def worst_labels(scores: DataFrame, k: int = 7) -> DataFrame:
     return scores.orderBy("f1", "label").limit(k)
 
 
-def flat_metrics(stacked: DataFrame, tokens: DataFrame) -> DataFrame:
+def flat_metrics(stacked: DataFrame, sequences: DataFrame) -> DataFrame:
     """Rows ``metric, value``: overall rates, accuracy, and F1 and support per type."""
 
     def unpivoted(df: DataFrame, named: dict) -> DataFrame:
@@ -137,7 +156,7 @@ def flat_metrics(stacked: DataFrame, tokens: DataFrame) -> DataFrame:
 
     overall = {"precision": "precision", "recall": "recall", "micro_f1": "f1"}
     parts = unpivoted(overall_scores(stacked), {c: F.lit(name) for c, name in overall.items()})
-    accuracy = unpivoted(token_accuracy(tokens), {"accuracy": F.lit("accuracy")})
+    accuracy = unpivoted(token_accuracy(sequences), {"accuracy": F.lit("accuracy")})
     per_type = unpivoted(
         entity_scores(stacked),
         {c: F.concat("label", F.lit(f"_{c}")) for c in ("f1", "support")},

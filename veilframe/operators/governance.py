@@ -47,54 +47,65 @@ def client_id(key: Column, ip: Column) -> Column:
 
 def client_ip(forwarded: Column, host: Column) -> Column:
     """First forwarded address, else the peer, else ``unknown``."""
-    first = F.trim(F.split(forwarded, ",")[0])
+    first = F.regexp_replace(F.split(forwarded, ",")[0], f"^[{BLANK}]+|[{BLANK}]+$", "")
     return F.when(F.coalesce(forwarded, F.lit("")) != "", first).otherwise(
         F.coalesce(host, F.lit("unknown"))
     )
 
 
-def request_log(requests: DataFrame) -> DataFrame:
+def request_log(requests: DataFrame, logger: str = "veilframe.requests") -> DataFrame:
     """One log row per request: the allowed fields and nothing of the text itself.
 
     Needs ``request_id, api_key, host, endpoint, method, status_code, duration,
-    ts, text, entities``; ``duration`` is in seconds.
+    ts, text, entities``; ``duration`` is in seconds. A request without a status has
+    failed: it is logged as an error with who asked for what, and nothing measured.
     """
+    done = F.col("status_code").isNotNull()
     fresh = F.coalesce("request_id", F.uuid())
     values = {
         "request_id": fresh,
         "client_id": client_id(F.col("api_key"), F.col("host")),
-        "duration_ms": F.round(F.col("duration") * 1000, 2),
-        "text_length": F.length("text"),
-        "entity_count": F.when(F.col("entities").isNotNull(), F.size("entities")),
+        "duration_ms": F.when(done, F.round(F.col("duration") * 1000, 2)),
+        "text_length": F.when(done, F.length("text")),
+        "entity_count": F.when(done & F.col("entities").isNotNull(), F.size("entities")),
     }
     fields = [values.get(f, F.col(f)).alias(f) for f in LOG_FIELDS]
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
     return requests.select(
         stamp.alias("timestamp"),
-        F.lit("INFO").alias("level"),
-        F.lit("request_completed").alias("message"),
+        F.when(done, "INFO").otherwise("ERROR").alias("level"),
+        F.lit(logger).alias("logger"),
+        F.when(done, "request_completed").otherwise("request_failed").alias("message"),
         *fields,
     )
 
 
-def daily_quota(requests: DataFrame, limit: int = 10, client: str = "client") -> DataFrame:
+def daily_quota(
+    requests: DataFrame, limit: int = 10, client: str = "client", counted: Column | None = None
+) -> DataFrame:
     """Add ``accepted``: whether a request is among its client's first ``limit`` that UTC day.
 
-    The last accepted request per client and day comes from a ranked filter, which
-    is cut to ``limit`` rows before its shuffle; each request is then compared with
-    it. A client with a third of all requests sends few rows to its one task.
+    Requests are ordered by time, id and a fingerprint of the row. Rows that are equal in
+    all columns are one place in that order which weighs as often as it occurs: they are
+    accepted together or not at all, so no repetition passes the limit. Rows for which
+    ``counted`` does not hold neither count nor are accepted.
+
+    The exchange that is keyed by client carries no text and at most ``limit`` places
+    per client, day and task; what was accepted then meets the rows by place, so a busy
+    client is no busy key.
     """
-    day = F.to_date("ts")
-    keyed = requests.withColumn("day", day)
-    order = Window.partitionBy(client, "day").orderBy("ts", "request_id")
-    firsts = keyed.select(client, "day", "ts", "request_id").withColumn("_rn", F.row_number().over(order))
-    last = (
-        firsts.where(F.col("_rn") <= limit)
-        .groupBy(client, "day")
-        .agg(F.max(F.struct("ts", "request_id")).alias("_last"))
-    )
-    last = last.select(F.col(client).alias("_client"), F.col("day").alias("_day"), "_last")
-    same = F.col(client).eqNullSafe(F.col("_client")) & F.col("day").eqNullSafe(F.col("_day"))
-    joined = keyed.join(last, same, "left")
-    accepted = F.struct("ts", "request_id") <= F.col("_last")
-    return joined.withColumn("accepted", accepted).drop("_client", "_day", "_last")
+    names = [f"_{n}" for n in ("day", "place", "counts")]
+    day, place, counts = (n if n not in requests.columns else f"_{n}" for n in names)
+    holds = F.lit(True) if counted is None else F.coalesce(counted, F.lit(False))
+    marked = requests.withColumns({place: F.xxhash64(*requests.columns), "day": F.to_date("ts"), counts: holds})
+    keys = [client, "day", "ts", "request_id", place]
+    weighed = marked.where(counts).groupBy(*keys).agg(F.count("*").alias("_n"))
+    order = Window.partitionBy(client, "day").orderBy("ts", "request_id", place)
+    firsts = weighed.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit)
+    within = firsts.withColumn("_upto", F.sum("_n").over(order)).where(F.col("_upto") <= limit)
+    taken = within.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = marked.join(taken, same & F.col(counts), "left")
+    return out.withColumn("accepted", F.col(f"_k{len(keys) - 1}").isNotNull()).select(*requests.columns, "day", "accepted")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import explode_structs
-from ..functions.bounded import SMALL_ROWS, broadcast_if_small
+from ..functions.bounded import broadcast_if_small
 
 
 def filter_language(corpus: DataFrame, language: str = "English") -> DataFrame:
@@ -31,32 +31,27 @@ def rare_labels(masks: DataFrame, min_count: int = 50) -> DataFrame:
     return masks.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") < min_count)
 
 
-def drop_labels(corpus: DataFrame, rare: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """Remove masks with a rare label from every row; the row stays.
+def drop_labels(corpus: DataFrame, rare: DataFrame) -> DataFrame:
+    """Remove masks with a rare label from every row; the row and its other masks stay.
 
-    A label set of ordinary size becomes a literal in the plan, so nothing is
-    joined; one beyond ``limit`` goes through a join instead.
+    The labels come as one array from a scalar subquery, so nothing is joined, no row is
+    regrouped and no job runs while the plan is built. A mask without a label stays
+    unless the rare labels hold a null themselves.
     """
-    labels = rare.select("label").distinct()
-    names = [row.label for row in labels.limit(limit + 1).collect()]
-    if len(names) > limit:
-        return _drop_by_join(corpus, labels)
-    kept = F.filter("privacy_mask", lambda m: ~m["label"].isin(names))
-    return corpus.withColumn("privacy_mask", kept) if names else corpus
-
-
-def _drop_by_join(corpus: DataFrame, labels: DataFrame) -> DataFrame:
-    kept = mask_rows(corpus, "doc_id").join(labels, "label", "left_anti")
-    ordered = F.array_sort(F.collect_list(F.struct("mask_idx", "start", "end", "label")))
-    regrouped = kept.groupBy("doc_id").agg(
-        F.transform(ordered, lambda m: F.struct(m["start"], m["end"], m["label"])).alias("_kept")
-    )
-    kind = corpus.schema["privacy_mask"].dataType
-    return (
-        corpus.join(regrouped, "doc_id", "left")
-        .withColumn("privacy_mask", F.coalesce(F.col("_kept").cast(kind), F.array().cast(kind)))
-        .drop("_kept")
+    name = "_rare" if "_rare" not in corpus.columns else "__rare"
+    listed = rare.agg(
+        F.struct(
+            F.collect_set("label").alias("names"),
+            F.coalesce(F.bool_or(F.col("label").isNull()), F.lit(False)).alias("none"),
+        )
     )
+    held = corpus.withColumn(name, listed.scalar())
+
+    def goes(m: Column) -> Column:
+        named = F.array_contains(F.col(name)["names"], m["label"])
+        return F.when(m["label"].isNull(), F.col(name)["none"]).otherwise(named)
+
+    return held.withColumn("privacy_mask", F.filter("privacy_mask", lambda m: ~goes(m))).drop(name)
 
 
 def count_removed(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -69,7 +64,8 @@ def count_removed(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def labels_left(masks: DataFrame, labels: DataFrame) -> DataFrame:
     """Masks per removed label that are still present; no rows when all are gone."""
-    left = masks.join(broadcast_if_small(labels.select("label").distinct()), "label", "left_semi")
+    named = broadcast_if_small(labels.select(F.col("label").alias("_label")).distinct())
+    left = masks.join(named, F.col("label").eqNullSafe(F.col("_label")), "left_semi")
     return left.groupBy("label").agg(F.count("*").alias("n"))
 
 

@@ -23,9 +23,11 @@ def serve_requests(
     Needs ``request_id, ts, text, threshold, forwarded, host``.
     """
     client = client_ip(F.col("forwarded"), F.col("host"))
-    checked = validate_requests(requests).withColumn("client", F.when(F.col("is_valid"), client))
+    checked = validate_requests(requests).withColumn("client", client)
     admitted = (
-        checked.withColumn("accepted", F.lit(True)) if limit is None else daily_quota(checked, limit).drop("day")
+        checked.withColumn("accepted", F.lit(True))
+        if limit is None
+        else daily_quota(checked, limit, counted=F.col("is_valid")).drop("day")
     )
     status = F.when(~F.col("is_valid"), INVALID).when(~F.col("accepted"), OVER_QUOTA).otherwise(DONE)
     coded = admitted.withColumn("status_code", status)

@@ -23,9 +23,14 @@ def split_of(doc_id: Column) -> Column:
     return F.when(first < "3", F.lit("validation")).otherwise(F.lit("train"))
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, source_text, privacy_mask, language, split``; masks may overlap."""
+def corpus(spark: SparkSession, sf_dir: str, first: int | None = None) -> DataFrame:
+    """``doc_id, source_text, privacy_mask, language, split``; masks may overlap.
+
+    With ``first``, of that many documents by id only, for reports that show no more.
+    """
     docs = documents(spark, sf_dir)
+    if first is not None:
+        docs = docs.orderBy("doc_id").limit(first)
     found = F.array_sort(RuleDetector().spans(F.col("text")))
     masks = F.transform(found, lambda s: F.struct(s["start"], s["end"], s["label"]))
     return docs.select(
@@ -55,8 +60,8 @@ def disturbed(doc_id: Column, masks: Column) -> Column:
     )
 
 
-def scored_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored_corpus(spark: SparkSession, sf_dir: str, first: int | None = None) -> DataFrame:
     """The corpus with predicted masks next to the silver ones."""
-    rows = corpus(spark, sf_dir)
+    rows = corpus(spark, sf_dir, first)
     predicted = let(F.col("privacy_mask"), lambda ms: disturbed(F.col("doc_id"), ms))
     return rows.withColumn("predicted_mask", predicted)

@@ -160,6 +160,35 @@ def b4(spark, sf):
     )
 
 
+@add(
+    "b4_drop_null_labels",
+    sql.with_(
+        *sql.MASK_MEMBERS,
+        """named AS (SELECT doc_id, mask_idx, CASE WHEN label = 'TIME' THEN NULL ELSE label END AS label FROM masks)""",
+        body="""SELECT doc_id, mask_idx, label, false AS none_listed FROM named WHERE label IS NULL OR label <> 'IP'
+                UNION ALL SELECT doc_id, mask_idx, label, true FROM named WHERE label IS NOT NULL AND label <> 'IP'""",
+    ),
+)
+def b4_null(spark, sf):
+    """Masks without a label stay, unless a null is among the labels to drop."""
+    hidden = F.transform(
+        "privacy_mask",
+        lambda m: F.struct(m["start"], m["end"], F.when(m["label"] != "TIME", m["label"]).alias("label"), m["pos"].alias("pos")),
+    )
+    numbered = F.transform(
+        "privacy_mask",
+        lambda m, i: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["label"].alias("label"), i.alias("pos")),
+    )
+    named = corpus(spark, sf).withColumn("privacy_mask", numbered).withColumn("privacy_mask", hidden)
+
+    def left(labels, listed):
+        kept = rows.drop_labels(named, spark.createDataFrame([(x,) for x in labels], "label string"))
+        masks = kept.select("doc_id", F.explode("privacy_mask").alias("m"))
+        return masks.select("doc_id", F.col("m.pos").alias("mask_idx"), "m.label", F.lit(listed).alias("none_listed"))
+
+    return left(["IP"], False).unionByName(left(["IP", None], True))
+
+
 @add(
     "b5_count_removed",
     sql.with_(

@@ -75,12 +75,12 @@ REGISTRY.oracles["a2_read_texts"] = (
 )
 
 
-@add("a5_write_redactions", _E3.replace("SELECT r.doc_id, r.redacted", "SELECT r.redacted"))
+@add("a5_write_redactions", _E3)
 def a5(spark, sf):
     path = shared_dir(spark)
     write_redactions(redact_documents(documents(spark, sf)), path)
     back = read_redactions(spark, path)
-    return back.select("redacted", "entity_count", entity_line(F.col("entities")).alias("entities"))
+    return back.select("doc_id", "redacted", "entity_count", entity_line(F.col("entities")).alias("entities"))
 
 
 @add(
@@ -141,7 +141,7 @@ def i2(spark, sf):
     sql.with_(
         _CLIENTS,
         body=f"""SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS "timestamp", 'INFO' AS level,
-                 'request_completed' AS message, 'r' || event_id AS request_id, {_CLIENT_ID} AS client_id,
+                 'veilframe.requests' AS logger, 'request_completed' AS message, 'r' || event_id AS request_id, {_CLIENT_ID} AS client_id,
                  '/' || event_type AS endpoint, 'POST' AS method,
                  CAST(CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS INT) AS status_code,
                  round(value * 1000, 2) AS duration_ms, CAST(length(props) AS INT) AS text_length, 0 AS entity_count
@@ -149,19 +149,40 @@ def i2(spark, sf):
     ),
 )
 def i3(spark, sf):
-    rows = clients(spark, sf).select(
+    return request_log(logged(spark, sf, F.when(F.col("event_type") == "error", 500).otherwise(200)))
+
+
+@add(
+    "i3_failed_requests",
+    sql.with_(
+        _CLIENTS,
+        body=f"""SELECT CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level, 'veilframe.requests' AS logger,
+                 CASE WHEN event_type = 'error' THEN 'request_failed' ELSE 'request_completed' END AS message,
+                 'r' || event_id AS request_id, {_CLIENT_ID} AS client_id, '/' || event_type AS endpoint, 'POST' AS method,
+                 CAST(CASE WHEN event_type <> 'error' THEN 200 END AS INT) AS status_code,
+                 CASE WHEN event_type <> 'error' THEN round(value * 1000, 2) END AS duration_ms,
+                 CAST(CASE WHEN event_type <> 'error' THEN length(props) END AS INT) AS text_length,
+                 CASE WHEN event_type <> 'error' THEN 0 END AS entity_count FROM cl""",
+    ),
+)
+def i3_failed(spark, sf):
+    """A request that ended in an exception has no status, and its log row nothing measured."""
+    return request_log(logged(spark, sf, F.when(F.col("event_type") != "error", 200))).drop("timestamp")
+
+
+def logged(spark, sf, status):
+    return clients(spark, sf).select(
         F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("request_id"),
         "api_key",
         "host",
         F.concat(F.lit("/"), "event_type").alias("endpoint"),
         F.lit("POST").alias("method"),
-        F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status_code"),
+        status.alias("status_code"),
         F.col("value").alias("duration"),
         "ts",
         F.col("props").alias("text"),
         F.array().alias("entities"),
     )
-    return request_log(rows)
 
 
 @add(
@@ -176,6 +197,26 @@ def i4(spark, sf):
     return daily_quota(rows, limit=5).select("request_id", "day", "accepted")
 
 
+@add(
+    "i4_quota_of_ties",
+    """WITH req AS (
+         SELECT user_id % 5 AS client, date_trunc('hour', ts) AS ts,
+                CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'same' ELSE 'r' || (event_id % 7) END AS request_id FROM events),
+       ties AS (SELECT *, CAST(ts AS DATE) AS day, count(*) AS n FROM req GROUP BY ALL),
+       run AS (SELECT *, sum(n) OVER (PARTITION BY client, day ORDER BY ts, request_id NULLS FIRST) AS upto FROM ties)
+       SELECT client, day, request_id, upto <= 9 AS accepted, CAST(sum(n) AS BIGINT) AS n FROM run GROUP BY ALL""",
+)
+def i4_ties(spark, sf):
+    """Requests whose id and time repeat, or that have no id: equal rows share an outcome."""
+    event = F.col("event_id")
+    rows = table(spark, sf, "events").select(
+        (F.col("user_id") % 5).alias("client"),
+        F.date_trunc("hour", "ts").alias("ts"),
+        F.when(event % 3 == 1, "same").when(event % 3 == 2, F.concat(F.lit("r"), (event % 7).cast("string"))).alias("request_id"),
+    )
+    return daily_quota(rows, limit=9).groupBy("client", "day", "request_id", "accepted").agg(F.count("*").alias("n"))
+
+
 @add(
     "j2_quota_counts",
     """SELECT user_id AS client, CAST(ts AS DATE) AS day, count(*) AS n, count(*) > 5 AS over_quota
@@ -267,7 +308,7 @@ def serve(spark, sf):
     "serve_requests_log",
     sql.with_(
         *sql.RESOLVED_MEMBERS, sql.REDACTED, _SERVED,
-        body="""SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS "timestamp", 'INFO' AS level, 'request_completed' AS message,
+        body="""SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS "timestamp", 'INFO' AS level, 'veilframe.requests' AS logger, 'request_completed' AS message,
                   request_id, 'ip_' || left(sha256(host), 8) AS client_id, '/demo/redact' AS endpoint, 'POST' AS method,
                   CAST(status_code AS INT) AS status_code, round(duration * 1000, 2) AS duration_ms,
                   CASE WHEN status_code = 200 THEN CAST(length(a.text) AS INT) END AS text_length,

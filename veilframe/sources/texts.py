@@ -29,21 +29,23 @@ def read_texts(
     )
 
 
-def redaction_json(df: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id, value``: one JSON document per text."""
+def redaction_json(df: DataFrame, text: str = "text", identity: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, value``: one JSON document per text; ``identity`` columns come first in it."""
     document = F.struct(
-        F.col(text).alias("original"), F.col("redacted"), F.col("entities"), F.col("entity_count")
+        *identity, F.col(text).alias("original"), F.col("redacted"), F.col("entities"), F.col("entity_count")
     )
     return df.select("doc_id", F.to_json(document).alias("value"))
 
 
 def write_redactions(df: DataFrame, path: str, text: str = "text", mode: str = "error") -> None:
-    redaction_json(df, text).select("value").write.mode(mode).text(path)
+    """JSON lines that name the document, and its file where it came from one."""
+    identity = [c for c in ("doc_id", "path") if c in df.columns]
+    redaction_json(df, text, identity).select("value").write.mode(mode).text(path)
 
 
 def read_redactions(spark: SparkSession, path: str) -> DataFrame:
     schema = (
-        "original string, redacted string, entities array<struct<text:string,label:string,"
+        "doc_id long, path string, original string, redacted string, entities array<struct<text:string,label:string,"
         "start:int,end:int,score:double>>, entity_count int"
     )
     return spark.read.schema(schema).json(path)

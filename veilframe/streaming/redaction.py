@@ -34,9 +34,13 @@ def stream_redact(
     """Start the query. Each batch overwrites its own folder, so a replay changes nothing."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        good, bad = redact_batch(batch, detector, max_chars)
-        good.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{rejected}/batch_id={batch_id}")
+        held = batch.persist()  # read once for both folders
+        try:
+            good, bad = redact_batch(held, detector, max_chars)
+            good.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+            bad.write.mode("overwrite").parquet(f"{rejected}/batch_id={batch_id}")
+        finally:
+            held.unpersist()
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:
