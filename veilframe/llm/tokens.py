@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 
 from .common import spans_of
 
-MEMORY = 1_000_000  # pieces a worker remembers, and as many words
+MEMORY, PARTS_MEMORY = 700_000, 100_000  # pieces a worker remembers, and parts of composed ones
 # Before such a character a blank always opens a new piece of the byte vocabulary.
 BYTE_SPLIT = re.compile(" (?=[!-~¡-ᙿ])")
 ODD_BLANK = "\x01| [^!-~\u00a1-\u167f]| $"  # texts with these are cut by the pattern above
@@ -139,16 +139,16 @@ class Encoder:
             return
         asked = self.pieces.new
         self.pieces.new = []
-        if len(self.words) > MEMORY:
+        if len(self.words) > PARTS_MEMORY:
             self.words.clear()
         got: list[bytes] = []
         odd: list[int] = []
-        word = self.words.__getitem__
+        part = self.words.__getitem__
         for i, piece in enumerate(asked):
             if PLAIN.fullmatch(piece):
-                got.append(word(piece))
+                got.append(self._word(piece))
             elif SIMPLE.fullmatch(piece):
-                got.append(b"".join(map(word, PART.findall(piece))))
+                got.append(b"".join(map(part, PART.findall(piece))))
             else:
                 odd.append(i)
                 got.append(b"")
