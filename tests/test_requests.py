@@ -53,7 +53,7 @@ def test_log_holds_no_text(spark):
         "duration double, ts timestamp, text string, entities array<string>",
     )
     log = request_log(df)
-    assert set(log.columns) == {"timestamp", "level", "message", *LOG_FIELDS}
+    assert set(log.columns) == {"timestamp", "level", "logger", "message", *LOG_FIELDS}
     one, two = log.orderBy(F.desc("entity_count")).collect()
     assert (one.client_id, one.duration_ms, one.text_length, one.entity_count) == ("key_...5678", 12.35, 9, 1)
     assert "secret" not in str(one) and len(two.request_id) == 36 and two.client_id == "anonymous"
