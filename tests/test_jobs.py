@@ -72,3 +72,6 @@ def test_shared_folder_follows_the_session(spark):
     settings = {"spark.checkpoint.dir": "s3://bucket/ckpt/"}
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: settings.get(key, default)))
     assert shared_dir(session).startswith("s3://bucket/ckpt/veilframe/")
+    settings = {"spark.master": "spark://host:7077"}
+    with pytest.raises(ValueError):
+        shared_dir(session)

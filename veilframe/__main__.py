@@ -26,15 +26,17 @@ def redact(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.output:
         write_redactions(done, args.output)
     else:
-        for row in redaction_json(done).toLocalIterator():
+        if args.text is None:
+            raise SystemExit("a folder of texts needs --output")
+        for row in redaction_json(done).collect():  # the one text given
             print(row.value)
 
 
 def prepare(spark: SparkSession, args: argparse.Namespace) -> None:
     raw = spark.read.parquet(args.path)
     done = prepare_corpus(raw, args.language, args.rare_threshold)
+    done.check()  # before anything is saved
     write_corpus(done.corpus, f"{args.output}/corpus")
-    done.check()
     masks = mask_rows(done.corpus, "split")
     train = masks.where("split = 'train'")
     info = label_info(done.vocab, total_label_counts(masks), total_label_counts(train))

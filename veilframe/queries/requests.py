@@ -59,10 +59,10 @@ def b7(spark, sf):
 
 @add("a2_read_texts")
 def a2(spark, sf):
-    """Every document written as a file of its own and read back whole."""
+    """Every document written as a file of its own and read back whole, a thousand to a folder."""
     path = shared_dir(spark)
-    docs = documents(spark, sf)
-    docs.select("text", "doc_id").write.partitionBy("doc_id").option("lineSep", "\x00").text(path)
+    docs = documents(spark, sf).withColumn("folder", F.floor(F.col("doc_id") / 1000))
+    docs.select("text", "folder", "doc_id").write.partitionBy("folder", "doc_id").option("lineSep", "\x00").text(path)
     back = read_texts(spark, path=path)
     return back.select(
         F.regexp_extract("path", "doc_id=([0-9]+)/", 1).cast("long").alias("source_id"),
@@ -235,9 +235,7 @@ def j2(spark, sf):
 def j2_stream(spark, sf):
     """The stream's closed days: a day closes when the watermark passes its end."""
     base = shared_dir(spark)
-    source = table(spark, sf, "events")
-    source.write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(source.schema).parquet(f"{base}/in")
+    stream = given(spark, sf, "events")
     rows = stream.select(F.col("user_id").alias("client"), F.col("ts").cast("timestamp").alias("ts"))
     counted = stream_quota(rows, limit=5, delay="1 hour")
     query = (
@@ -252,12 +250,16 @@ def j2_stream(spark, sf):
     return spark.read.schema(counted.schema).parquet(f"{base}/out")
 
 
+def given(spark, sf, name):
+    """A given table as a stream: a pattern, as a table may be one file or a folder of them."""
+    schema = table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf}/{name}.parque[t]")
+
+
 @add("j1_stream_redact", _E3)
 def j1(spark, sf):
     base = shared_dir(spark)
-    source = table(spark, sf, "documents").select("doc_id", "text")
-    spread(source).write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
+    stream = given(spark, sf, "documents").select("doc_id", "text")
     query = stream_redact(stream, f"{base}/out", f"{base}/bad", f"{base}/state", max_chars=None)
     query.awaitTermination()
     out = spark.read.parquet(f"{base}/out")

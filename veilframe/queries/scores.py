@@ -14,6 +14,8 @@ from ..operators.labels import build_vocab
 from ..operators.rows import mask_rows, split_by_metric
 from ..plans.evaluation import kept_sequences, tag_columns, tagged_pairs
 from ..plans.silver import scored_corpus
+from ..session import shared_dir
+from ..sources.run_logs import read_run_logs, write_run_logs
 from ..sources.tables import table
 from . import REGISTRY, sql
 
@@ -264,16 +266,19 @@ best AS (
 
 def run_logs(spark, sf):
     """Training logs read off the events: user as run, day as checkpoint, hour as step."""
-    events = table(spark, sf, "events")
-    keyed = events.select(
+    keyed = keyed_logs(table(spark, sf, "events"))
+    best = keyed.groupBy("run", "checkpoint").agg(F.max("step").alias("best_step"))
+    return keyed.join(best, ["run", "checkpoint"])
+
+
+def keyed_logs(events):
+    return events.select(
         F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("run"),
         F.dayofmonth("ts").alias("checkpoint"),
         F.hour("ts").cast("long").alias("step"),
         F.when(F.col("event_type") != "error", F.round(F.col("value") / 1000, 6)).alias("eval_f1"),
         F.struct("ts", "event_id").alias("pos"),
     )
-    best = keyed.groupBy("run", "checkpoint").agg(F.max("step").alias("best_step"))
-    return keyed.join(best, ["run", "checkpoint"])
 
 
 @add("g12_best_log", sql.with_(_LOGS, body="SELECT run, checkpoint, best_step, eval_f1 FROM best"))
@@ -281,6 +286,37 @@ def g12(spark, sf):
     return rep.best_log(run_logs(spark, sf))
 
 
+@add(
+    "a6_run_logs",
+    """WITH logs AS (
+         SELECT 'run-' || (user_id % 10) AS run, CAST(dayofmonth(ts) AS INT) AS checkpoint, CAST(hour(ts) AS BIGINT) AS step,
+                CASE WHEN event_type <> 'error' THEN round(value / 1000, 6) END AS eval_f1 FROM events)
+       SELECT run, checkpoint, 'out/' || run || '/checkpoint-' || checkpoint AS best_checkpoint,
+              max(step) OVER (PARTITION BY run, checkpoint) AS best_step, step, eval_f1, n
+       FROM (SELECT run, checkpoint, step, eval_f1, count(*) AS n FROM logs GROUP BY ALL)""",
+)
+def a6(spark, sf):
+    """A tree of state files, one per run and checkpoint, written and read back."""
+    path = shared_dir(spark)
+    events = table(spark, sf, "events").withColumn("user_id", F.col("user_id") % 10)
+    logs = keyed_logs(events)
+    state = logs.groupBy("run", "checkpoint").agg(
+        F.max("step").alias("best_global_step"),
+        F.collect_list(
+            F.when(
+                F.col("eval_f1").isNotNull(),
+                F.create_map(F.lit("step"), F.col("step").cast("double"), F.lit("eval_f1"), F.col("eval_f1")),
+            ).otherwise(F.create_map(F.lit("step"), F.col("step").cast("double")))
+        ).alias("log_history"),
+    )
+    folder = F.concat(F.lit("checkpoint-"), F.col("checkpoint").cast("string"))
+    best = F.concat(F.lit("out/"), "run", F.lit("/"), folder)
+    text = F.to_json(F.struct(best.alias("best_model_checkpoint"), "best_global_step", "log_history"))
+    write_run_logs(state.select("run", "checkpoint", text.alias("value")), path)
+    back = read_run_logs(spark, path)
+    return back.groupBy("run", "checkpoint", "best_checkpoint", "best_step", "step", "eval_f1").agg(F.count("*").alias("n"))
+
+
 @add("g12_first_checkpoint", sql.with_(_LOGS, body="SELECT run, min(checkpoint) AS checkpoint FROM logs GROUP BY 1"))
 def g12_first(spark, sf):
     return rep.first_checkpoint(run_logs(spark, sf))

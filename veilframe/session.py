@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import SparkSession
@@ -24,11 +24,24 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``, which all executors reach.
+    """A fresh folder that all executors reach; it goes when the driver's process ends.
 
-    Only where that setting is absent (a local test) a temporary folder is used.
+    It lies under ``spark.checkpoint.dir``. Only on a local master, where every folder
+    is shared, that may be unset; then the session's warehouse takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="veilframe-")
-    return f"{base.rstrip('/')}/veilframe/{uuid.uuid4().hex}"
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+        base = spark.conf.get("spark.sql.warehouse.dir", None)
+    path = f"{base.rstrip('/')}/veilframe/{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    except Exception:  # the session is gone already; nothing can be reached through it
+        return

@@ -9,6 +9,13 @@ STATE_SCHEMA = (
     "best_model_checkpoint string, best_global_step long, log_history array<map<string,double>>"
 )
 STATE_PATH = "([^/]+)/checkpoint-([0-9]+)/[^/]+$"
+# The same tree as Spark writes it: folders named by column and value.
+WRITTEN_PATH = "run=([^/]+)/checkpoint=([0-9]+)/[^/]+$"
+
+
+def write_run_logs(states: DataFrame, path: str) -> None:
+    """One state file per ``run, checkpoint`` from its JSON ``value``."""
+    states.write.partitionBy("run", "checkpoint").option("lineSep", "\n").text(path)
 
 
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -17,15 +24,17 @@ def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
         spark.read.schema(STATE_SCHEMA)
         .option("multiLine", "true")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "trainer_state.json")
+        .option("pathGlobFilter", "{trainer_state.json,part-*}")
         .json(path)
     )
     if not states.inputFiles():
         raise FileNotFoundError(f"no checkpoint under {path}")
     where = F.col("_metadata.file_path")
     rows = states.select(
-        F.regexp_extract(where, STATE_PATH, 1).alias("run"),
-        F.regexp_extract(where, STATE_PATH, 2).cast("int").alias("checkpoint"),
+        F.coalesce(*[F.nullif(F.regexp_extract(where, p, 1), F.lit("")) for p in (WRITTEN_PATH, STATE_PATH)]).alias("run"),
+        F.coalesce(*[F.nullif(F.regexp_extract(where, p, 2), F.lit("")) for p in (WRITTEN_PATH, STATE_PATH)])
+        .cast("int")
+        .alias("checkpoint"),
         F.col("best_model_checkpoint").alias("best_checkpoint"),
         F.col("best_global_step").alias("best_step"),
         F.posexplode_outer("log_history").alias("pos", "metrics"),
