@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +47,20 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What a reused Python worker remembers between tasks, by operator, and how to drop it.
+REMEMBERED: dict[str, Callable[[], None]] = {}
+_now = [""]
+
+
+def enter(name: str) -> None:
+    """Called as a task begins: a worker holds the memory of one operator at a time."""
+    if _now[0] != name:
+        for other, drop in REMEMBERED.items():
+            if other != name:
+                drop()
+        _now[0] = name
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

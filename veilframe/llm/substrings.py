@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, runs, shuffle_width, spans_of
+from .common import REMEMBERED, enter, mix64, runs, shuffle_width, spans_of
 
 GRAM = 16
 HELD = 32_000_000  # bytes of text whose digits a task holds at a time
@@ -50,6 +51,9 @@ class Powers:
     """BASE and its inverse to every power that a text has needed so far."""
 
     def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
         self.up = self.down = np.ones(1, np.uint64)
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,6 +67,7 @@ class Powers:
 
 
 POWERS = Powers()
+REMEMBERED["powers"] = POWERS.clear
 
 
 class Text:
@@ -112,6 +117,7 @@ def suffixes(text: Text, length: int) -> tuple[np.ndarray, ...]:
 
 def _digits(batches: Iterator[pd.DataFrame], length: int, parts: int) -> Iterator[pd.DataFrame]:
     """First and second digits of all anchors; matches within what the task holds are settled here."""
+    enter("powers")
     keys: list[tuple[int, int]] = []
     held: list[np.ndarray] = []
     size = 0
@@ -266,15 +272,28 @@ def _second_digit(group: pd.DataFrame, length: int) -> pd.DataFrame:
     return pd.concat(out)
 
 
+def _packed_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts travel compressed: they are the larger part of what is dealt out by document."""
+    tool = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        yield batch.assign(doc_id=batch["doc_id"].astype("Int64"), raw=[None if r is None else tool.compress(r) for r in batch["raw"]])
+
+
+def _plain(packed: bytes | None, tool: zstandard.ZstdDecompressor) -> bytes:
+    return b"" if packed is None else tool.decompress(packed)
+
+
 def _strings(batches: Iterator[pd.DataFrame], length: int, parts: int) -> Iterator[pd.DataFrame]:
     """The strings around the anchors that were asked for, in the parts of their grams."""
+    enter("powers")
+    tool = zstandard.ZstdDecompressor()
     for batch in batches:
         rows, part, keys = [], [], []
         for doc_id, mark, raw, asked in zip(batch["doc_id"], batch["mark"], batch["raw"], batch["anchors"], strict=True):
             a = np.asarray([] if asked is None else asked, np.int64)
             if not len(a):
                 continue
-            text, at, far, near = Text(raw), a >> 32, (a >> 8) & 255, a & 255
+            text, at, far, near = Text(_plain(raw, tool)), a >> 32, (a >> 8) & 255, a & 255
             start = spans_of(at - far, far - near + 1)
             some = np.empty(len(start), STRING)
             some["key"], some["doc"], some["at"] = text.hash(start, start + length), len(keys), start
@@ -300,10 +319,11 @@ def _last_digit(group: pd.DataFrame, length: int) -> pd.DataFrame:
 
 def _results(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """What remains of every text once its spans are merged and taken out."""
+    tool = zstandard.ZstdDecompressor()
     for batch in batches:
         out = {"starts": [], "ends": [], "n_bytes": [], "n_removed": [], "kept": []}
         for raw, first, second in zip(batch["raw"], batch["spans"], batch["more"], strict=True):
-            raw = raw or b""
+            raw = _plain(raw, tool)
             a = np.concatenate([np.asarray(x, np.int64) for x in (first, second) if x is not None] or [np.zeros(0, np.int64)])
             one = _merged(np.zeros(len(a), np.int64), a >> 32, a & 0xFFFFFFFF)
             starts, ends = one["start"].tolist(), one["end"].tolist()
@@ -331,7 +351,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), raw)
     name = ["doc_id", "mark"]
     # Digits come straight from the scan; texts are dealt out once and that exchange is read again.
-    there = rows.repartition(width, *name)
+    there = rows.mapInPandas(_packed_texts, "doc_id long, mark long, raw binary").repartition(width, *name)
     digits = rows.mapInPandas(lambda it: _digits(it, length, parts), PACKED)
     second = digits.groupBy("part").applyInPandas(lambda g: _second_digit(g, length), FOUND)
     found = second.groupBy(*name).agg(F.collect_list("span").alias("spans"), F.collect_list("anchor").alias("anchors"))
