@@ -8,7 +8,10 @@ from veilframe.functions.layout import token_layout
 from veilframe.functions.bounded import broadcast_if_small
 from veilframe.operators.alignment import align, encode_labels
 from veilframe.operators.detect import RuleDetector, detect_in_document
+from veilframe.operators.alignment import encode_labels
+from veilframe.operators.evaluate import decode_tags
 from veilframe.operators.governance import daily_quota
+from veilframe.operators.labels import split_half
 from veilframe.operators.labels import build_vocab
 from veilframe.operators.overlap import resolve_overlaps
 from veilframe.operators.rows import filter_language, mask_rows
@@ -72,10 +75,10 @@ def test_one_split_reads_one_partition(spark, corpus, tmp_path):
     assert "PartitionFilters: [isnotnull(split" in text and "source_text" not in text.split("ReadSchema")[1]
 
 
-def test_vocabulary_is_broadcast(corpus):
+def test_vocabulary_is_no_join(corpus):
     vocab = build_vocab(mask_rows(corpus, "doc_id"))
     text = plan(encode_labels(align(corpus), vocab))
-    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+    assert "Join" not in text.split("Subqueries")[0]
 
 
 def test_large_lookups_are_not_hinted(spark):
@@ -90,6 +93,25 @@ def test_overlap_reads_its_input_once(docs):
     assert text.count("FileScan") == 1 and "ReusedExchange" in text
 
 
+def operators(df):
+    """Names of the physical operators, without those of subqueries."""
+    open_, names = [df._jdf.queryExecution().sparkPlan()], set()
+    while open_:
+        node = open_.pop()
+        names.add(node.nodeName())
+        open_ += [node.children().apply(i) for i in range(node.children().size())]
+    return names
+
+
+def test_tokens_and_texts_stay_where_they_are(spark):
+    vocab = spark.createDataFrame([(0, "O"), (1, "B-A")], "label_id int, label string")
+    tokens = spark.range(9).selectExpr("id doc_id", "0 token_idx", "0 word_id", "0 start", "0 word_start", "'O' tag", "0 gold_id", "1 pred_id")
+    docs = spark.range(9).selectExpr("id doc_id", "'a' source_text")
+    for df in (encode_labels(tokens, vocab), decode_tags(tokens, vocab), split_half(docs)):
+        assert operators(df) <= {"Project", "Filter", "Range", "Scan ExistingRDD", "LocalTableScan"}, operators(df)
+        assert df.count() == 9
+
+
 def test_quota_is_cut_before_its_shuffle(spark):
     df = spark.range(100).select(
         (F.col("id") % 3).alias("client"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("request_id")

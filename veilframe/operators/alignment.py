@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import explode_structs, let
-from ..functions.bounded import broadcast_if_small
 from ..functions.tags import IGNORED, WORD_UNION, bio_tags
 from .tokens import with_tokens
 
@@ -54,18 +53,33 @@ def encode_labels(tokens: DataFrame, vocab: DataFrame, unknown: int | None = Non
 
     A later token of an unlabelled word keeps O. With ``unknown`` every later
     token is ignored and a tag outside the vocabulary gets that id instead.
-    A token continues its word when it does not start where the word starts.
+    A token continues its word when it does not start where the word starts. Ids are
+    looked up in the row, in a map from a scalar subquery: no token is moved.
     """
-    ids = broadcast_if_small(vocab.select(F.col("label").alias("tag"), "label_id"))
+    names = fresh(tokens, "_ids")
+    found = F.try_element_at(F.col(names), F.col("tag"))
     later = F.col("start") > F.col("word_start")
     if unknown is None:
         ignored = F.col("word_id").isNull() | (later & (F.col("tag") != "O"))
-        value = F.col("label_id")
+        value = found
     else:
         ignored = F.col("word_id").isNull() | later
-        value = F.coalesce("label_id", F.lit(unknown))
-    joined = tokens.join(ids, "tag", "left")
-    return joined.withColumn("label_id", F.when(ignored, F.lit(IGNORED)).otherwise(value))
+        value = F.coalesce(found, F.lit(unknown))
+    held = tokens.withColumn(names, id_map(vocab, "label", "label_id"))
+    return held.withColumn("label_id", F.when(ignored, F.lit(IGNORED)).otherwise(value)).drop(names)
+
+
+def fresh(df: DataFrame, stem: str) -> str:
+    while stem in df.columns:
+        stem = f"_{stem}"
+    return stem
+
+
+def id_map(vocab: DataFrame, key: str, value: str) -> Column:
+    """The vocabulary as one map; ``O`` comes first, which most tokens look for."""
+    pairs = F.array_sort(F.collect_list(F.struct("label_id", F.col(key).alias("k"), F.col(value).alias("v"))))
+    entries = F.transform(pairs, lambda x: F.struct(x["k"], x["v"]))
+    return vocab.agg(F.map_from_entries(entries)).scalar()
 
 
 def class_weights(tokens: DataFrame, vocab: DataFrame) -> DataFrame:

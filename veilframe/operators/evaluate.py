@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import explode_structs
-from ..functions.bounded import broadcast_if_small
 from ..functions.tags import IGNORED, argmax, tag_spans
+from .alignment import fresh, id_map
 
 SPAN_KEY = ["doc_id", "label", "first", "last"]
 
@@ -20,12 +20,11 @@ def with_argmax(df: DataFrame, scores: str = "scores", alias: str = "pred_id") -
 
 def decode_tags(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """Drop positions whose gold id is -100 and turn ``gold_id``, ``pred_id`` into tags."""
-    ids = broadcast_if_small(vocab.select("label_id", "label"))
-    kept = tokens.where(F.col("gold_id") != IGNORED)
+    names = fresh(tokens, "_names")
+    kept = tokens.where(F.col("gold_id") != IGNORED).withColumn(names, id_map(vocab, "label_id", "label"))
     for side in ("gold", "pred"):
-        names = ids.select(F.col("label_id").alias(f"{side}_id"), F.col("label").alias(side))
-        kept = kept.join(names, f"{side}_id")
-    return kept.drop("gold_id", "pred_id")
+        kept = kept.withColumn(side, F.try_element_at(F.col(names), F.col(f"{side}_id")))
+    return kept.where(F.col("gold").isNotNull() & F.col("pred").isNotNull()).drop("gold_id", "pred_id", names)
 
 
 def tags_to_spans(sequences: DataFrame, tags: str) -> DataFrame:

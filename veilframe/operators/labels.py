@@ -58,26 +58,23 @@ def entity_types(vocab: DataFrame) -> DataFrame:
 def split_half(df: DataFrame, key: str = "doc_id", seed: int = 42) -> DataFrame:
     """Exact halves by hash rank: ``half`` is ``validation`` or ``test``; test takes the odd row.
 
-    Ranks come from counts per hash prefix, so no task orders the whole table:
-    one window runs over the 65,536 prefixes, another inside each prefix.
+    Only the median is looked for, on hashes and keys: counts of 65,536 hash prefixes name
+    the prefix it lies in, a rank inside that prefix the place. Rows are then compared with
+    it where they are, so nothing of them moves. Rows that share a key stay together.
     """
-    hashed = df.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
-    parts = hashed.withColumn("_p", F.substring("_h", 1, 4))
-    counts = parts.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "_p",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy()).alias("_total"),
-    )
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy("_h", key))
-    first = F.floor(F.col("_total") / 2)
-    return (
-        parts.withColumn("_rn", rank)
-        .join(F.broadcast(offsets), "_p")
-        .withColumn("half", F.when(F.col("_before") + F.col("_rn") <= first, "validation").otherwise("test"))
-        .drop("_h", "_p", "_rn", "_before", "_total")
-    )
+    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    narrow = df.select(hashed.alias("h"), F.substring(hashed, 1, 4).alias("p"), F.col(key).alias("k"))
+    counts = narrow.groupBy("p").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = F.floor(F.sum("n").over(Window.partitionBy()) / 2)
+    placed = counts.select("p", "n", before.alias("before"), first.alias("first"))
+    at = placed.where((F.col("before") < F.col("first")) & (F.col("first") <= F.col("before") + F.col("n")))
+    cut = at.select(F.struct("p", (F.col("first") - F.col("before")).alias("r"))).scalar()
+    inside = narrow.withColumn("cut", cut).where(F.col("p") == F.col("cut.p"))
+    ranked = inside.withColumn("rn", F.row_number().over(Window.partitionBy("p").orderBy("h", "k")))
+    median = ranked.where(F.col("rn") == F.col("cut.r")).select(F.struct("h", "k")).scalar()
+    early = F.coalesce(F.struct(hashed.alias("h"), F.col(key).alias("k")) <= median, F.lit(False))
+    return df.withColumn("half", F.when(early, "validation").otherwise("test"))
 
 
 def split_half_by_parity(df: DataFrame, key: str = "doc_id", seed: int = 42) -> DataFrame:
