@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import uuid
 
 from pyspark.sql import SparkSession
@@ -43,5 +44,6 @@ def _drop(spark: SparkSession, path: str) -> None:
     try:
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-    except Exception:  # the session is gone already; nothing can be reached through it
-        return
+    except Exception:  # the session is gone already; a local master's folder can still be dropped
+        if "://" not in path:
+            shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
