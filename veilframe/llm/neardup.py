@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, mix64, shuffle_width, staged
+from .common import enter, fresh, mix64, shuffle_width, staged
 from .links import components, forest, paired_blocks, whole_groups
 from .tokens import text_batches
 from .words import shingle_sets, word_codes
@@ -76,6 +76,7 @@ def bands_of(coordinates: np.ndarray) -> np.ndarray:
 
 def _sets(texts: list, width: int) -> Iterator[tuple[int, np.ndarray]]:
     """Index and set of every text."""
+    enter("sets")
     for a, b in text_batches(texts):
         words, counts = word_codes(texts[a:b], xxhash.xxh64_intdigest)
         yield from enumerate(shingle_sets(words, counts, width), a)

@@ -19,9 +19,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import spans_of
+from .common import REMEMBERED, enter, spans_of
 
-MEMORY, PARTS_MEMORY = 700_000, 100_000  # pieces a worker remembers, and parts of composed ones
+MEMORY, PARTS_MEMORY = 500_000, 100_000  # pieces a worker remembers, and parts of composed ones
 # Before such a character a blank always opens a new piece of the byte vocabulary.
 BYTE_SPLIT = re.compile(" (?=[!-~¡-ᙿ])")
 ODD_BLANK = "\x01| [^!-~\u00a1-\u167f]| $"  # texts with these are cut by the pattern above
@@ -41,10 +41,12 @@ _visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _visible)}
 
 _encoders: dict[tuple, Encoder] = {}
+REMEMBERED["tokens"] = _encoders.clear
 
 
 def encoder(path: str, blanks: bool, end: int) -> Encoder:
     """One encoder per worker; ``blanks``: the vocabulary keeps the blank before a word."""
+    enter("tokens")
     key = (path, blanks, end)
     if key not in _encoders:
         _encoders[key] = Encoder(path, blanks, end)
@@ -204,7 +206,7 @@ def sentence_ends(path: str) -> np.ndarray:
     return out
 
 
-def text_batches(texts: Sequence[str | None], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def text_batches(texts: Sequence[str | None], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` characters each, to bound memory."""
     start = total = 0
     for i, text in enumerate(texts):
