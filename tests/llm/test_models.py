@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from samples import words
-from veilframe.llm import topk, toxicity
+from veilframe.llm import queries, topk, toxicity
 
 
 def plain_search(rows, k, scale=256.0):
@@ -121,3 +121,10 @@ def test_pipeline(spark):
     copies = {i: before.where(F.col("doc_id") == i).count() for i in list(per_copy)[:5]}
     for i, n in copies.items():
         assert sum(r["length"] for r in packed if r["doc_id"] == i) == n * per_copy[i]
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.REGISTRY.queries) - set(queries.REGISTRY.oracles)))
+def test_every_document_has_its_rows(spark, name):
+    sf = "/root/testdata/sf0.001"
+    found = {r["doc_id"] for r in queries.REGISTRY.queries[name](spark, sf).collect()}
+    assert found == {r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
