@@ -24,20 +24,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, mix64, runs, shuffle_width, spans_of, staged
+from .common import enter, fresh, mix64, runs, shuffle_width, spans_of, staged
 from .substrings import POWERS
 from .tokens import text_batches
 
 DISTANCE, LEAST = 2, 16
 SAMPLED, BLOCK = 64, 2048  # one line in so many is sampled for hot keys; members of a block
 PARTS = 4
-CLASSES = 16  # letters by hash; a line's count of each, modulo 16
+CLASSES = 16  # letters by code point; a line's count of each, modulo 16
 BITMAP = 26
+MEETINGS, HELD = 250_000, 1_000_000  # pairs compared and characters cut at a time
 ENTRY = np.dtype([("key", "<u4"), ("key2", "<u2"), ("role", "u1"), ("line", "<u8"), ("counts", "<u8")])
 INDEX, PROBE = 0, 1
+SPREAD = mix64(np.arange(1, (1 << 16) + 1, dtype=np.uint64))  # of the commoner code points
 LINES = "doc_id long, mark long, line_no int, line long, counts long"
 PAIRS = "line long, counts long, line2 long, counts2 long"
 
@@ -46,6 +48,7 @@ class Lines:
     """All non-blank lines of some texts, as stretches of one array of code points."""
 
     def __init__(self, texts: list[str | None]) -> None:
+        enter("powers")
         found = [(i, n, s) for i, t in enumerate(texts) if t for n, s in enumerate(t.split("\n")) if s.strip(" \t\x0b\x0c\r")]
         self.owner = np.array([f[0] for f in found], np.int64)
         self.number = np.array([f[1] for f in found], np.int32)
@@ -54,13 +57,15 @@ class Lines:
         self.start = np.cumsum(self.size) - self.size
         flat = np.frombuffer("".join(self.texts).encode("utf-32-le", "surrogatepass"), "<u4")
         up, self.down = POWERS.to(len(flat) + 1)
-        spread = mix64(flat.astype(np.uint64) + np.uint64(1))
+        low = not len(flat) or flat.max() < len(SPREAD)
+        spread = SPREAD[flat] if low else mix64(flat.astype(np.uint64) + np.uint64(1))
+        spread *= up[:-1]
         self.upto = np.zeros(len(flat) + 1, np.uint64)
-        np.cumsum(spread * up[:-1], out=self.upto[1:])
+        np.cumsum(spread, out=self.upto[1:])
         self.line = self.hash(self.start, self.size)
-        letter = (spread >> np.uint64(60)).astype(np.int64)
-        row = np.repeat(np.arange(len(found)), self.size)
-        table = np.bincount(row * CLASSES + letter, minlength=len(found) * CLASSES).reshape(-1, CLASSES)
+        cell = np.repeat(np.arange(len(found), dtype=np.int32) * CLASSES, self.size)
+        cell += flat % CLASSES
+        table = np.bincount(cell, minlength=len(found) * CLASSES).reshape(-1, CLASSES)
         places = np.arange(CLASSES, dtype=np.uint64) * np.uint64(4)
         self.counts = ((table & 15).astype(np.uint64) << places).sum(1, dtype=np.uint64)
 
@@ -100,6 +105,8 @@ def entries(lines: Lines, pick: np.ndarray, distance: int) -> np.ndarray:
         place, length = segment(size, i, distance)
         add(start + place, length, size, i, INDEX, pick)
     for i, more, shift in probes(distance):
+        if not more and not shift:
+            continue  # two index entries meet
         indexed = size - more
         place, length = segment(indexed, i, distance)
         place = place + shift
@@ -164,32 +171,49 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _meetings(group: pd.DataFrame, distance: int) -> pd.DataFrame:
-    """Pairs of an index and a probe entry under one key whose letter counts allow the distance."""
+    """Pairs of lines under one key, one of them indexed, whose letter counts allow the distance."""
     rows = np.concatenate([np.frombuffer(b, ENTRY) for b in group["rows"]])
-    rows = np.unique(rows)  # by key, then index before probe; equal lines of other tasks fall together
+    order = np.argsort(_joined(rows), kind="stable")
+    rows = rows[order]
     starts, sizes = runs(_joined(rows))
-    many = sizes > 1
-    found = []
-    for s, n in zip(starts[many].tolist(), sizes[many].tolist(), strict=True):
-        some = rows[s : s + n]
-        split = int(np.searchsorted(some["role"], PROBE))
-        if not split or split == n:
-            continue
-        index, probe = some[:split], some[split:]
-        for a in range(0, len(probe), BLOCK):
-            near = probe[a : a + BLOCK]
-            ok = apart(near["counts"][:, None], index["counts"][None, :]) <= 2 * distance
-            ok &= near["line"][:, None] != index["line"][None, :]
-            p, i = np.nonzero(ok)
-            found.append(np.stack([near["line"][p], near["counts"][p], index["line"][i], index["counts"][i]], 1))
-    pairs = np.unique(_ordered(np.concatenate(found)), axis=0) if found else np.zeros((0, 4), np.uint64)
+    line = np.ascontiguousarray(rows["line"])
+    several = np.minimum.reduceat(line, starts) != np.maximum.reduceat(line, starts) if len(line) else starts > 0
+    rows = rows[np.repeat(several, sizes)]
+    key = _joined(rows)
+    order = np.lexsort((rows["line"], rows["role"], key))
+    rows, key = rows[order], key[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (key[1:] != key[:-1]) | (rows["role"][1:] != rows["role"][:-1]) | (rows["line"][1:] != rows["line"][:-1])
+    rows, key = rows[new], key[new]
+    starts, sizes = runs(key)
+    indexed = np.add.reduceat((rows["role"] == INDEX).astype(np.int64), starts) if len(rows) else sizes
+    first, many = np.repeat(starts, sizes), np.repeat(indexed, sizes)
+    line, counts = np.ascontiguousarray(rows["line"]), np.ascontiguousarray(rows["counts"])
+    upto = np.cumsum(many)
+    found, at = [], 0
+    while at < len(rows):
+        # As many entries as meet some millions of indexed ones; a single entry may meet more.
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + MEETINGS, side="right")))
+        left = np.repeat(np.arange(at, stop), many[at:stop])
+        right = spans_of(first[at:stop], many[at:stop])
+        differ = line[left] != line[right]
+        left, right = left[differ], right[differ]
+        near = apart(counts[left], counts[right]) <= 2 * distance
+        left, right = left[near], right[near]
+        found.append(np.stack([line[left], counts[left], line[right], counts[right]], 1))
+        at = stop
+    pairs = _ordered(np.concatenate(found)) if found else np.zeros((0, 4), np.uint64)
     return pd.DataFrame(pairs.view(np.int64), columns=["line", "counts", "line2", "counts2"])
 
 
 def _ordered(pairs: np.ndarray) -> np.ndarray:
+    """Each pair once, the lesser line first."""
     swap = pairs[:, 0] > pairs[:, 2]
     pairs[swap] = pairs[swap][:, [2, 3, 0, 1]]
-    return pairs
+    pairs = pairs[np.lexsort((pairs[:, 2], pairs[:, 0]))]
+    new = np.ones(len(pairs), bool)
+    new[1:] = (pairs[1:] != pairs[:-1]).any(1)
+    return pairs[new]
 
 
 def within(a: str, b: str, distance: int) -> bool:
@@ -237,18 +261,22 @@ def within(a: str, b: str, distance: int) -> bool:
     return value <= k
 
 
-def _bitmap(spark: SparkSession, lines: DataFrame) -> np.ndarray:
-    """2^BITMAP bits of which those of the given lines are set: at most 8 MB on the driver."""
-    slot = F.shiftrightunsigned("line", 64 - BITMAP)
+def _bitmap(marks: DataFrame) -> np.ndarray:
+    """2^BITMAP bits of which those of the given texts are set: at most 8 MB on the driver."""
+    slot = F.shiftrightunsigned("mark", 64 - BITMAP)
     one = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
-    words = lines.groupBy(F.shiftright(slot, 6).cast("int").alias("word")).agg(F.bit_or(one).alias("bits")).toPandas()
+    words = marks.groupBy(F.shiftright(slot, 6).cast("int").alias("word")).agg(F.bit_or(one).alias("bits")).toPandas()
     out = np.zeros(1 << (BITMAP - 6), np.uint64)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
-def links(rows: DataFrame, distance: int) -> DataFrame:
-    """``line, counts, line2, counts2``: classes of lines within the distance, each pair once."""
+def links(rows: DataFrame, every: DataFrame, distance: int) -> DataFrame:
+    """``line, counts, line2, counts2``: classes of lines within the distance, each pair once.
+
+    ``rows`` has ``text, mark`` and ``every`` all lines by ``LINES``. Only texts that hold
+    a candidate line are cut again, which a bitmap of fixed size tells.
+    """
     spark = rows.sparkSession
     parts = PARTS * shuffle_width(spark)
     hot = hot_keys(rows, distance, parts)
@@ -256,7 +284,7 @@ def links(rows: DataFrame, distance: int) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
-            for a, b in text_batches(texts):
+            for a, b in text_batches(texts, HELD):
                 some = Lines(texts[a:b])
                 _, one = np.unique(some.line, return_index=True)
                 one = one[some.size[one] >= LEAST]
@@ -273,25 +301,22 @@ def links(rows: DataFrame, distance: int) -> DataFrame:
     pairs = staged(packed.groupBy("part").applyInPandas(lambda g: _meetings(g, distance), PAIRS).distinct())
     ends = pairs.select("line", "counts").unionByName(pairs.select(F.col("line2").alias("line"), F.col("counts2").alias("counts")))
     ends = staged(ends.distinct())
-    wanted = spark.sparkContext.broadcast(_bitmap(spark, ends))
+    wanted = spark.sparkContext.broadcast(_bitmap(every.join(ends, ["line", "counts"], "left_semi").select("mark")))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch["text"].tolist()
-            for a, b in text_batches(texts):
+            slot = batch["mark"].to_numpy().view(np.uint64) >> np.uint64(64 - BITMAP)
+            hit = (wanted.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
+            texts = batch["text"][hit.astype(bool)].tolist()
+            for a, b in text_batches(texts, HELD):
                 some = Lines(texts[a:b])
-                slot = some.line >> np.uint64(64 - BITMAP)
-                hit = (wanted.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
-                at = np.flatnonzero(hit)
-                _, one = np.unique(some.line[at], return_index=True)
-                at = at[one]
-                if not len(at):
-                    continue
-                yield pd.DataFrame(
-                    {"line": some.line[at].view(np.int64), "counts": some.counts[at].view(np.int64), "text": [some.texts[i] for i in at]}
-                )
+                _, one = np.unique(some.line, return_index=True)
+                if len(one):
+                    yield pd.DataFrame(
+                        {"line": some.line[one].view(np.int64), "counts": some.counts[one].view(np.int64), "text": [some.texts[i] for i in one]}
+                    )
 
-    read_back = rows.select("text").mapInPandas(read, "line long, counts long, text string")
+    read_back = rows.select("text", "mark").mapInPandas(read, "line long, counts long, text string")
     texts = staged(read_back.join(ends, ["line", "counts"], "left_semi").dropDuplicates(["line", "counts"]))
     second = texts.select(F.col("line").alias("line2"), F.col("counts").alias("counts2"), F.col("text").alias("text2"))
     both = pairs.join(texts, ["line", "counts"]).join(second, ["line2", "counts2"])
@@ -316,7 +341,7 @@ def line_classes(docs: DataFrame, distance: int = DISTANCE, key: str = "doc_id",
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, marks, texts = batch["doc_id"].astype("Int64"), batch["mark"].to_numpy(), batch["text"].tolist()
-            for a, b in text_batches(texts):
+            for a, b in text_batches(texts, HELD):
                 some = Lines(texts[a:b])
                 yield pd.DataFrame(
                     {
@@ -331,7 +356,7 @@ def line_classes(docs: DataFrame, distance: int = DISTANCE, key: str = "doc_id",
     every = staged(rows.mapInPandas(number, LINES))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "line_no")
     classes = staged(every.groupBy("line", "counts").agg(F.min(place).alias("first")))
-    linked = staged(links(rows, distance))
+    linked = staged(links(rows, every, distance))
     turned = linked.select(
         F.col("line2").alias("line"), F.col("counts2").alias("counts"), F.col("line").alias("line2"), F.col("counts").alias("counts2")
     )
