@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 # A word, and one character between words.
 WORD = "[^\\x20\\x09-\\x0D]+"
 BLANK = "[\\x20\\x09-\\x0D]"
@@ -19,27 +19,16 @@ _folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The application's folder under ``spark.checkpoint.dir``, dropped at exit.
+    """The application's folder under ``spark.checkpoint.dir``, dropped when the driver ends.
 
-    The setting is read from the session; only where it is unset (tests) a
-    temporary folder of this machine takes its place.
+    The setting is read from the session; only on a local master (tests) may it be unset.
     """
     app = spark.sparkContext.applicationId
     if app not in _folders:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilframe-llm-")
-        _folders[app] = f"{base.rstrip('/')}/llm-{app}-{uuid.uuid4().hex[:8]}"
-        atexit.register(_forget, spark, _folders[app])
+        _folders[app] = shared_dir(spark)
     return _folders[app]
 
 
-def _forget(spark: SparkSession, folder: str) -> None:
-    try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session may be gone at exit; then its files go with its folder
-        return
-
-
 def staged(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
