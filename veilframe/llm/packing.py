@@ -14,7 +14,6 @@ as often as they occur; no rows give no pieces; a text longer than a window is c
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,34 +50,37 @@ def cut_places(ids: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> tuple[np
 def best_cuts(places: np.ndarray, costs: np.ndarray, window: int = WINDOW) -> list[int]:
     """Indices into ``places`` at which the cheapest packing cuts, first and last included."""
     n = len(places)
-    exact: list[list[int]] = [[] for _ in range(n)]
+    exact: dict[int, list[int]] = {}
     power = 1
     while power <= window:
         near = np.searchsorted(places, places - power)
-        for j in np.flatnonzero((places >= power) & (places[near] == places - power)).tolist():
-            exact[j].append(int(near[j]))
+        hits = np.flatnonzero((places >= power) & (places[near] == places - power))
+        for j, i in zip(hits.tolist(), near[hits].tolist(), strict=True):
+            exact.setdefault(j, []).append(i)
         power *= 2
-    at, price = places.tolist(), costs.tolist()
+    at, price = places.tolist(), (costs + WINDOW_COST).tolist()
     best, came = [0] * n, [0] * n
-    queue: deque[int] = deque([0])
-    level = [0] * n  # best[i] + at[i]: what a padded window from i costs, up to its end
-    level[0] = at[0]
+    # The queue: starts with rising levels, a level being what a padded window from there costs
+    # before its end is taken off. What falls behind the window is passed by ``head``.
+    starts, levels, head = [0], [window + at[0]], 0
     for j in range(1, n):
         here = at[j]
         oldest = here - window
-        while at[queue[0]] < oldest:
-            queue.popleft()
-        i = queue[0]
-        least = level[i] + window - here
-        for k in exact[j]:
-            if best[k] < least:
-                least, i = best[k], k
-        best[j] = total = least + price[j] + WINDOW_COST
+        while at[starts[head]] < oldest:
+            head += 1
+        i, least = starts[head], levels[head] - here
+        if j in exact:
+            for k in exact[j]:
+                if best[k] < least:
+                    least, i = best[k], k
+        best[j] = least = least + price[j]
         came[j] = i
-        level[j] = mine = total + here
-        while queue and level[queue[-1]] >= mine:
-            queue.pop()
-        queue.append(j)
+        level = least + here + window
+        while levels and levels[-1] >= level and len(levels) > head:
+            levels.pop()
+            starts.pop()
+        starts.append(j)
+        levels.append(level)
     cuts = [n - 1]
     while cuts[-1]:
         cuts.append(came[cuts[-1]])
