@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 
 from .common import REMEMBERED, enter, spans_of
 
-MEMORY, PARTS_MEMORY = 500_000, 100_000  # pieces a worker remembers, and parts of composed ones
+MEMORY, PARTS_MEMORY = 800_000, 100_000  # pieces a worker remembers, and parts of composed ones
 # Before such a character a blank always opens a new piece of the byte vocabulary.
 BYTE_SPLIT = re.compile(" (?=[!-~¡-ᙿ])")
 ODD_BLANK = "\x01| [^!-~\u00a1-\u167f]| $"  # texts with these are cut by the pattern above
