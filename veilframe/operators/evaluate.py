@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import explode_structs
+from ..functions.arrays import explode_structs, let
 from ..functions.tags import IGNORED, argmax, tag_spans
 from .alignment import fresh, id_map
 
@@ -118,15 +116,23 @@ def doc_scores(sequences: DataFrame) -> DataFrame:
     Counted within the row; rows without a token that counts are left out.
     """
 
-    def counted(test: Callable[[Column, Column], Column]) -> Column:
-        return F.size(F.filter("tokens", lambda t: test(t["gold"], t["pred"]))).cast("long")
-
-    counts = sequences.where(F.size("tokens") > 0).select(
-        "doc_id",
-        counted(lambda gold, pred: (gold != "O") & (gold == pred)).alias("tp"),
-        counted(lambda gold, pred: (gold == "O") & (pred != "O")).alias("fp"),
-        counted(lambda gold, pred: (gold != "O") & (gold != pred)).alias("fn"),
-    )
+    def counted(tokens: Column) -> Column:
+        def one(acc: Column, t: Column) -> Column:
+            gold, pred = t["gold"], t["pred"]
+            tests = {
+                "tp": (gold != "O") & (gold == pred),
+                "fp": (gold == "O") & (pred != "O"),
+                "fn": (gold != "O") & (gold != pred),
+            }
+            return F.struct(*[(acc[n] + F.when(test, 1).otherwise(0)).alias(n) for n, test in tests.items()])
+
+        # Most tokens are O on both sides; only the others are folded.
+        said = F.filter(tokens, lambda t: (t["gold"] != "O") | (t["pred"] != "O"))
+        zero = F.struct(*[F.lit(0).cast("long").alias(n) for n in ("tp", "fp", "fn")])
+        return F.when(F.size(tokens) > 0, F.array(F.aggregate(said, zero, one)))
+
+    # A generator, not a filter, leaves rows out: a filter would be pushed below and count twice.
+    counts = explode_structs(sequences, ["doc_id"], let(F.col("tokens"), counted))
     rated = with_rates(
         counts.withColumns({"n_pred": F.col("tp") + F.col("fp"), "n_true": F.col("tp") + F.col("fn")})
     )
