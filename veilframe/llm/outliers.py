@@ -26,8 +26,8 @@ SYMBOLS = "[#*$%&|<>]"  # fixed value
 SHORT = 1 << 16  # words; positions of such texts fit beside 48 hash bits
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 KEEP, STEPS, MIN_ROWS = 0.75, 5, 50
-# Chi-square with five degrees of freedom, median and far tail (1e-9).
-CHI_MEDIAN, CUTOFF = 4.351, 51.0
+# Chi-square with five degrees of freedom, median and 99.9 % point.
+CHI_MEDIAN, CUTOFF = 4.351, 20.515
 # Least standard deviation per transformed statistic, in its own logarithmic unit.
 FLOORS = (0.25, 0.10, 0.50, 0.50, 0.75)
 X = [f"x{i}" for i in range(len(FLOORS))]
@@ -154,12 +154,12 @@ def _cholesky(s: dict[tuple[int, int], Column]) -> list[tuple[str, Column]]:
 
 
 def _fitted(rows: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor per group; variances get the least scale added."""
+    """Mean and Cholesky factor per group; no variance is under the square of its least scale."""
     sums = [F.avg(x).alias(f"m{i}") for i, x in enumerate(X)]
     pairs = [(i, j) for i in range(P) for j in range(i + 1)]
     sums += [F.covar_pop(X[i], X[j]).alias(f"s{i}{j}") for i, j in pairs]
     out = rows.groupBy("g").agg(*sums)
-    cov = {(i, j): F.col(f"s{i}{j}") + (FLOORS[i] ** 2 if i == j else 0) for i, j in pairs}
+    cov = {(i, j): F.greatest(f"s{i}{j}", F.lit(FLOORS[i] ** 2)) if i == j else F.col(f"s{i}{j}") for i, j in pairs}
     for name, value in _cholesky(cov):
         out = out.withColumn(name, value)
     return out.drop(*[f"s{i}{j}" for i, j in pairs])
@@ -200,7 +200,7 @@ def _start(rows: DataFrame) -> DataFrame:
     out = medians.join(off, "g")
     for i in range(P):
         for j in range(i + 1):
-            spread = F.sqrt((1.4826 * F.col(f"a{i}")) ** 2 + FLOORS[i] ** 2)
+            spread = F.greatest(1.4826 * F.col(f"a{i}"), F.lit(FLOORS[i]))
             out = out.withColumn(f"l{i}{j}", spread if i == j else F.lit(0.0))
     return out.drop(*[f"a{i}" for i in range(P)])
 
