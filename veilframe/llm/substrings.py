@@ -29,6 +29,7 @@ from .common import REMEMBERED, enter, mix64, runs, shuffle_width, spans_of
 
 GRAM = 16
 HELD = 32_000_000  # bytes of text whose digits a task holds at a time
+STRINGS = 2_000_000  # strings of the last digit that it holds at a time
 PARTS = 4  # parts per shuffle partition
 BASE = 0x9E3779B97F4A7C15
 BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -284,11 +285,24 @@ def _plain(packed: bytes | None, tool: zstandard.ZstdDecompressor) -> bytes:
 
 
 def _strings(batches: Iterator[pd.DataFrame], length: int, parts: int) -> Iterator[pd.DataFrame]:
-    """The strings around the anchors that were asked for, in the parts of their grams."""
+    """The strings around the anchors that were asked for; matches within what the task holds are settled here."""
     enter("powers")
     tool = zstandard.ZstdDecompressor()
+    keys: list[tuple[int, int]] = []
+    held: list[np.ndarray] = []
+    size = 0
+
+    def flush() -> Iterator[pd.DataFrame]:
+        docs, rows = np.array(keys, DOCS), np.concatenate(held)
+        later = _later(docs["id"][rows["doc"]], rows["key"])
+        at = rows["at"][later].astype(np.int64)
+        spans = _merged(rows["doc"][later].astype(np.int64), at, at + length)
+        if len(spans):
+            yield _pack(docs, spans, np.full(len(spans), TaskContext.get().partitionId() % parts), SPANS, SPAN)
+        rows = rows[~later]
+        yield _pack(docs, rows, (rows["key"] % np.uint64(parts)).astype(np.int64), ANCHORS, STRING)
+
     for batch in batches:
-        rows, part, keys = [], [], []
         for doc_id, mark, raw, asked in zip(batch["doc_id"], batch["mark"], batch["raw"], batch["anchors"], strict=True):
             a = np.asarray([] if asked is None else asked, np.int64)
             if not len(a):
@@ -297,24 +311,34 @@ def _strings(batches: Iterator[pd.DataFrame], length: int, parts: int) -> Iterat
             start = spans_of(at - far, far - near + 1)
             some = np.empty(len(start), STRING)
             some["key"], some["doc"], some["at"] = text.hash(start, start + length), len(keys), start
-            gram = (text.hash(at, at + GRAM) & np.uint64(0xFFFFFFFF)).astype(np.int64)
             keys.append((int(doc_id), int(mark)))
-            rows.append(some)
-            part.append(np.repeat(gram % parts, far - near + 1))
-        if rows:
-            yield _pack(np.array(keys, DOCS), np.concatenate(rows), np.concatenate(part), ANCHORS, STRING)
+            held.append(some)
+            size += len(some)
+            if size >= STRINGS or len(keys) >= MOST_DOCS:
+                yield from flush()
+                keys, held, size = [], [], 0
+    if held:
+        yield from flush()
+
+
+def _later(ids: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which rows have an equal key in a smaller document."""
+    order = np.lexsort((ids, key))
+    starts, sizes = runs(key[order])
+    out = np.zeros(len(key), bool)
+    out[order] = ids[order] > np.repeat(ids[order][starts], sizes)
+    return out
 
 
 def _last_digit(group: pd.DataFrame, length: int) -> pd.DataFrame:
     """Strings that a smaller document has as well."""
-    docs, rows, doc = _unpack(group, STRING)
-    ids = docs["id"][doc]
-    order = np.lexsort((ids, rows["key"]))
-    starts, sizes = runs(rows["key"][order])
-    later = order[ids[order] > np.repeat(ids[order][starts], sizes)]
+    docs, spans, doc = _unpack(group[group["kind"] == SPANS], SPAN)
+    settled = _as_spans(docs, doc, spans)
+    docs, rows, doc = _unpack(group[group["kind"] == ANCHORS], STRING)
+    later = _later(docs["id"][doc], rows["key"])
     at = rows["at"][later].astype(np.int64)
     spans = _merged(doc[later], at, at + length)
-    return _as_spans(docs, spans["doc"], spans)
+    return pd.concat([settled, _as_spans(docs, spans["doc"], spans)])
 
 
 def _results(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
