@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from .common import REMEMBERED, enter, spans_of
 
 MEMORY, PARTS_MEMORY = 500_000, 100_000  # pieces a worker remembers, and parts of composed ones
+WHOLE_MEMORY = 10_000_000  # characters of texts that it remembers whole
 # Before such a character a blank always opens a new piece of the byte vocabulary.
 BYTE_SPLIT = re.compile(" (?=[!-~¡-ᙿ])")
 ODD_BLANK = "\x01| [^!-~\u00a1-\u167f]| $"  # texts with these are cut by the pattern above
@@ -49,7 +50,7 @@ def encoder(path: str, blanks: bool, end: int) -> Encoder:
     enter("tokens")
     key = (path, blanks, end)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, blanks, end)
+        _encoders[key] = Encoder(path, blanks, end, plain=False)
     return _encoders[key]
 
 
@@ -89,12 +90,19 @@ def _room(held: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    def __init__(self, path: str, blanks: bool, end: int) -> None:
+    """``plain``: strings of added tokens in a text are ordinary text. Else, as the file says, they
+    become those tokens; texts that hold one are encoded whole by the library."""
+
+    def __init__(self, path: str, blanks: bool, end: int, plain: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tool.encode_special_tokens = plain
+        added = [] if plain else [t.content for t in self.tool.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
+        # What all of them begin with, as far as it has no case, is quicker to look for.
+        self.hint = re.match(r"[!-@]*(?:[\[-`{-~][!-@]*)*", os.path.commonprefix(added))[0] if added else ""
         self.blanks, self.end = blanks, end
         self._forget()
 
@@ -104,6 +112,10 @@ class Encoder:
         self.ids = np.array([self.end], np.uint32)
         self.starts, self.sizes = np.zeros(1, np.int64), np.ones(1, np.int64)
         self.known, self.used = 1, 1
+        self.whole = 0  # characters of whole texts among the pieces
+
+    def _holds_added(self, text: str | None) -> bool:
+        return bool(text and self.hint in text and self.added.search(text))
 
     def _word(self, word: str) -> bytes:
         """Ids of one pre-token: a run of Latin letters, of marks, or a line end."""
@@ -167,9 +179,20 @@ class Encoder:
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text's followed by the end id; and the texts' counts."""
-        if self.pieces.next > MEMORY:
+        if self.pieces.next > MEMORY or self.whole > WHOLE_MEMORY:
             self._forget()
-        pieces = self._cut(texts)
+        whole = [] if self.added is None else [i for i, t in enumerate(texts) if self._holds_added(t)]
+        if whole:
+            rest = list(texts)
+            for i in whole:
+                rest[i] = None
+                self.whole += len(texts[i])
+            held = self._cut(rest).to_pylist()
+            for i in whole:
+                held[i] = [texts[i]]
+            pieces = pa.array(held, pa.list_(pa.string()))
+        else:
+            pieces = self._cut(texts)
         shares = pieces.flatten().dictionary_encode()
         known = self.pieces
         asked = shares.dictionary.to_numpy(zero_copy_only=False)
