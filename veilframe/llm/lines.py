@@ -12,7 +12,8 @@ Keys that would fill more than one part's share are found on a sample of lines a
 dealt out in blocks of which every two meet, so nothing of them is dropped.
 
 Defined results: lines are what stands between line feeds; blank lines are no lines and
-stay; lines shorter than ``least`` characters are linked with equal lines only; null
+stay; lines shorter than ``least`` characters (by default none)
+are linked with equal lines only; null
 text has no lines; first means least (id, text hash, line number), rows without an id
 last; rows that are equal in id and text are one occurrence.
 """
@@ -31,16 +32,17 @@ from .common import enter, fresh, mix64, runs, shuffle_width, spans_of, staged
 from .substrings import POWERS
 from .tokens import text_batches
 
-DISTANCE, LEAST = 2, 16
+DISTANCE, LEAST = 2, 1
+DROPPED = 16  # characters that a line has at least to be dropped for a near one
 SAMPLED, BLOCK = 64, 2048  # one line in so many is sampled for hot keys; members of a block
 PARTS = 4
 CLASSES = 16  # letters by code point; a line's count of each, modulo 16
 BITMAP = 26
 MEETINGS, HELD = 250_000, 1_000_000  # pairs compared and characters cut at a time
 ENTRY = np.dtype([("key", "<u4"), ("key2", "<u2"), ("role", "u1"), ("line", "<u8"), ("counts", "<u8")])
-INDEX, PROBE = 0, 1
+INDEX, ONLY, PROBE = 0, 1, 2  # the second is indexed and does not meet its like
 SPREAD = mix64(np.arange(1, (1 << 16) + 1, dtype=np.uint64))  # of the commoner code points
-LINES = "doc_id long, mark long, line_no int, line long, counts long"
+LINES = "doc_id long, mark long, line_no int, line long, counts long, short boolean"
 PAIRS = "line long, counts long, line2 long, counts2 long"
 
 
@@ -89,8 +91,13 @@ def probes(distance: int) -> Iterator[tuple[int, int, int]]:
                 yield i, more, shift
 
 
-def entries(lines: Lines, pick: np.ndarray, distance: int) -> np.ndarray:
-    """Index and probe entries of the picked lines; the key names segment and indexed length."""
+def entries(lines: Lines, pick: np.ndarray, distance: int, least: int = LEAST) -> np.ndarray:
+    """Index and probe entries of the picked lines; the key names segment and indexed length.
+
+    A line of at most ``distance`` characters has no segments; a longer line within the
+    distance of it shares a character with it, so those meet by their single characters.
+    """
+    least = max(least, distance + 1)
     start, size = lines.start[pick], lines.size[pick]
     out = []
 
@@ -103,15 +110,20 @@ def entries(lines: Lines, pick: np.ndarray, distance: int) -> np.ndarray:
 
     for i in range(distance + 1):
         place, length = segment(size, i, distance)
-        add(start + place, length, size, i, INDEX, pick)
+        fits = size >= least
+        add((start + place)[fits], length[fits], size[fits], i, INDEX, pick[fits])
     for i, more, shift in probes(distance):
         if not more and not shift:
             continue  # two index entries meet
         indexed = size - more
         place, length = segment(indexed, i, distance)
         place = place + shift
-        fits = (place >= 0) & (place + length <= size) & (indexed >= LEAST)
+        fits = (place >= 0) & (place + length <= size) & (indexed >= least)
         add((start + place)[fits], length[fits], indexed[fits], i, PROBE, pick[fits])
+    for role, some in ((ONLY, pick[size <= distance]), (PROBE, pick[(size > distance) & (size <= 2 * distance)])):
+        n = lines.size[some]
+        one = np.ones(int(n.sum()), np.int64)
+        add(spans_of(lines.start[some], n), one, 0 * one, 0, role, np.repeat(some, n))
     return np.concatenate(out)
 
 
@@ -119,17 +131,17 @@ def _joined(rows: np.ndarray) -> np.ndarray:
     return rows["key"].astype(np.uint64) << np.uint64(16) | rows["key2"]
 
 
-def hot_keys(rows: DataFrame, distance: int, parts: int) -> dict[int, int]:
+def hot_keys(rows: DataFrame, distance: int, parts: int, least: int = LEAST) -> dict[int, int]:
     """Blocks per key that holds more than a part's share; at most ``parts`` keys."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            picked = [[s for s in (t or "").split("\n") if len(s) >= LEAST and zlib.crc32(s.encode("utf-8", "surrogatepass")) % SAMPLED == 0] for t in batch["text"]]
+            picked = [[s for s in (t or "").split("\n") if len(s) >= least and zlib.crc32(s.encode("utf-8", "surrogatepass")) % SAMPLED == 0] for t in batch["text"]]
             some = Lines(["\n".join(p) for p in picked])
             if not some.texts:
                 continue
             _, one = np.unique(some.line, return_index=True)
-            key, n = np.unique(_joined(entries(some, one, distance)), return_counts=True)
+            key, n = np.unique(_joined(entries(some, one, distance, least)), return_counts=True)
             yield pd.DataFrame({"key": key.astype(np.int64), "n": n})
 
     counted = rows.select("text").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -186,8 +198,8 @@ def _meetings(group: pd.DataFrame, distance: int) -> pd.DataFrame:
     new[1:] = (key[1:] != key[:-1]) | (rows["role"][1:] != rows["role"][:-1]) | (rows["line"][1:] != rows["line"][:-1])
     rows, key = rows[new], key[new]
     starts, sizes = runs(key)
-    indexed = np.add.reduceat((rows["role"] == INDEX).astype(np.int64), starts) if len(rows) else sizes
-    first, many = np.repeat(starts, sizes), np.repeat(indexed, sizes)
+    indexed = np.add.reduceat((rows["role"] != PROBE).astype(np.int64), starts) if len(rows) else sizes
+    first, many = np.repeat(starts, sizes), np.where(rows["role"] == ONLY, 0, np.repeat(indexed, sizes))
     line, counts = np.ascontiguousarray(rows["line"]), np.ascontiguousarray(rows["counts"])
     upto = np.cumsum(many)
     found, at = [], 0
@@ -271,15 +283,17 @@ def _bitmap(marks: DataFrame) -> np.ndarray:
     return out
 
 
-def links(rows: DataFrame, every: DataFrame, distance: int) -> DataFrame:
+def links(rows: DataFrame, every: DataFrame, distance: int, least: int = LEAST) -> DataFrame:
     """``line, counts, line2, counts2``: classes of lines within the distance, each pair once.
 
+    Lines of at most ``distance`` characters are all within it and are not listed in pairs.
+
     ``rows`` has ``text, mark`` and ``every`` all lines by ``LINES``. Only texts that hold
     a candidate line are cut again, which a bitmap of fixed size tells.
     """
     spark = rows.sparkSession
     parts = PARTS * shuffle_width(spark)
-    hot = hot_keys(rows, distance, parts)
+    hot = hot_keys(rows, distance, parts, least)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -287,10 +301,10 @@ def links(rows: DataFrame, every: DataFrame, distance: int) -> DataFrame:
             for a, b in text_batches(texts, HELD):
                 some = Lines(texts[a:b])
                 _, one = np.unique(some.line, return_index=True)
-                one = one[some.size[one] >= LEAST]
+                one = one[some.size[one] >= least]
                 if not len(one):
                     continue
-                found, part = _deal(entries(some, one, distance), parts, hot)
+                found, part = _deal(entries(some, one, distance, least), parts, hot)
                 order = np.argsort(part, kind="stable")
                 starts, sizes = runs(part[order])
                 yield pd.DataFrame(
@@ -329,7 +343,7 @@ def links(rows: DataFrame, every: DataFrame, distance: int) -> DataFrame:
     return both.mapInPandas(decide, PAIRS)
 
 
-def line_classes(docs: DataFrame, distance: int = DISTANCE, key: str = "doc_id", text: str = "text") -> DataFrame:
+def line_classes(docs: DataFrame, distance: int = DISTANCE, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """One row per non-blank line.
 
     ``doc_id, mark, line_no``, its class' first occurrence ``class_doc_id, class_line_no``,
@@ -350,28 +364,38 @@ def line_classes(docs: DataFrame, distance: int = DISTANCE, key: str = "doc_id",
                         "line_no": some.number,
                         "line": some.line.view(np.int64),
                         "counts": some.counts.view(np.int64),
+                        "short": (some.size >= least) & (some.size <= distance),
                     }
                 )
 
     every = staged(rows.mapInPandas(number, LINES))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "line_no")
-    classes = staged(every.groupBy("line", "counts").agg(F.min(place).alias("first")))
-    linked = staged(links(rows, every, distance))
+    classes = staged(every.groupBy("line", "counts").agg(F.min(place).alias("first"), F.bool_or("short").alias("short")))
+    linked = staged(links(rows, every, distance, least))
     turned = linked.select(
         F.col("line2").alias("line"), F.col("counts2").alias("counts"), F.col("line").alias("line2"), F.col("counts").alias("counts2")
     )
     other = classes.select(F.col("line").alias("line2"), F.col("counts").alias("counts2"), F.col("first").alias("before"))
     near = linked.unionByName(turned).join(other, ["line2", "counts2"])
     near = near.groupBy("line", "counts").agg(F.count("*").alias("n_links"), F.min("before").alias("before"))
-    held = classes.join(near, ["line", "counts"], "left")
-    out = every.withColumn("place", place).join(held, ["line", "counts"])
+    # Each of the short classes is linked with all others of them.
+    mates = classes.where("short").agg(F.count("*").alias("n_short"), F.min("first").alias("short_first"))
+    held = classes.join(near, ["line", "counts"], "left").crossJoin(F.broadcast(mates))
+    held = held.select(
+        "line",
+        "counts",
+        "first",
+        (F.coalesce("n_links", F.lit(0)) + F.when(F.col("short"), F.col("n_short") - 1).otherwise(0)).alias("n_links"),
+        F.least("before", F.when(F.col("short"), F.col("short_first"))).alias("before"),
+    )
+    out = every.drop("short").withColumn("place", place).join(held, ["line", "counts"])
     return out.select(
         "doc_id",
         "mark",
         "line_no",
         F.col("first.doc_id").alias("class_doc_id"),
         F.col("first.line_no").alias("class_line_no"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.col("n_links").cast("long").alias("n_links"),
         ((F.col("place") != F.col("first")) | F.coalesce(F.col("before") < F.col("first"), F.lit(False))).alias("removed"),
     )
 
@@ -379,9 +403,11 @@ def line_classes(docs: DataFrame, distance: int = DISTANCE, key: str = "doc_id",
 def drop_lines(docs: DataFrame, distance: int = DISTANCE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without their removed lines; a row that loses every line goes.
 
+    Lines under ``DROPPED`` characters go for equal ones only: '1.' is not a copy of '2.'.
+
     Rows without any line stay as they are, and so do all other columns.
     """
-    found = line_classes(docs, distance, key, text)
+    found = line_classes(docs, distance, key, text, DROPPED)
     gone, mark, owner, whole = (fresh(docs, n) for n in ("_gone", "_mark", "_owner", "_whole"))
     by_doc = (
         found.groupBy("doc_id", "mark")
