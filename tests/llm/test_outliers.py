@@ -1,4 +1,4 @@
-"""Planted junk, one statistic at a time."""
+"""Planted junk, one statistic at a time, and copies that make up a third of a group."""
 
 import random
 
@@ -47,3 +47,12 @@ def test_junk_of_one_statistic_goes(spark):
     gone = {r["doc_id"] for r in found if not r["kept"]}
     planted = {i for i in range(len(rows)) if i % 300 < 20}
     assert gone >= planted and len(gone - planted) <= 12
+
+
+def test_a_third_of_copies_goes(spark):
+    rng = random.Random(13)
+    copy = marked(rng, 40)
+    rows = [(i, copy if i < 100 else marked(rng, 20) if i < 105 else clean(rng, max(70, int(rng.lognormvariate(5.5, 0.4)))), "en", "s") for i in range(300)]
+    found = outliers.reject_outliers(spark.createDataFrame(rows, SCHEMA).coalesce(4)).collect()
+    gone = {r["doc_id"] for r in found if not r["kept"]}
+    assert gone >= set(range(105)) and len(gone) <= 110
