@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..queries import Registry
 from .common import shared_folder
 from .grammar import read_tokens, write_blocks
 from .lines import line_classes
+from .merkle import Manifest, proofs
 from .mixing import mix
 from .neardup import near_duplicates
 from .outliers import reject_outliers
@@ -183,3 +184,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(docs)
     m = F.col("mix")
     return out.select("doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), m["taken"].alias("taken"))
+
+
+def edited_documents() -> tuple[dict, Column]:
+    """What op13 tampers with: the line ends of documents whose id has an even crc32."""
+    even = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
+    return {"text": F.translate("text", "\n", "")}, even
+
+
+@REGISTRY.add("op13_merkle_manifest")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proofs(Manifest(table(spark, sf_dir, "documents"), *edited_documents()))
