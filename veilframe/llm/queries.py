@@ -17,9 +17,11 @@ from .neardup import near_duplicates
 from .outliers import reject_outliers
 from .packing import pack
 from .sharding import shard
+from .sql import MERKLE_SQL, TRIE_SQL
 from .substrings import remove_repeats
 from .topk import search
 from .toxicity import train, with_scores
+from .trie import trie
 
 REGISTRY = Registry()
 
@@ -186,12 +188,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), m["taken"].alias("taken"))
 
 
+@REGISTRY.add("op12_prefix_trie", TRIE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie(table(spark, sf_dir, "conversations"))
+
+
 def edited_documents() -> tuple[dict, Column]:
     """What op13 tampers with: the line ends of documents whose id has an even crc32."""
     even = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
     return {"text": F.translate("text", "\n", "")}, even
 
 
-@REGISTRY.add("op13_merkle_manifest")
+@REGISTRY.add("op13_merkle_manifest", MERKLE_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs(Manifest(table(spark, sf_dir, "documents"), *edited_documents()))
