@@ -36,9 +36,34 @@ class Rule:
         return f"({self.before})({self.run or self.value})"
 
 
+@dataclass(frozen=True)
+class Form:
+    """A value made of whole groups of digits; in ``value`` a group stands in angle brackets."""
+
+    label: str
+    value: str
+    score: float
+
+
+@dataclass(frozen=True)
+class Numbers:
+    """One scan for all values made of digits: runs are cut once, values found inside them.
+
+    A run is a maximal stretch of digits and joints with its prefix and suffix. Values are
+    whole groups of its digits: those that start first, of these the first of ``forms``,
+    and then on behind it. Groups that belong to no value join the one before them (the
+    first one from behind), so a run that holds a value keeps no digit in clear; a run
+    without one is left as it is.
+    """
+
+    run: str
+    forms: tuple[Form, ...]
+    needs: str = "[0-9]"
+    joints: str = "-./:+() "  # what may stand between groups
+    shortest: int = 4
+
+
 # Entity labels with a regular form and the form itself.
-DIGIT = "[0-9]"
-DIGITS_DASHED = "[0-9]+(?:-[0-9]+)*"
 DEFAULT_RULES = [
     Rule(
         "EMAIL",
@@ -47,38 +72,25 @@ DEFAULT_RULES = [
         run=r"[A-Za-z0-9._%+-]+(?:@[A-Za-z0-9.-]+\.[A-Za-z]{2,})?",
         needs="@",
     ),
-    Rule("IP", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", 0.95, run=r"[0-9]+(?:\.[0-9]+)*", needs=DIGIT),
-    Rule(
-        "TEL",
-        r"\+[0-9]{1,3} ?\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}",
-        0.9,
-        run=rf"\+[0-9]+ ?\([0-9]+\) ?{DIGITS_DASHED}|{DIGITS_DASHED}",
-        needs=DIGIT,
-    ),
-    Rule("SOCIALNUMBER", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.85, run=DIGITS_DASHED, needs=DIGIT),
-    Rule(
-        "DATE",
-        r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}",
-        0.7,
-        run=r"[0-9]+(?:[-/][0-9]+)*",
-        needs=DIGIT,
-    ),
-    Rule(
-        "TIME",
-        r"[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?: ?[AaPp][Mm])?",
-        0.65,
-        run=r"[0-9]+(?::[0-9]+)*(?: ?[AaPp][Mm])?",
-        needs=DIGIT,
+    Numbers(
+        r"(?:\+?[0-9]{1,3}[ -]?\([0-9]+\) ?|\+[0-9]+[ -]?|\([0-9]+\) ?)?[0-9][-./:0-9]*(?: ?[AaPp][Mm])?",
+        (
+            Form("IP", r"<[0-9]{1,3}>\.<[0-9]{1,3}>\.<[0-9]{1,3}>\.<[0-9]{1,3}>", 0.95),
+            Form("TEL", r"(?:\+?<[0-9]{1,3}>[ -]?)?(?:\(<[0-9]{3}>\) ?|<[0-9]{3}>-)<[0-9]{3}>-<[0-9]{4}>", 0.9),
+            Form("SOCIALNUMBER", "<[0-9]{3}>-<[0-9]{2}>-<[0-9]{4}>", 0.85),
+            Form("IDCARD", "<[0-9]{12,}>|<[0-9]{4}>-<[0-9]{4}>-<[0-9]{4}>-<[0-9]{4}>", 0.8),
+            Form("DATE", "<[0-9]{4}>-<[0-9]{2}>-<[0-9]{2}>|<[0-9]{1,2}>/<[0-9]{1,2}>/<[0-9]{2,4}>", 0.7),
+            Form("TIME", "<[0-9]{1,2}>:<[0-9]{2}>(?::<[0-9]{2}>)?(?: ?[AaPp][Mm])?", 0.65),
+            Form("POSTCODE", "<[0-9]{5}>(?:-<[0-9]{4}>)?", 0.4),
+        ),
     ),
-    Rule("POSTCODE", r"[0-9]{5}(?:-[0-9]{4})?", 0.4, run=DIGITS_DASHED, needs=DIGIT),
     Rule(
         "GEOCOORD",
         r"[+-]?[0-9]{1,2}\.[0-9]{3,}, ?[+-]?[0-9]{1,3}\.[0-9]{3,}",
         0.9,
         run=r"[+-]?[0-9]+\.[0-9]+, ?[+-]?[0-9]+\.[0-9]+|[0-9]+",
-        needs=DIGIT,
+        needs=r"[0-9]\.[0-9][0-9][0-9]+, ?[+-]?[0-9]",
     ),
-    Rule("IDCARD", r"[0-9]{12,}", 0.8, needs=DIGIT),
     Rule(
         "PASS",
         r'[^ \t\n\f\r"]{6,}',
@@ -98,22 +110,80 @@ DEFAULT_RULES = [
 ]
 
 
+def labels(rules: Sequence[Rule | Numbers] = tuple(DEFAULT_RULES)) -> list[str]:
+    """The labels that the rules give; a label's place breaks ties between equal spans."""
+    return [form.label for rule in rules for form in (rule.forms if isinstance(rule, Numbers) else [rule])]
+
+
+def _located(text: Column, pattern: str, found: Column, body) -> Column:
+    """``body(ends)`` with the end of every match of ``pattern`` in ``text``.
+
+    A match starts after every gap and match before it, so offsets come from the
+    running length of gaps and matches laid alternately.
+    """
+    steps = let(F.split(text, pattern, -1), lambda gs: F.transform(found, lambda m, i: F.length(F.get(gs, i)) + F.length(m)))
+    return let(running_ends(steps), body)
+
+
+def number_spans(text: Column, rule: Numbers, pos: int) -> Column:
+    """The values of all runs of one text; runs are located only where one holds a value."""
+    values = "|".join(form.value for form in rule.forms)
+    any_value = F.lit(values)
+
+    def marked(run: Column) -> Column:
+        return F.when(F.length(run) >= rule.shortest, F.regexp_replace(run, "([0-9]+)", "<$1>"))
+
+    def plain(part: Column) -> Column:
+        return F.translate(part, "<>", "")
+
+    def of_run(mark: Column, start: Column) -> Column:
+        def spans(found: Column, gaps: Column) -> Column:
+            lengths = F.transform(found, lambda m, i: F.length(plain(F.get(gaps, i))) + F.length(plain(m)))
+
+            def span(m: Column, i: Column, ends: Column) -> Column:
+                begin = F.get(ends, i) - F.length(plain(m))
+                first = (i == 0) & (F.get(gaps, F.lit(0)).contains("<"))
+                after = F.rtrim(plain(F.get(gaps, i + 1)), F.lit(rule.joints + "APMapm"))
+                named = F.lit(None).cast("struct<pos:int,label:string,score:double>")
+                for k, form in reversed(list(enumerate(rule.forms))):
+                    facts = F.struct(F.lit(pos + k).alias("pos"), F.lit(form.label).alias("label"), F.lit(float(form.score)).alias("score"))
+                    named = F.when(F.regexp_like(m, F.lit(f"^(?:{form.value})$")), facts).otherwise(named)
+                return let(named, lambda n: F.struct(
+                    (start + F.when(first, 0).otherwise(begin)).alias("start"),
+                    (start + F.get(ends, i) + F.length(after)).alias("end"),
+                    F.lit(0).alias("chunk_id"), n["pos"].alias("pos"), n["label"].alias("label"), n["score"].alias("score"),
+                ))
+
+            return let(running_ends(lengths), lambda ends: F.transform(found, lambda m, i: span(m, i, ends)))
+
+        found, gaps = F.regexp_extract_all(mark, any_value, F.lit(0)), F.split(mark, values, -1)
+        return let(found, lambda fs: let(gaps, lambda gs: spans(fs, gs))).cast(SPANS)
+
+    def search(runs: Column, marks: Column) -> Column:
+        def each(ends: Column) -> Column:
+            def one(mark: Column, i: Column) -> Column:
+                held = F.coalesce(F.regexp_like(mark, any_value), F.lit(False))
+                return F.when(held, of_run(mark, F.get(ends, i) - F.length(F.get(runs, i)))).otherwise(no_spans())
+
+            return F.flatten(F.transform(marks, one))
+
+        hits = F.exists(marks, lambda m: F.coalesce(F.regexp_like(m, any_value), F.lit(False)))
+        return F.when(hits, _located(text, rule.run, runs, each)).otherwise(no_spans())
+
+    found = F.regexp_extract_all(text, F.lit(rule.run), F.lit(0))
+    return let(found, lambda runs: let(F.transform(runs, marked), lambda marks: search(runs, marks)))
+
+
 def rule_spans(text: Column, rule: Rule, pos: int) -> Column:
     """All matches of one rule with exact offsets.
 
-    A match starts after every gap and match before it, so offsets come from the
-    running length of gaps and matches laid alternately. Patterns are literals, which
-    Spark compiles once per task. Runs are located only where one of them is a value.
+    Patterns are literals, which Spark compiles once per task. Runs are located only
+    where one of them is a value.
     """
     pattern = F.lit(rule.pattern)
     whole = F.lit(f"^(?:{rule.value})$")
 
     def located(found: Column, values: Column) -> Column:
-        gaps = F.split(text, rule.pattern, -1)
-        steps = let(
-            gaps, lambda gs: F.transform(found, lambda m, i: F.length(F.get(gs, i)) + F.length(m))
-        )
-
         def span(end: Column, i: Column) -> Column:
             value = F.get(values, i)
             return F.struct(
@@ -125,7 +195,7 @@ def rule_spans(text: Column, rule: Rule, pos: int) -> Column:
                 F.lit(float(rule.score)).alias("score"),
             )
 
-        spans = F.transform(running_ends(steps), span).cast(SPANS)
+        spans = _located(text, rule.pattern, found, lambda ends: F.transform(ends, span).cast(SPANS))
         if not rule.run:
             return spans
         return let(spans, lambda ss: F.filter(ss, lambda s, i: F.regexp_like(F.get(values, i), whole)))
@@ -138,22 +208,24 @@ def rule_spans(text: Column, rule: Rule, pos: int) -> Column:
     return let(F.regexp_extract_all(text, pattern, F.lit(2)), search)
 
 
-def text_spans(text: Column, rules: Sequence[Rule]) -> Column:
+def text_spans(text: Column, rules: Sequence[Rule | Numbers]) -> Column:
     """Spans of all rules in one text; each guard is tested once per text."""
     guards = list(dict.fromkeys(rule.needs for rule in rules))
     flags = F.array(*[_holds(text, needs) for needs in guards])
 
     def search(fs: Column) -> Column:
-        parts = [
-            F.when(F.get(fs, F.lit(guards.index(rule.needs))), rule_spans(text, rule, pos)).otherwise(no_spans())
-            for pos, rule in enumerate(rules)
-        ]
+        parts, pos = [], 0
+        for rule in rules:
+            numbers = isinstance(rule, Numbers)
+            found = number_spans(text, rule, pos) if numbers else rule_spans(text, rule, pos)
+            parts.append(F.when(F.get(fs, F.lit(guards.index(rule.needs))), found).otherwise(no_spans()))
+            pos += len(rule.forms) if numbers else 1
         return F.flatten(F.array(*parts))
 
     return F.coalesce(let(flags, search) if rules else no_spans(), no_spans())
 
 
-def may_match(text: Column, rules: Sequence[Rule]) -> Column:
+def may_match(text: Column, rules: Sequence[Rule | Numbers]) -> Column:
     """False only for texts in which, and in no part of which, any rule can match."""
     tests = [_holds(text, needs) for needs in dict.fromkeys(rule.needs for rule in rules)]
     either = tests[0]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import explode_structs, let
-from ..functions.rules import DEFAULT_RULES, Rule, may_match, text_spans
+from ..functions.rules import DEFAULT_RULES, Numbers, Rule, may_match, text_spans
 from .tokens import first_tokens
 
 
@@ -28,7 +28,7 @@ class Detector(Protocol):
 class RuleDetector:
     """Applies a catalogue of rules; pass your own to replace or extend the default."""
 
-    def __init__(self, catalogue: Sequence[Rule] = tuple(DEFAULT_RULES)) -> None:
+    def __init__(self, catalogue: Sequence[Rule | Numbers] = tuple(DEFAULT_RULES)) -> None:
         self.catalogue = list(catalogue)
 
     def spans(self, text: Column) -> Column:

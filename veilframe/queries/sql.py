@@ -5,8 +5,31 @@ Each function returns one ``name AS (...)`` member of a WITH list.
 
 from __future__ import annotations
 
-from ..functions.rules import DEFAULT_RULES
-from ..functions.text import SEPARATORS, TOKEN, WS
+# Fixed values, stated apart from the operators so that a wrong one cannot agree with itself:
+# the token form, where chunks may end, and the forms of personal data.
+WS = r" \t\n\f\r"
+TOKEN = r"[ \t\n\f\r]*(?:[\p{L}\p{N}_]+|[^ \t\n\f\r\p{L}\p{N}_])"
+SEPARATORS = ["\n\n", "\n", ". ", "? ", "! "]
+# Label, score, what stands before, the run that counts only as a whole, the value.
+WORD_RULES = {
+    0: ("EMAIL", 0.99, "", r"[\w.%+-]+(?:@[A-Za-z0-9.-]+\.[A-Za-z]{2,})?", r"[\w.%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
+    8: ("GEOCOORD", 0.9, "", r"[+-]?\d+\.\d+, ?[+-]?\d+\.\d+|\d+", r"[+-]?\d{1,2}\.\d{3,}, ?[+-]?\d{1,3}\.\d{3,}"),
+    9: ("PASS", 0.9, '(?:token|password|passwd|secret) *[=:] *"?', r'[^ \t\n\f\r"]{6,}', ".*"),
+    10: ("USERNAME", 0.6, '(?:username|user|login) *[=:] *"?', r"[\w.-]{3,}", ".*"),
+    11: ("TITLE", 0.5, r"^|[^\p{L}]", r"(?:Mr|Mrs|Ms|Dr|Prof)\.", ".*"),
+    12: ("SEX", 0.35, "", r"\p{L}+", "[Mm]ale|[Ff]emale"),
+}
+# Runs of digits and joints; in the forms of their values a group of digits is <...>.
+NUMBER_RUN = r"(?:\+?\d{1,3}[ -]?\(\d+\) ?|\+\d+[ -]?|\(\d+\) ?)?\d[\d./:-]*(?: ?[AaPp][Mm])?"
+NUMBER_RULES = {
+    1: ("IP", 0.95, r"<\d{1,3}>\.<\d{1,3}>\.<\d{1,3}>\.<\d{1,3}>"),
+    2: ("TEL", 0.9, r"(?:\+?<\d{1,3}>[ -]?)?(?:\(<\d{3}>\) ?|<\d{3}>-)<\d{3}>-<\d{4}>"),
+    3: ("SOCIALNUMBER", 0.85, r"<\d{3}>-<\d{2}>-<\d{4}>"),
+    4: ("IDCARD", 0.8, r"<\d{12,}>|<\d{4}>-<\d{4}>-<\d{4}>-<\d{4}>"),
+    5: ("DATE", 0.7, r"<\d{4}>-<\d{2}>-<\d{2}>|<\d{1,2}>/<\d{1,2}>/<\d{2,4}>"),
+    6: ("TIME", 0.65, r"<\d{1,2}>:<\d{2}>(?::<\d{2}>)?(?: ?[AaPp][Mm])?"),
+    7: ("POSTCODE", 0.4, r"<\d{5}>(?:-<\d{4}>)?"),
+}
 
 
 def quote(text: str) -> str:
@@ -47,26 +70,53 @@ wtok AS (
 
 
 def rule_spans(name: str, source: str, extra: str = "") -> str:
-    """Spans of the default rules over ``source(doc_id, [extra,] text)``."""
+    """Spans of the forms above over ``source(doc_id, [extra,] text)``."""
     parts = []
-    for pos, rule in enumerate(DEFAULT_RULES):
-        p = pattern(rule.pattern)
+    for pos, (label, score, before, run, value) in WORD_RULES.items():
+        p = pattern(f"({before})({run})")
         parts.append(f"""
-  SELECT doc_id, {extra} i,
-         CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x)))
-              + list_sum(list_transform(found[1:i], lambda x: length(x))) - length(vals[i]) AS INT) AS "start",
-         CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x)))
-              + list_sum(list_transform(found[1:i], lambda x: length(x))) AS INT) AS "end",
-         {pos} AS pos, {quote(rule.label)} AS label, CAST({rule.score} AS DOUBLE) AS score
+  SELECT doc_id, {extra} CAST({_upto("i", "found")} - length(vals[i]) AS INT) AS "start", CAST({_upto("i", "found")} AS INT) AS "end",
+         {pos} AS pos, {quote(label)} AS label, CAST({score} AS DOUBLE) AS score
   FROM (SELECT doc_id, {extra} unnest(range(1, len(found) + 1)) AS i, gaps, found, vals
         FROM (SELECT doc_id, {extra} string_split_regex(text, {p}) AS gaps,
                      regexp_extract_all(text, {p}, 0) AS found,
                      regexp_extract_all(text, {p}, 2) AS vals
               FROM {source} WHERE regexp_matches(text, {p})))
-  WHERE regexp_full_match(vals[i], {pattern(rule.value)})""")
+  WHERE regexp_full_match(vals[i], {pattern(value)}, 's')""")
+    parts.append(_number_spans(source, extra))
     return f"{name} AS (" + " UNION ALL ".join(parts) + ")"
 
 
+def _upto(i: str, found: str) -> str:
+    """Characters up to the end of match ``i``."""
+    return f"""list_sum(list_transform(gaps[1:{i}], lambda x: length(x))) + list_sum(list_transform({found}[1:{i}], lambda x: length(x)))"""
+
+
+def _number_spans(source: str, extra: str) -> str:
+    """Per run its values in order; digits between values go to the one before them, the first ones to the first."""
+    run, values = pattern(NUMBER_RUN), pattern("|".join(form for _, _, form in NUMBER_RULES.values()))
+
+    def facts(i: int) -> str:
+        tests = [f"WHEN regexp_full_match(m, {pattern(form)}) THEN {quote(str((pos, label, score)[i]))}" for pos, (label, score, form) in NUMBER_RULES.items()]
+        return "CASE " + " ".join(tests) + " END"
+
+    return f"""
+  SELECT doc_id, {extra}
+         CAST(run_at + CASE WHEN j = 1 AND regexp_matches(gs[1], '[0-9]') THEN 0 ELSE before END AS INT) AS "start",
+         CAST(run_at + before + length(regexp_replace(m, '[<>]', '', 'g'))
+              + length(regexp_replace(regexp_extract(gs[j + 1], '^.*[0-9]'), '[<>]', '', 'g')) AS INT) AS "end",
+         CAST({facts(0)} AS INT) AS pos, {facts(1)} AS label, CAST({facts(2)} AS DOUBLE) AS score
+  FROM (SELECT *, ms[j] AS m,
+               length(regexp_replace(array_to_string(gs[1:j], '') || array_to_string(ms[1:j - 1], ''), '[<>]', '', 'g')) AS before
+        FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS j
+              FROM (SELECT *, regexp_extract_all(mark, {values}) AS ms, string_split_regex(mark, {values}) AS gs
+                    FROM (SELECT doc_id, {extra} {_upto("i", "found")} - length(found[i]) AS run_at,
+                                 regexp_replace(found[i], '([0-9]+)', '<\\1>', 'g') AS mark
+                          FROM (SELECT doc_id, {extra} unnest(range(1, len(found) + 1)) AS i, gaps, found
+                                FROM (SELECT doc_id, {extra} string_split_regex(text, {run}) AS gaps, regexp_extract_all(text, {run}, 0) AS found
+                                      FROM {source}))))))"""
+
+
 MASKS = """
 masks AS (
   SELECT doc_id, "start", "end", label, score, pos,

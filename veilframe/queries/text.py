@@ -157,7 +157,34 @@ _KEYED = [
     ("repeat('l', CAST(60 + event_id % 20 AS INT)) || '@mail.example.org'", "'EMAIL'"),
     ("' '", "NULL"),
     ("'1.2.3.' || CAST(event_id % 2000 AS VARCHAR)", "CASE WHEN event_id % 2000 <= 999 THEN 'IP' END"),
-    ("' end 123-45-67890 555-123-45678'", "NULL"),
+    ("' end '", "NULL"),
+    # Longer runs that hold values: masked whole, or value by value.
+    ("'1-555-123-4567'", "'TEL'"),
+    ("' '", "NULL"),
+    ("'+1 555-123-' || CAST(1000 + event_id % 9000 AS VARCHAR)", "'TEL'"),
+    ("' '", "NULL"),
+    ("'(555) 123-4567'", "'TEL'"),
+    ("' '", "NULL"),
+    ("'2024-01-02'", "'DATE'"),
+    ("'/'", "NULL"),
+    ("'2024-01-05'", "'DATE'"),
+    ("' '", "NULL"),
+    ("'2024-01-02'", "'DATE'"),
+    ("'-'", "NULL"),
+    ("'2024-01-05'", "'DATE'"),
+    ("' '", "NULL"),
+    ("'123-45-67890'", "'POSTCODE'"),
+    ("' '", "NULL"),
+    ("'555-123-45678'", "'POSTCODE'"),
+    ("' '", "NULL"),
+    ("'1.2.3.4.' || CAST(event_id AS VARCHAR)", "'IP'"),
+    ("' '", "NULL"),
+    ("'10:30:15:00'", "'TIME'"),
+    ("' '", "NULL"),
+    ("'12345-678'", "'POSTCODE'"),
+    ("' '", "NULL"),
+    ("'4111-1111-1111-' || CAST(1000 + event_id % 9000 AS VARCHAR)", "'IDCARD'"),
+    ("' 1234-5678-90 and 5555-555-0100'", "NULL"),
 ]
 
 
