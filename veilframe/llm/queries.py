@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..queries import Registry
 from .common import shared_folder
 from .grammar import read_tokens, write_blocks
+from .langid import learn, with_language
 from .lines import line_classes
 from .merkle import Manifest, proofs
 from .mixing import mix
@@ -123,9 +124,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_classes(table(spark, sf_dir, "documents")).drop("mark")
 
 
-def fold(key: str = "doc_id"):
-    """The fifth of the rows that no label is learnt from has 0 here."""
-    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5))
+def fold(parts: int = 5, key: str = "doc_id") -> Column:
+    """The part of the rows, by the crc32 of their id, that nothing is learnt from or all is."""
+    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(parts))
 
 
 @REGISTRY.add("op10_toxicity")
@@ -188,6 +189,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), m["taken"].alias("taken"))
 
 
+@REGISTRY.add("op11_ppm_language")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    trees = learn(docs, fold(3) != 1)
+    found, name = with_language(docs.drop("lang"), trees)
+    held = F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held, F.col(name)["lang"].alias("lang_pred"), F.col(name)["score"].alias("score"))
+
+
 @REGISTRY.add("op12_prefix_trie", TRIE_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie(table(spark, sf_dir, "conversations"))
