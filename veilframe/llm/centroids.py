@@ -78,34 +78,48 @@ def subtree_sums(parent: np.ndarray, values: np.ndarray) -> np.ndarray:
         left = left[~middle]
 
 
-def _look_up(rows: DataFrame, key: str, table: DataFrame, node: str, uses: str) -> DataFrame:
-    """``rows`` with the row of ``table`` for their key; ``uses`` says how many will ask for it.
+def _look_up(rows: DataFrame, key: str, table: DataFrame, node: str, hot: DataFrame) -> DataFrame:
+    """``rows`` with the row of ``table`` for their key.
 
-    A row asked for by more than ``HOT`` is repeated, and those that ask are dealt over
-    the copies; which keys are hot is sent to all tasks where that is little.
+    ``hot`` (``_hot, _parts``) are the nodes that many rows ask for: they are repeated and
+    those that ask are dealt over the copies. Which they are is sent to all tasks where
+    that is little.
     """
-    parts = F.ceil(F.coalesce(F.col(uses), F.lit(0)) / HOT)
-    hot = broadcast_if_small(table.where(F.col(uses) > HOT).select(F.col(node).alias("_hot"), parts.alias("_parts")))
-    dealt = rows.join(hot, F.col(key) == F.col("_hot"), "left")
+    few = broadcast_if_small(hot)
+    dealt = rows.join(few, F.col(key) == F.col("_hot"), "left")
     dealt = dealt.withColumn("_turn", F.coalesce(F.pmod(F.xxhash64("node"), F.col("_parts")), F.lit(0))).drop("_hot", "_parts")
-    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(parts, F.lit(1)) - 1))
-    many = table.select("*", copies.alias("_copy"))
+    many = table.join(few, F.col(node) == F.col("_hot"), "left")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))
+    many = many.select(*table.columns, copies.alias("_copy"))
     return dealt.join(many, (F.col(key) == F.col(node)) & (F.col("_turn") == F.col("_copy"))).drop("_turn", "_copy")
 
 
 def _labelled(forest: DataFrame) -> DataFrame:
-    """``node, size, top`` of ``node, parent``."""
-    first = forest.select("node", F.col("parent").alias("reach"), F.coalesce("parent", "node").alias("far"), F.lit(1).cast("long").alias("size"))
-    now = staged(first)
-    while not now.where("reach IS NOT NULL").isEmpty():
-        below = now.where("reach IS NOT NULL").groupBy(F.col("reach").alias("_node")).agg(F.sum("size").alias("_more"), F.count("*").alias("_uses"))
-        grown = now.join(below, F.col("node") == F.col("_node"), "left")
-        grown = staged(grown.select("node", "reach", "far", (F.col("size") + F.coalesce("_more", F.lit(0))).alias("size"), "_uses"))
-        table = grown.select(F.col("node").alias("_node"), F.col("reach").alias("_reach"), F.col("far").alias("_far"), "_uses")
-        asking = _look_up(grown.where("reach IS NOT NULL").drop("_uses"), "reach", table, "_node", "_uses")
-        there = grown.where("reach IS NULL").select("node", "reach", "far", "size")
-        now = staged(asking.select("node", F.col("_reach").alias("reach"), F.col("_far").alias("far"), "size").unionByName(there))
-    return now.select("node", "size", F.col("far").alias("top"))
+    """``node, size, top`` of ``node, parent``.
+
+    A node's ``reach`` is its ancestor 1, 2, 4, ... steps up. Whoever has one adds what it
+    has counted there, and takes over that ancestor's reach; nodes without one have found
+    their top and take no further part.
+    """
+    found = [staged(forest.where("parent IS NULL").select("node", F.col("node").alias("top")))]
+    one = F.lit(1).cast("long")
+    now = staged(forest.where("parent IS NOT NULL").select("node", F.col("parent").alias("reach"), one.alias("size")))
+    counted = [forest.select("node", one.alias("size"))]
+    while not now.isEmpty():
+        below = staged(now.groupBy(F.col("reach").alias("_node")).agg(F.sum("size").alias("_more"), F.count("*").alias("_uses")))
+        counted.append(below.select(F.col("_node").alias("node"), F.col("_more").alias("size")))
+        added = below.select(F.col("_node").alias("_own"), "_more")
+        grown = now.join(added, F.col("node") == F.col("_own"), "left").select("node", "reach", (F.col("size") + F.coalesce("_more", F.lit(0))).alias("size"))
+        nowhere = F.lit(None).cast(forest.schema["node"].dataType)
+        table = now.select(F.col("node").alias("_node"), F.col("reach").alias("_reach"), nowhere.alias("_top"))
+        for part in found:
+            table = table.unionByName(part.select(F.col("node").alias("_node"), nowhere.alias("_reach"), F.col("top").alias("_top")))
+        hot = below.where(F.col("_uses") > HOT).select(F.col("_node").alias("_hot"), F.ceil(F.col("_uses") / HOT).alias("_parts"))
+        told = staged(_look_up(grown, "reach", table, "_node", hot).select("node", F.col("_reach").alias("reach"), F.col("_top").alias("top"), "size"))
+        found.append(told.where("reach IS NULL").select("node", "top"))
+        now = told.where("reach IS NOT NULL").drop("top")
+    sizes = reduce(DataFrame.unionByName, counted).groupBy("node").agg(F.sum("size").alias("size"))
+    return reduce(DataFrame.unionByName, found).join(sizes, "node")
 
 
 def rollup(forest: DataFrame, values: list[str], limit: int = LIMIT) -> DataFrame:
