@@ -16,12 +16,15 @@ from .tokens import first_tokens
 class Detector(Protocol):
     """``spans`` maps a text column to an array of spans relative to that text.
 
-    ``may_match`` may rule out a text early; it must be true for every text with
-    a part that holds a span.
+    ``chunk_spans`` does so for an array of chunks (structs with ``text``), one array of
+    spans per chunk. ``may_match`` may rule out a text early; it must be true for every
+    text with a part that holds a span.
     """
 
     def spans(self, text: Column) -> Column: ...
 
+    def chunk_spans(self, chunks: Column) -> Column: ...
+
     def may_match(self, text: Column) -> Column: ...
 
 
@@ -34,6 +37,9 @@ class RuleDetector:
     def spans(self, text: Column) -> Column:
         return text_spans(text, self.catalogue)
 
+    def chunk_spans(self, chunks: Column) -> Column:
+        return F.transform(chunks, lambda c: self.spans(c["text"]))
+
     def may_match(self, text: Column) -> Column:
         return may_match(text, self.catalogue)
 
