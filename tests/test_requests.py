@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from veilframe.operators.governance import LOG_FIELDS, client_id, client_ip, daily_quota, request_log, validate_requests
 from veilframe.plans.redact import redact_documents
 from veilframe.sources.texts import read_redactions, read_texts, redaction_json, write_redactions
-from veilframe.streaming.quota import batch_counts, stream_quota
+from veilframe.streaming.quota import batch_counts, stream_accept, stream_quota
 from veilframe.streaming.redaction import stream_redact
 
 
@@ -151,3 +151,31 @@ def test_stream_quota_drops_late_events(spark, tmp_path):
     assert got[("a", 2)] == (2, False)
     batch = spark.createDataFrame([r for b in batches for r in b], schema)
     assert {(r.client, r.day.day): r.n for r in batch_counts(batch).collect()}[("a", 1)] == 13
+
+
+def test_quota_accepts_equal_rows_up_to_the_limit(spark):
+    day = datetime(2024, 1, 2, 10)
+    rows = [("a", day, 1)] * 6 + [("a", day.replace(hour=11), 2)] + [("b", day, None)] * 2 + [(None, day, 1)] * 3
+    out = daily_quota(spark.createDataFrame(rows, "client string, ts timestamp, request_id long"), limit=2)
+    got = {(r.client, r.request_id): (r.n, r.yes) for r in out.groupBy("client", "request_id").agg(F.count("*").alias("n"), F.count_if("accepted").alias("yes")).collect()}
+    assert got == {("a", 1): (6, 2), ("a", 2): (1, 0), ("b", None): (2, 2), (None, 1): (3, 2)}
+
+
+def test_stream_answers_as_the_batch_does(spark, tmp_path):
+    day = datetime(2024, 1, 2, 10)
+    schema = "client string, ts timestamp, request_id long"
+    batches = [
+        [("a", day.replace(minute=i), i) for i in range(4)] + [("b", day, 9), (None, day, 1)],
+        [("a", day.replace(hour=12, minute=i), 10 + i) for i in range(4)] + [("b", day.replace(hour=13), 8)],
+        [("a", day.replace(day=3), 20), ("a", day.replace(day=3), 20), ("b", day.replace(hour=14), 7)],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in{i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in[0-9]"))
+    answered = stream_accept(stream, limit=5, delay="2 days")
+    query = answered.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+    query.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    every = spark.createDataFrame([r for rows in batches for r in rows], schema)
+    key = ["client", "request_id", "day", "accepted"]
+    got = sorted(map(str, spark.read.parquet(str(tmp_path / "out")).select(*key).collect()))
+    assert got == sorted(map(str, daily_quota(every, limit=5).select(*key).collect())) and len(got) == 14

@@ -86,13 +86,14 @@ def daily_quota(
     """Add ``accepted``: whether a request is among its client's first ``limit`` that UTC day.
 
     Requests are ordered by time, id and a fingerprint of the row. Rows that are equal in
-    all columns are one place in that order which weighs as often as it occurs: they are
-    accepted together or not at all, so no repetition passes the limit. Rows for which
-    ``counted`` does not hold neither count nor are accepted.
+    all columns are one place in that order which weighs as often as it occurs. Where the
+    limit falls inside a place, just so many of its rows are accepted as are left. Rows for
+    which ``counted`` does not hold neither count nor are accepted.
 
     The exchange that is keyed by client carries no text and at most ``limit`` places
     per client, day and task; what was accepted then meets the rows by place, so a busy
-    client is no busy key.
+    client is no busy key. Only the rows of a place that the limit cuts, at most one for a
+    client and day, are numbered.
     """
     names = [f"_{n}" for n in ("day", "place", "counts")]
     day, place, counts = (n if n not in requests.columns else f"_{n}" for n in names)
@@ -102,10 +103,15 @@ def daily_quota(
     weighed = marked.where(counts).groupBy(*keys).agg(F.count("*").alias("_n"))
     order = Window.partitionBy(client, "day").orderBy("ts", "request_id", place)
     firsts = weighed.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit)
-    within = firsts.withColumn("_upto", F.sum("_n").over(order)).where(F.col("_upto") <= limit)
-    taken = within.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    free = limit - (F.sum("_n").over(order) - F.col("_n"))
+    within = firsts.withColumn("_free", free).where(F.col("_free") > 0)
+    taken = within.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_free", (F.col("_n") > F.col("_free")).alias("_cut"))
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     out = marked.join(taken, same & F.col(counts), "left")
-    return out.withColumn("accepted", F.col(f"_k{len(keys) - 1}").isNotNull()).select(*requests.columns, "day", "accepted")
+    cut = F.coalesce(F.col("_cut"), F.lit(False))
+    equal = Window.partitionBy(*keys).orderBy(F.lit(0))
+    numbered = out.where(cut).withColumn("accepted", F.row_number().over(equal) <= F.col("_free"))
+    others = out.where(~cut).withColumn("accepted", F.col("_free").isNotNull())
+    return others.unionByName(numbered).select(*requests.columns, "day", "accepted")

@@ -1,9 +1,14 @@
-"""Request counts per client and day, over a stream or a table."""
+"""Request counts per client and day, and the answer to each request as it comes."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def batch_counts(requests: DataFrame, limit: int = 10) -> DataFrame:
@@ -17,3 +22,41 @@ def batch_counts(requests: DataFrame, limit: int = 10) -> DataFrame:
 def stream_quota(stream: DataFrame, limit: int = 10, delay: str = "1 hour") -> DataFrame:
     """The same on a stream; events older than the watermark are dropped."""
     return batch_counts(stream.withWatermark("ts", delay), limit)
+
+
+DAY_MS = 24 * 3600 * 1000
+
+
+def stream_accept(stream: DataFrame, limit: int = 10, delay: str = "1 hour") -> DataFrame:
+    """Every request (``client, ts`` and others) with its UTC ``day`` and ``accepted``.
+
+    The first ``limit`` requests of a client and day are accepted as they come, those
+    that come together in order of time and ``request_id``. What is kept per client and
+    day is one number, until the watermark has passed the day; later requests of that day
+    are dropped. A null client is a client; requests without a time belong to no day and
+    are refused when their batch comes, without counting.
+    """
+    columns = stream.columns
+    order = ["ts", *[c for c in ("request_id",) if c in columns]]
+    keyed = stream.withWatermark("ts", delay).withColumn("day", F.to_date("ts"))
+    schema = T.StructType([*keyed.schema.fields, T.StructField("accepted", T.BooleanType())])
+
+    def admit(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        used, day = state.get[0] if state.exists else 0, key[1]
+        for frame in frames:
+            some = frame.sort_values(order, kind="stable")
+            if day is None or pd.isna(day):
+                yield some.assign(accepted=False)
+                continue
+            left = max(0, limit - used)
+            used = min(limit, used + len(some))
+            yield some.assign(accepted=[i < left for i in range(len(some))])
+        if day is not None and not pd.isna(day):
+            state.update((used,))
+            over = int(pd.Timestamp(day, tz="UTC").timestamp() * 1000) + DAY_MS
+            state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))
+
+    return keyed.groupBy("client", "day").applyInPandasWithState(admit, schema, "used long", "append", GroupStateTimeout.EventTimeTimeout)
