@@ -25,19 +25,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bounded import broadcast_if_small
 from .common import REMEMBERED, enter, mix64, runs, shuffle_width, spans_of
 
 GRAM = 16
 HELD = 32_000_000  # bytes of text whose digits a task holds at a time
 STRINGS = 2_000_000  # strings of the last digit that it holds at a time
 PARTS = 4  # parts per shuffle partition
+SHARE, SAMPLED = 500_000, 64  # a gram with more anchors is hot; they are counted on one document in 64
 BASE = 0x9E3779B97F4A7C15
 BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 U64 = 1 << 64
+SIDES = 3  # ways a string can lie around its anchor, told apart by where it starts
 
 DOCS = np.dtype([("id", "<i8"), ("mark", "<i8")])
 SUFFIX = np.dtype(
-    [("gram", "<u4"), ("run", "<u4"), ("run2", "<u2"), ("doc", "<u2"), ("at", "<u4"), ("far", "u1"), ("near", "u1"), ("right", "u1"), ("left", "u1")]
+    [("gram", "<u4"), ("run", "<u4"), ("run2", "<u2"), ("doc", "<u2"), ("at", "<u4"), ("far", "u1"), ("near", "u1"), *[(f"side{i}", "<u2") for i in range(SIDES)]]
 )
 STRING = np.dtype([("key", "<u8"), ("doc", "<u2"), ("at", "<u4")])
 SPAN = np.dtype([("doc", "<u2"), ("start", "<u4"), ("end", "<u4")])
@@ -100,7 +103,7 @@ def least_in(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def suffixes(text: Text, length: int) -> tuple[np.ndarray, ...]:
-    """Anchors: place, first and last string start, gram, stretch, right and left context."""
+    """Anchors: place, first and last string start, gram, stretch, and what lies around it, side by side."""
     grams = text.hashes(GRAM)
     # The place in the low bits makes the leftmost of equal grams win.
     bits = max(1, int(text.size).bit_length())
@@ -109,39 +112,60 @@ def suffixes(text: Text, length: int) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last = np.append(first[1:], len(at)) - 1
     place = at[first]
-    half = (length - GRAM) // 2
-    # Strings that start at most ``half`` before the anchor hold what is right of it, the others what is left.
-    right = text.hash(place, np.minimum(place + length - half, text.size))
-    left = text.hash(np.maximum(place - half, 0), place + GRAM)
-    return place, first, last, grams[place], text.hash(first, last + length), right, left
+    step = _step(length)
+    sides = []
+    for i in range(SIDES):
+        # What all strings share that start i * step to (i + 1) * step - 1 bytes before the anchor.
+        begin, end = np.maximum(place - i * step, 0), np.minimum(place + length - (i + 1) * step + 1, text.size)
+        sides.append(text.hash(begin, end))
+    return place, first, last, grams[place], text.hash(first, last + length), sides
 
 
-def _digits(batches: Iterator[pd.DataFrame], length: int, parts: int) -> Iterator[pd.DataFrame]:
-    """First and second digits of all anchors; matches within what the task holds are settled here."""
+def _step(length: int) -> int:
+    return -(-(length - GRAM + 1) // SIDES)
+
+
+def _by_id(keys: list[tuple[int, int]], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents in order of their ids, which then lie close together, and the rows renumbered."""
+    docs = np.array(keys, DOCS)
+    order = np.lexsort((docs["mark"], docs["id"]))
+    turn = np.empty(len(docs), "<u2")
+    turn[order] = np.arange(len(docs))
+    rows["doc"] = turn[rows["doc"]]
+    return docs[order], rows
+
+
+def _digits(batches: Iterator[pd.DataFrame], length: int, parts: int, hot: np.ndarray) -> Iterator[pd.DataFrame]:
+    """First and second digits of all anchors; matches within what the task holds are settled here.
+
+    Anchors go to parts by gram, those of ``hot`` grams by stretch.
+    """
     enter("powers")
     keys: list[tuple[int, int]] = []
     held: list[np.ndarray] = []
     size = 0
 
     def flush() -> Iterator[pd.DataFrame]:
-        docs, rows = np.array(keys, DOCS), np.concatenate(held)
+        docs, rows = _by_id(keys, np.concatenate(held))
         rows, later = _stretches(docs, rows)
         spans = _spans_of(rows[later], length)
         here = np.full(len(spans), TaskContext.get().partitionId() % parts)
         if len(spans):
             yield _pack(docs, spans, here, SPANS, SPAN)
         rows = rows[~later]
-        yield _pack(docs, rows, rows["gram"] % parts, ANCHORS, SUFFIX)
+        by = np.where(np.isin(rows["gram"], hot), rows["run"], rows["gram"])
+        yield _pack(docs, rows, by % parts, ANCHORS, SUFFIX)
 
     for batch in batches:
         for doc_id, mark, raw in zip(batch["doc_id"], batch["mark"], batch["raw"], strict=True):
             if raw is None or pd.isna(doc_id) or len(raw) < length:
                 continue
-            place, first, last, gram, run, right, left = suffixes(Text(raw), length)
+            place, first, last, gram, run, sides = suffixes(Text(raw), length)
             rows = np.empty(len(place), SUFFIX)
             rows["gram"], rows["run"], rows["run2"] = gram & np.uint64(0xFFFFFFFF), run & np.uint64(0xFFFFFFFF), run >> np.uint64(48)
             rows["doc"], rows["at"], rows["far"], rows["near"] = len(keys), place, place - first, place - last
-            rows["right"], rows["left"] = right >> np.uint64(56), left >> np.uint64(56)
+            for i, side in enumerate(sides):
+                rows[f"side{i}"] = side >> np.uint64(48)
             keys.append((int(doc_id), int(mark)))
             held.append(rows)
             size += len(raw)
@@ -167,21 +191,26 @@ def _pack(docs: np.ndarray, rows: np.ndarray, part: np.ndarray, kind: int, form:
     """One row per part: its rows as bytes, and the documents they name.
 
     Rows go in order of document and field by field, byte by byte of a number, so that
-    the shuffle's compression finds what little order there is beside the hashes.
+    compression finds what little order there is beside the hashes.
     """
     order = np.lexsort((rows[rows.dtype.names[-1] if kind == SPANS else "at"], rows["doc"], part))
     starts, sizes = runs(part[order])
     out = {"part": part[order][starts], "kind": kind, "docs": [], "rows": []}
+    tool = zstandard.ZstdCompressor(level=1)
     for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
         some = rows[order[s : s + n]]
         here, some["doc"] = np.unique(some["doc"], return_inverse=True)
-        out["docs"].append(docs[here].tobytes())
-        some = some.astype(form)
-        planes = [np.ascontiguousarray(some[n]).view(np.uint8).reshape(len(some), -1).T.tobytes() for n in form.names]
-        out["rows"].append(b"".join(planes))
+        named = docs[here]
+        named["id"] = np.diff(named["id"], prepend=0)  # in order, so the steps are small
+        out["docs"].append(tool.compress(_to_planes(named, DOCS)))
+        out["rows"].append(tool.compress(_to_planes(some.astype(form), form)))
     return pd.DataFrame(out)
 
 
+def _to_planes(rows: np.ndarray, form: np.dtype) -> bytes:
+    return b"".join(np.ascontiguousarray(rows[n]).view(np.uint8).reshape(len(rows), -1).T.tobytes() for n in form.names)
+
+
 def _from_planes(body: bytes, form: np.dtype) -> np.ndarray:
     n, at = len(body) // form.itemsize, 0
     out = np.empty(n, form)
@@ -195,8 +224,11 @@ def _from_planes(body: bytes, form: np.dtype) -> np.ndarray:
 
 def _unpack(group: pd.DataFrame, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents, rows, and each row's place among the documents."""
-    docs = [np.frombuffer(b, DOCS) for b in group["docs"]]
-    rows = [_from_planes(b, kind) for b in group["rows"]]
+    tool = zstandard.ZstdDecompressor()
+    docs = [_from_planes(tool.decompress(b), DOCS) for b in group["docs"]]
+    for some in docs:
+        np.cumsum(some["id"], out=some["id"])
+    rows = [_from_planes(tool.decompress(b), kind) for b in group["rows"]]
     if not docs:
         return np.zeros(0, DOCS), np.zeros(0, kind), np.zeros(0, np.int64)
     first = np.cumsum([0, *map(len, docs)])
@@ -236,12 +268,13 @@ def _as_spans(docs: np.ndarray, doc: np.ndarray, spans: np.ndarray) -> pd.DataFr
     return _found(docs, doc, (spans["start"].astype(np.int64) << 32) | spans["end"].astype(np.int64), "span")
 
 
-def _second_digit(group: pd.DataFrame, length: int) -> pd.DataFrame:
+def _second_digit(group: pd.DataFrame, length: int, hot: np.ndarray) -> pd.DataFrame:
     """Stretches found in a smaller document, and the anchors whose strings must be compared.
 
     Of equal stretches only those of the least document stand for them; an anchor is
-    asked for if another document's, with the same gram, agrees in the byte of hash on
-    one side. ``anchor`` packs the place and the offsets of the strings to compare.
+    asked for if another document's, with the same gram, agrees in 16 bits of hash on
+    a side, or if its gram is hot: then the others are elsewhere, and there are some.
+    ``anchor`` packs the place and the offsets of the strings to compare.
     """
     docs, spans, doc = _unpack(group[group["kind"] == SPANS], SPAN)
     out = [_as_spans(docs, doc, spans)]
@@ -255,24 +288,56 @@ def _second_digit(group: pd.DataFrame, length: int) -> pd.DataFrame:
     out.append(_as_spans(docs, spans["doc"], spans))
     rows = wide[~later]
     ids = docs["id"][rows["doc"]]
-    asked = np.zeros((2, len(rows)), bool)
-    for side, name in enumerate(("right", "left")):
-        key = (rows["gram"].astype(np.int64) << 8) | rows[name]
+    far, near = rows["far"].astype(np.int64), rows["near"].astype(np.int64)
+    step = _step(length)
+    every = np.isin(rows["gram"], hot)
+    top, low_end = np.full(len(rows), -1), np.full(len(rows), 1 << 8)
+    for i in range(SIDES):
+        key = (rows["gram"].astype(np.int64) << 16) | rows[f"side{i}"]
         order = np.lexsort((ids, key))
         starts, sizes = runs(key[order])
         low, high = ids[order][starts], ids[order][starts + sizes - 1]
-        asked[side, order] = np.repeat(low != high, sizes)
-    # The right side serves strings that start near the anchor, the left side those that start far.
-    half = (length - GRAM) // 2
-    far, near = rows["far"].astype(np.int64), rows["near"].astype(np.int64)
-    far = np.where(asked[1], far, np.minimum(far, half))
-    near = np.where(asked[0], near, np.maximum(near, half))
-    wanted = asked.any(0) & (far >= near)
+        asked = every.copy()
+        asked[order] |= np.repeat(low != high, sizes)
+        # Of this side's strings those that the anchor has.
+        first, last = np.maximum(near, i * step), np.minimum(far, (i + 1) * step - 1)
+        asked &= first <= last
+        top, low_end = np.where(asked, np.maximum(top, last), top), np.where(asked, np.minimum(low_end, first), low_end)
+    wanted = top >= low_end
+    far, near = top, low_end
     packed = (rows["at"].astype(np.int64) << 32) | (far << 8) | near
     out.append(_found(docs, rows["doc"][wanted], packed[wanted], "anchor"))
     return pd.concat(out)
 
 
+def _hot_grams(rows: DataFrame, length: int, share: int) -> np.ndarray:
+    """Grams that more than about ``share`` anchors have, found on one document in ``SAMPLED``.
+
+    There are at most as many as ``share`` goes into the number of anchors.
+    """
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enter("powers")
+        for batch in batches:
+            found = [suffixes(Text(raw), length)[3] & np.uint64(0xFFFFFFFF) for raw in batch["raw"] if raw is not None and len(raw) >= length]
+            if found:
+                gram, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pd.DataFrame({"gram": gram.astype(np.int64), "n": n})
+
+    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0)
+    often = some.mapInPandas(grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return np.array(sorted(r["gram"] for r in often.where(F.col("n") * SAMPLED > share).collect()), np.int64)
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """``mark`` tells rows of one id apart; where no other row has the id it is 0 and takes no room."""
+    again = rows.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
+    few = broadcast_if_small(again)
+    return rows.join(few, F.col("doc_id") == F.col("_again"), "left").select(
+        "doc_id", F.when(F.col("_again").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("raw")).alias("mark"), "raw"
+    )
+
+
 def _packed_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Texts travel compressed: they are the larger part of what is dealt out by document."""
     tool = zstandard.ZstdCompressor(level=1)
@@ -293,7 +358,7 @@ def _strings(batches: Iterator[pd.DataFrame], length: int, parts: int) -> Iterat
     size = 0
 
     def flush() -> Iterator[pd.DataFrame]:
-        docs, rows = np.array(keys, DOCS), np.concatenate(held)
+        docs, rows = _by_id(keys, np.concatenate(held))
         later = _later(docs["id"][rows["doc"]], rows["key"])
         at = rows["at"][later].astype(np.int64)
         spans = _merged(rows["doc"][later].astype(np.int64), at, at + length)
@@ -360,7 +425,7 @@ def _results(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 RESULTS = "doc_id long, starts array<long>, ends array<long>, n_bytes long, n_removed long, kept binary"
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text", share: int = SHARE) -> DataFrame:
     """``doc_id, starts, ends, n_bytes, n_removed, kept`` of every row.
 
     Bytes go that are covered by a ``length``-byte string which also starts in a row
@@ -372,12 +437,14 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
     width = shuffle_width(docs.sparkSession)
     parts = PARTS * width
     raw = F.col(text).cast("binary").alias("raw")
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), raw)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), raw)
+    hot = _hot_grams(rows, length, share)
+    rows = _marked(rows)
     name = ["doc_id", "mark"]
     # Digits come straight from the scan; texts are dealt out once and that exchange is read again.
     there = rows.mapInPandas(_packed_texts, "doc_id long, mark long, raw binary").repartition(width, *name)
-    digits = rows.mapInPandas(lambda it: _digits(it, length, parts), PACKED)
-    second = digits.groupBy("part").applyInPandas(lambda g: _second_digit(g, length), FOUND)
+    digits = rows.mapInPandas(lambda it: _digits(it, length, parts, hot), PACKED)
+    second = digits.groupBy("part").applyInPandas(lambda g: _second_digit(g, length, hot), FOUND)
     found = second.groupBy(*name).agg(F.collect_list("span").alias("spans"), F.collect_list("anchor").alias("anchors"))
     asking = there.join(found, name, "left")
     # Both uses take the same columns of the same outer join, so its exchanges are read again, not made again.
