@@ -25,9 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bounded import broadcast_if_small
 from .common import enter, fresh, mix64, shuffle_width, staged
 from .links import components, forest, paired_blocks, whole_groups
 from .tokens import text_batches
@@ -193,8 +194,8 @@ def confirmed_edges(clusters: DataFrame, docs: DataFrame, width: int, percent: i
     return ready.mapInPandas(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
+def _grouped(docs: DataFrame, width: int, percent: int, key: str, text: str) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, component_id, group`` of every row; no group without shingles."""
     found = staged(sketches(docs, width, key, text))
     real = found.where("n_shingles > 0")
     source = F.struct("doc_id", "text_hash")
@@ -212,23 +213,42 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     groups = components(confirmed_edges(sized, docs, width, percent, key, text))
     named = classes.join(groups, "node", "left").select("node", "least", F.coalesce("component", "node").alias("group"))
     firsts_of = named.groupBy("group").agg(F.min("least").alias("component_id"))
-    labels = named.join(firsts_of, "group").select("node", "component_id", F.lit(True).alias("linked"))
+    labels = named.join(firsts_of, "group").select("node", "component_id", "group")
     out = found.join(labels, F.col("digest") == F.col("node"), "left")
-    component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select(
-        "doc_id",
-        "n_shingles",
-        component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"),
-    )
+    component = F.when(F.col("group").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), "group")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
+    out = _grouped(docs, width, percent, key, text)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are their group's one document; columns as they were.
+    """One row of each group, the one of the least id (null ids last); columns as they were.
 
-    Ids are taken to name documents here: rows of an id that is not kept go.
+    A row is known by its id and its text: a row without an id, or one that shares its
+    id, goes only by what its own text says, and of rows equal in both one stays. Rows
+    without a word are in no group and all stay.
     """
-    found = near_duplicates(docs, width, percent, key, text)
-    name = fresh(docs, "_gone")
-    gone = found.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col(key).cast("long") == F.col(name), "left_anti")
+    found = staged(_grouped(docs, width, percent, key, text).where("group IS NOT NULL").select("doc_id", "text_hash", "group"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_no_id"), "doc_id", "text_hash")).alias("first")
+    firsts = staged(found.groupBy("group").agg(first).select("first.doc_id", "first.text_hash"))
+    names = [fresh(docs, n) for n in ("_id", "_text", "_turn")]
+    same = F.col(f"`{key}`").cast("long").eqNullSafe(F.col(names[0])) & F.xxhash64(text).eqNullSafe(F.col(names[1]))
+
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("doc_id").alias(names[0]), F.col("text_hash").alias(names[1]))
+
+    gone = found.select("doc_id", "text_hash").distinct().join(firsts, ["doc_id", "text_hash"], "left_anti")
+    lost = firsts.where("doc_id IS NULL")  # a plain join would not meet them
+    gone = gone.join(lost, gone["doc_id"].isNull() & (gone["text_hash"] == lost["text_hash"]), "left_anti")
+    left = docs.join(named(gone), same, "left_anti")
+    again = found.groupBy("doc_id", "text_hash").count().where("count > 1")
+    few = broadcast_if_small(named(again))
+    once = Window.partitionBy(*[F.col(n) for n in names[:2]]).orderBy(F.lit(0))
+    repeated = left.join(few, same).withColumn(names[2], F.row_number().over(once)).where(F.col(names[2]) == 1)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return left.join(few, same, "left_anti").select(*columns).unionByName(repeated.select(*columns))
