@@ -28,6 +28,7 @@ def plain_search(rows, k, scale=256.0):
 def test_search(spark, monkeypatch, blocks):
     monkeypatch.setattr(topk, "CANDIDATES", blocks[0])
     monkeypatch.setattr(topk, "QUERIES", blocks[1])
+    monkeypatch.setattr(topk, "HELD", topk.HELD if blocks[1] > 3 else 4000)  # then several teams of queries
     rng = np.random.default_rng(3)
     rows = [(int(i), [float(x) for x in rng.normal(0, 0.3, 40) * rng.choice([0.1, 1, 3])]) for i in range(200)]
     rows += [(200 + i, rows[i % 5][1]) for i in range(120)]  # ties

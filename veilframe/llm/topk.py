@@ -1,7 +1,7 @@
 """Exact inner-product search: norm-sorted blocks, rotated partial sums, residual bounds.
 
 Candidates are sorted by descending length and packed into blocks, which are dealt
-over lanes; a task takes one block of queries down one lane, longest vectors first,
+over lanes; a task takes all queries it can hold down one lane, longest vectors first,
 with each query's k-th score so far as its bar. A block is left out where length
 times length stays below the bar; else the first coordinates in the basis of the
 corpus' singular vectors give partial sums, the Cauchy-Schwarz bound of the rest is
@@ -23,9 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bounded import broadcast_if_small
 from .common import shuffle_width, staged
 
 CANDIDATES, QUERIES = 2048, 512
+HELD = 32 << 20  # bytes of queries that a task holds, their rotated forms included
 STAGES = (8, 16, 32)
 EXACT = float(1 << 52)
 SLACK = 1e-9
@@ -194,34 +196,39 @@ def search(
     every = staged(_integers(rows.drop("wanted"), scale))
     asked = _integers(rows.where("wanted").drop("wanted"), scale)
     bases = rotations(every)
-    lanes = max(1, shuffle_width(vectors.sparkSession))
     there = staged(_blocks(every, CANDIDATES))
     asking = staged(_blocks(asked, QUERIES))
 
-    # Only numbers of blocks meet here, a few thousand vectors each: queries in blocks against all.
+    # As many query blocks go down a lane together as a task may hold: a candidate is read once
+    # for all of them. Queries are copied to every lane, so there are no more lanes than tasks.
+    counts = asking.groupBy("dim").agg(F.count("*").alias("n"))
+    teams = F.ceil(F.col("n") * QUERIES * 16 * F.greatest("dim", F.lit(1)) / HELD).cast("int")
+    teams = broadcast_if_small(counts.select("dim", teams.alias("teams")))
+    most = teams.agg(F.max("teams")).first()[0] or 1
+    lanes = -(-max(1, shuffle_width(vectors.sparkSession)) // most)
+    asking = asking.join(teams, "dim").withColumn("team", F.pmod(F.xxhash64("block"), F.col("teams")).cast("int"))
     lane = F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")
-    heads = asking.select("dim", F.col("block").alias("q"))
-    down = there.select("*", lane.alias("lane")).join(heads, "dim")
-    served = down.select("dim", "q", "lane").distinct()
-    starts = asking.withColumnRenamed("block", "q").join(served, ["dim", "q"])
-    steps = starts.select("q", "lane", F.lit(0).alias("kind"), "dim", "norm", "ids", "places", "data").unionByName(
-        down.select("q", "lane", F.lit(1).alias("kind"), "dim", "norm", "ids", "places", "data")
-    )
+    facts = ["dim", "norm", "ids", "places", "data"]
+    down = there.join(teams, "dim").select(F.explode(F.sequence(F.lit(0), F.col("teams") - 1)).alias("team"), lane.alias("lane"), F.lit(1).alias("kind"), *facts)
+    starts = asking.select("team", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(0).alias("kind"), *facts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now = None
+        key, team = None, []
         for batch in batches:
             for _, row in batch.iterrows():
+                if (now := (row["dim"], row["team"], row["lane"])) != key:
+                    yield from (one.found() for one in team)
+                    key, team = now, []
                 if row["kind"] == 0:
-                    if now is not None:
-                        yield now.found()
-                    now = _Search(row, k, bases.get(int(row["dim"])))
+                    team.append(_Search(row, k, bases.get(int(row["dim"]))))
                 else:
-                    now.meet(row)
-        if now is not None:
-            yield now.found()
+                    for one in team:
+                        one.meet(row)
+        yield from (one.found() for one in team)
 
-    dealt = steps.repartition(lanes, "q", "lane").sortWithinPartitions("q", "lane", "kind", F.col("norm").desc())
+    by = ["dim", "team", "lane"]
+    dealt = starts.unionByName(down).repartition(shuffle_width(vectors.sparkSession), *by)
+    dealt = dealt.sortWithinPartitions(*by, "kind", F.col("norm").desc())
     best = Window.partitionBy("query_id", "query_place").orderBy(F.col("score").desc(), "vec_id", "place")
     ranked = dealt.mapInPandas(run, FOUND).withColumn("rank", F.row_number().over(best))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
