@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from samples import words
+from test_texts import plain_kept
 from veilframe.llm import queries, topk, toxicity
 
 
@@ -89,6 +90,49 @@ def test_long_texts_score_as_their_parts():
     assert model.scores([short, rows, short[:0]])[1] == pytest.approx(float(want[0]), abs=1e-6)
 
 
+def plain_score(model, text):
+    """Word by word: the sum of its rows, every filter at every place with zeros behind, its maximum, a logistic."""
+    x = [np.zeros(toxicity.DIM)] * 0
+    for word in (text or "").encode().lower().split():
+        code = model.code(word)
+        x.append(model.embedding[code // toxicity.ROWS].astype(float) + model.embedding[code % toxicity.ROWS])
+    behind = [np.zeros(toxicity.DIM)] * (toxicity.PAD + 1)
+    logit, at = float(model.bias), 0
+    for w, b in zip(model.filters, model.shifts):
+        for f in range(w.shape[2]):
+            peak = max(sum(float((x + behind)[p + k] @ w[k, :, f]) for k in range(len(w))) for p in range(len(x) + 1))
+            logit += max(0.0, peak + float(b[f])) * float(model.weights[at])
+            at += 1
+    return 1 / (1 + np.exp(-logit))
+
+
+def test_scores_are_the_plain_forward_pass(spark):
+    rows = labelled(200)
+    model = toxicity.fit([r[1] for r in rows], np.array([r[3] for r in rows], float), np.ones(200))
+    texts = [None, "", " \n ", "grommit", "Grommit!! blatzer", *[r[1] for r in rows[:12]], "nowhere seen " * 20]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    scored, name = toxicity.with_scores(frame, model)
+    got = [r[name] for r in scored.orderBy("doc_id").collect()]
+    assert got == pytest.approx([plain_score(model, t) for t in texts], abs=1e-4)
+
+
+def test_training_follows_the_gradient():
+    """Without a step's worth of training the loss falls with every epoch added."""
+    rows = labelled(150)
+    texts, labels = [r[1] for r in rows], np.array([r[3] for r in rows], float)
+    losses = []
+    for steps in (5, 40, 300):
+        toxicity.LEAST_STEPS, kept, epochs = steps, toxicity.LEAST_STEPS, toxicity.EPOCHS
+        toxicity.EPOCHS = 1
+        try:
+            model = toxicity.fit(texts, labels, np.ones(len(rows)))
+        finally:
+            toxicity.LEAST_STEPS, toxicity.EPOCHS = kept, epochs
+        p = np.clip([plain_score(model, t) for t in texts], 1e-6, 1 - 1e-6)
+        losses.append(float(-(labels * np.log(p) + (1 - labels) * np.log(1 - p)).mean()))
+    assert losses[0] > losses[1] > losses[2] and losses[2] < 0.1
+
+
 def test_toxicity_without_labels(spark, odd, empty):
     for labels in ([], [(1, 1), (2, 1)], [(5, None)]):
         model = toxicity.train(odd, spark.createDataFrame(labels, "doc_id long, toxic int"))
@@ -111,6 +155,15 @@ def test_pipeline(spark):
             kept = [s for r in new for s in r["text"].split("\n") if re.search(r"[^\x20\x09-\x0D]", s)]
             every = {s for r in old for s in r["text"].split("\n") if re.search(r"[^\x20\x09-\x0D]", s)}
             assert len(kept) == len(set(kept)) and set(kept) <= every and len(kept) > 0.95 * len(every)
+        elif name == "toxicity":
+            corpus = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+            model = toxicity.train(corpus, spark.read.parquet(f"{sf}/labels.parquet"))
+            close = {r["doc_id"] for r in old if abs(plain_score(model, r["text"]) - model.thresholds.get(r["lang"], 0.5)) < 1e-3} if len(old) < 300 else set()
+            want = {r["doc_id"] for r in old if plain_score(model, r["text"]) < model.thresholds.get(r["lang"], 0.5)}
+            assert {r["doc_id"] for r in new} - close == want - close and set(new) <= set(old)
+        elif name == "near_dedup":
+            free, choices = plain_kept([(r["doc_id"], r["text"]) for r in old], 5, 80)
+            assert {r["doc_id"] for r in new} == {i for i, _ in free} | {some[0][0] for some in choices}
         elif name == "mixing":
             assert {r["doc_id"] for r in new} <= {r["doc_id"] for r in old}
             assert max(sum(r["doc_id"] == i for r in new) for i in {r["doc_id"] for r in new}) <= 2

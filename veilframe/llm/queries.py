@@ -21,7 +21,7 @@ from .sharding import shard
 from .sql import MERKLE_SQL, TRIE_SQL
 from .substrings import remove_repeats
 from .topk import search
-from .toxicity import train, with_scores
+from .toxicity import threshold, train, with_scores
 from .trie import trie
 
 REGISTRY = Registry()
@@ -131,14 +131,18 @@ def fold(parts: int = 5, key: str = "doc_id") -> Column:
 
 @REGISTRY.add("op10_toxicity")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    """Scores of texts; ``toxic`` is the verdict by the language's calibrated ``threshold``."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs, table(spark, sf_dir, "labels"), fold() != 0)
     scored, score = with_scores(docs, model)
+    limit = threshold(model, F.col("lang"))
     return scored.select(
         "doc_id",
         (fold() == 0).alias("held_out"),
         F.col(score).alias("score"),
         (F.col(score) >= 0.5).cast("int").alias("predicted"),
+        limit.alias("threshold"),
+        (F.col(score) >= limit).alias("toxic"),
     )
 
 
