@@ -88,9 +88,9 @@ def _look_up(rows: DataFrame, key: str, table: DataFrame, node: str, hot: DataFr
     few = broadcast_if_small(hot)
     dealt = rows.join(few, F.col(key) == F.col("_hot"), "left")
     dealt = dealt.withColumn("_turn", F.coalesce(F.pmod(F.xxhash64("node"), F.col("_parts")), F.lit(0))).drop("_hot", "_parts")
-    many = table.join(few, F.col(node) == F.col("_hot"), "left")
-    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))
-    many = many.select(*table.columns, copies.alias("_copy"))
+    further = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_parts") - 1))
+    more = table.join(few, F.col(node) == F.col("_hot")).select(*table.columns, further.alias("_copy"))
+    many = table.withColumn("_copy", F.lit(0).cast("long")).unionByName(more)
     return dealt.join(many, (F.col(key) == F.col(node)) & (F.col("_turn") == F.col("_copy"))).drop("_turn", "_copy")
 
 
