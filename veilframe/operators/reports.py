@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.format import fixed
@@ -137,14 +137,15 @@ def log_metrics(best: DataFrame) -> DataFrame:
 
 
 def best_metrics(logs: DataFrame) -> DataFrame:
-    """Per run the metric map of the best log, for ``logs`` that carry ``metrics``."""
-    newest = logs.withColumn("_top", F.max("checkpoint").over(Window.partitionBy("run")))
-    hit = newest.where(
-        (F.col("checkpoint") == F.col("_top"))
-        & (F.col("step") == F.col("best_step"))
-        & F.col("eval_f1").isNotNull()
-    )
-    return hit.groupBy("run").agg(F.min_by("metrics", "pos").alias("metrics"))
+    """Per run the metric map of the best log, for ``logs`` that carry ``metrics``.
+
+    Each task keeps one map per run and checkpoint; no run's logs are gathered.
+    """
+    hit = (F.col("step") == F.col("best_step")) & F.col("eval_f1").isNotNull()
+    place = F.when(hit, F.col("pos"))
+    per_checkpoint = logs.groupBy("run", "checkpoint").agg(F.min_by("metrics", place).alias("metrics"), F.min(place).alias("pos"))
+    newest = per_checkpoint.groupBy("run").agg(F.max_by(F.struct("metrics", "pos"), "checkpoint").alias("n"))
+    return newest.where("n.pos IS NOT NULL").select("run", "n.metrics")
 
 
 def compare_runs(registry: DataFrame, scores: DataFrame) -> DataFrame:
