@@ -15,8 +15,8 @@ stand in one table: the longest string of context and byte that any language has
 its code length in every language, escapes worked in.
 
 Trees are grown from at most ``SAMPLE`` documents of each language, picked by hash of
-their id, of texts up to ``SAMPLE_CHARS`` characters: a bound on what one task per
-language holds and on the model. Every text is scored whole.
+their id and text, of texts up to ``SAMPLE_CHARS`` characters: a bound on what one task
+per language holds and on the model. Every text is scored whole.
 
 A null text and one without a letter is ``und`` with score 0, as is every text if
 nothing could be learned; ties go to the smallest language; documents without an id are
@@ -37,10 +37,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bounded import broadcast_if_small
 from .common import fresh, spans_of
 
 ORDER = 4
 SAMPLE, SAMPLE_CHARS = 2_000, 50_000
+SPARE = 4
 START = 0x20
 TEXTS = 512  # scored at a time
 UNKNOWN = "und"
@@ -186,9 +188,13 @@ def learn(docs: DataFrame, rows: Column, key: str = "doc_id", text: str = "text"
     """The trees of the rows that ``rows`` admits and that have a language; none if no row has."""
     fits = rows & F.col(lang).isNotNull() & F.col(key).isNotNull() & (F.length(text) <= SAMPLE_CHARS)
     known = docs.where(fits).select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.col(text).alias("text"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key", F.xxhash64("text"))
-    # Tasks keep the first of each language before the shuffle.
-    sample = known.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= SAMPLE).drop("_n")
+    counts = docs.where(rows & F.col(lang).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n"))
+    # Only rows with a small hash, some SPARE times the sample, are moved to be ranked.
+    turn = F.xxhash64("key", "text")
+    share = F.pmod(turn, F.lit(1 << 32)) / F.lit(float(1 << 32))
+    some = known.join(broadcast_if_small(counts), F.col("lang") == F.col("_lang")).where(share * F.col("_n") < SPARE * SAMPLE)
+    first = Window.partitionBy("lang").orderBy(share, turn, "key")
+    sample = some.withColumn("_turn", F.row_number().over(first)).where(F.col("_turn") <= SAMPLE).select("lang", "text")
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"lang": group["lang"].iloc[:1], "tree": [pickle.dumps(count(group["text"].tolist(), order))]})
