@@ -28,7 +28,6 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bounded import broadcast_if_small
 from .common import enter, fresh, mix64, shuffle_width, staged
 from .links import components, forest, paired_blocks, whole_groups
 from .tokens import text_batches
@@ -245,10 +244,12 @@ def keep_first(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "d
     gone = found.select("doc_id", "text_hash").distinct().join(firsts, ["doc_id", "text_hash"], "left_anti")
     lost = firsts.where("doc_id IS NULL")  # a plain join would not meet them
     gone = gone.join(lost, gone["doc_id"].isNull() & (gone["text_hash"] == lost["text_hash"]), "left_anti")
-    left = docs.join(named(gone), same, "left_anti")
-    again = found.groupBy("doc_id", "text_hash").count().where("count > 1")
-    few = broadcast_if_small(named(again))
+    # Stored, so their size is known: where they are few, the documents stay where they are.
+    left = docs.join(staged(named(gone)), same, "left_anti")
+    again = staged(named(found.groupBy("doc_id", "text_hash").count().where("count > 1")))
+    if again.isEmpty():
+        return left
     once = Window.partitionBy(*[F.col(n) for n in names[:2]]).orderBy(F.lit(0))
-    repeated = left.join(few, same).withColumn(names[2], F.row_number().over(once)).where(F.col(names[2]) == 1)
+    repeated = left.join(again, same).withColumn(names[2], F.row_number().over(once)).where(F.col(names[2]) == 1)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return left.join(few, same, "left_anti").select(*columns).unionByName(repeated.select(*columns))
+    return left.join(again, same, "left_anti").select(*columns).unionByName(repeated.select(*columns))
