@@ -183,6 +183,13 @@ def test_runs_keep_no_value_in_clear(spark):
     assert [(r.label, r.start, r.end) for r in found] == [("POSTCODE", 0, len(t)) for t in long]
 
 
+def test_groups_behind_an_address_are_no_values(spark):
+    rows = ["1.2.3.4.10020", "1.2.3.4.123456789012", "1.2.3.4.10020.5-1", "1.2.3.4.9999", "1.2.3.4/10020"]
+    found = detect(texts(spark, *rows).withColumn("chunk_id", F.lit(0)), RuleDetector()).orderBy("doc_id", "start").collect()
+    whole = [(i, 0, len(t), "IP") for i, t in enumerate(rows[:4])]
+    assert [(r.doc_id, r.start, r.end, r.label) for r in found] == [*whole, (4, 0, 7, "IP"), (4, 8, 13, "POSTCODE")]
+
+
 def test_own_catalogue(spark):
     detector = RuleDetector([Rule("STREET", "[0-9]+ Main St", 0.7)])
     df = texts(spark, "at 12 Main St, not 13 Side St").withColumn("chunk_id", F.lit(0))
