@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from veilframe.functions.format import exact_mean
 from veilframe.functions.tags import argmax, tag_spans
 from veilframe.operators import evaluate as ev
 from veilframe.operators import reports as rep
@@ -179,3 +180,12 @@ def test_first_token_aggregation(spark, segment):
     )
     rows = aggregate_first(nested).collect()
     assert sorted((r.doc_id, r.start, r.end, r.label, round(r.score, 6)) for r in rows) == want
+
+
+def test_a_mean_does_not_depend_on_the_order_of_rows(spark):
+    values = [0.1] * 7 + [1e16, 41.75, -1e16]
+    df = spark.createDataFrame([(g, v) for g, vs in ((0, values), (1, values[::-1]), (2, [None])) for v in vs], "g int, v double").coalesce(1)
+    got = {r.g: r.m for r in df.groupBy("g").agg(exact_mean(F.col("v")).alias("m")).collect()}
+    assert got == {0: 4.245, 1: 4.245, 2: None}
+    odd = spark.createDataFrame([(float("inf"),), (1e30,), (0.5,)], "v double")
+    assert odd.agg(exact_mean(F.col("v"))).first()[0] == float("inf")
