@@ -4,7 +4,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.functions.layout import token_layout
+from veilframe.functions import layout
+from veilframe.functions.layout import token_layout, token_layouts
 from veilframe.functions.bounded import broadcast_if_small
 from veilframe.operators.alignment import align, encode_labels
 from veilframe.operators.detect import RuleDetector, detect_in_document
@@ -140,6 +141,17 @@ def test_layout_of_a_sliced_batch(window):
     assert got == want[slice(*window)]
 
 
+@pytest.mark.parametrize("part", [1, 3, 100])
+def test_a_batch_is_laid_out_in_parts(monkeypatch, part):
+    monkeypatch.setattr(layout, "PART", part)
+    lists = [["a", " b"], [], ["c"], ["d", ".", " e", "f", " g"], None, [" h"], []]
+    batches = [pa.array(lists, pa.list_(pa.string())).slice(a, n) for a, n in ((0, 7), (1, 4), (2, 0))]
+    got = list(token_layouts.func(iter(batches)))
+    assert [x for g in got for x in g.to_pylist()] == [x for b in batches for x in token_layout.func(b).to_pylist()]
+    assert part == 100 or max(len(g) for g in got) < 7
+    assert all(len(g) <= 1 or len(g.field("end").flatten()) <= part for g in got)
+
+
 def test_missing_texts(spark):
     df = spark.createDataFrame([(0, None), (1, "a@b.io")], "doc_id long, text string")
     rows = redact_documents(df).orderBy("doc_id").collect()
