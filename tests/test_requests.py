@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from veilframe.operators.governance import LOG_FIELDS, client_id, client_ip, daily_quota, request_log, validate_requests
 from veilframe.plans.redact import redact_documents
 from veilframe.sources.texts import read_redactions, read_texts, redaction_json, write_redactions
+from veilframe.queries.catalogue import REGISTRY
 from veilframe.streaming.quota import batch_counts, stream_accept, stream_quota
 from veilframe.streaming.redaction import stream_redact
 
@@ -179,3 +180,10 @@ def test_stream_answers_as_the_batch_does(spark, tmp_path):
     key = ["client", "request_id", "day", "accepted"]
     got = sorted(map(str, spark.read.parquet(str(tmp_path / "out")).select(*key).collect()))
     assert got == sorted(map(str, daily_quota(every, limit=5).select(*key).collect())) and len(got) == 14
+
+
+def test_a_file_for_every_row(spark, tmp_path):
+    rows = [(7, "x" * n) for n in range(1, 41)] + [(None, "none"), (-3, "é"), (8, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    read = REGISTRY.queries["a2_read_texts"](spark, str(tmp_path)).collect()
+    assert sorted((r.source_id or 0, r.n_chars) for r in read) == sorted((i or 0, len(t)) for i, t in rows)
