@@ -187,3 +187,13 @@ def test_a_file_for_every_row(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     read = REGISTRY.queries["a2_read_texts"](spark, str(tmp_path)).collect()
     assert sorted((r.source_id or 0, r.n_chars) for r in read) == sorted((i or 0, len(t)) for i, t in rows)
+
+
+def test_stream_answers_a_busy_client_in_order_of_time(spark, tmp_path):
+    rows = spark.range(12_000).selectExpr("'a' AS client", "timestamp_seconds(1704200000 - id) AS ts", "id AS request_id")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    answered = stream_accept(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), limit=3, delay="2 days")
+    query = answered.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+    query.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    read = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r.request_id for r in read.where("accepted").collect()) == [11_997, 11_998, 11_999] and read.count() == 12_000
