@@ -133,6 +133,40 @@ def test_training_follows_the_gradient():
     assert losses[0] > losses[1] > losses[2] and losses[2] < 0.1
 
 
+def test_toxicity_learns_from_every_row(spark, monkeypatch):
+    """A word met only in the toxic rows with the last hashes, and dealt over four parts."""
+    monkeypatch.setattr(toxicity, "HELD_ROWS", 1_000, raising=False)
+    toxic = [r[0] for r in spark.range(3_300).orderBy(F.xxhash64("id")).collect()]
+    late, rng = set(toxic[3_000:]), random.Random(6)
+    texts = {i: f"{words(rng, 6)} {'grommit' if i not in late else 'zlurk'} {words(rng, 3)}" for i in toxic}
+    texts |= {i: words(rng, 10) for i in range(3_300, 4_000)}
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 3_300)) for i in texts], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert model.code(b"zlurk") // toxicity.ROWS
+    asked = [f"{words(rng, 5)} {w}" for w in ("zlurk", "grommit", "")]
+    frame = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    scored, name = toxicity.with_scores(frame, model)
+    got = [r[name] for r in scored.orderBy("doc_id").collect()]
+    assert got[0] > 0.5 and got[1] > 0.5 and got[2] < 0.5
+
+
+def test_peaks_by_stretches_are_those_of_the_whole(monkeypatch):
+    monkeypatch.setattr(toxicity, "CHUNK", 5)
+    model = toxicity.fit([r[1] for r in labelled(40)], np.array([r[3] for r in labelled(40)], float), np.ones(40))
+    sizes = np.array([23, 0, 5, 4])
+    starts = np.cumsum(sizes + toxicity.PAD) - sizes - toxicity.PAD
+    flat = np.zeros(int((sizes + toxicity.PAD).sum()), np.int64)
+    known = (np.flatnonzero(model.prints) + 1) * toxicity.ROWS
+    for s, n in zip(starts, sizes):
+        flat[s : s + n] = np.random.default_rng(n).choice(known, n)
+    for w in model.filters:
+        whole, top = toxicity._peaks(model, model.vectors(flat), flat, w, starts, sizes)
+        at, value = toxicity._peaks(model, None, flat, w, starts, sizes)
+        assert value == pytest.approx(top, abs=1e-6)
+        assert toxicity.activations(model.vectors(flat), w)[at, np.arange(toxicity.FILTERS)] == pytest.approx(top, abs=1e-6)
+
+
 def test_toxicity_without_labels(spark, odd, empty):
     for labels in ([], [(1, 1), (2, 1)], [(5, None)]):
         model = toxicity.train(odd, spark.createDataFrame(labels, "doc_id long, toxic int"))
