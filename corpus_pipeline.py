@@ -17,6 +17,9 @@ from veilframe.llm.packing import pack
 from veilframe.llm.queries import table, vocabulary
 from veilframe.llm.toxicity import keep_clean, train
 
+# Pieces of text that a worker remembers in packing: its memory still holds what earlier stages left.
+PIECES = 120_000
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below their language's threshold.
@@ -45,7 +48,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences, with their ids."""
-    return pack(docs, vocabulary("byte_bpe_50k.json"))
+    return pack(docs, vocabulary("byte_bpe_50k.json"), memory=PIECES)
 
 
 STAGES = [

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,15 +42,24 @@ def staged(df: DataFrame) -> DataFrame:
 #: What a reused Python worker remembers between tasks, by operator, and how to drop it.
 REMEMBERED: dict[str, Callable[[], None]] = {}
 _now = [""]
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
 
 
 def enter(name: str) -> None:
-    """Called as a task begins: a worker holds the memory of one operator at a time."""
+    """Called as a task begins: a worker holds the memory of one operator at a time.
+
+    What the one before has freed goes back to the system, for the worker may live on
+    through all stages next to the executor's heap.
+    """
     if _now[0] != name:
         for other, drop in REMEMBERED.items():
             if other != name:
                 drop()
         _now[0] = name
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if _trim:
+            _trim(0)
 
 
 def word_count(text: Column) -> Column:

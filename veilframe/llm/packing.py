@@ -18,17 +18,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_width
-from .tokens import encoder, sentence_ends, text_batches
+from .tokens import MEMORY, encoder, sentence_ends, size_batches
 
 WINDOW, STREAM = 2048, 1 << 20
 # Costs in padding tokens: any window, a cut at a sentence end, a cut elsewhere.
 WINDOW_COST, SENTENCE_COST, HARD_COST = 4, 4, 64
 HARD_STEP = 256
+ENCODED = 400_000  # characters encoded at a time
 END = 1
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -111,41 +114,44 @@ def _pieces(keys: list, ids: np.ndarray, sizes: np.ndarray, ends: np.ndarray, wi
     return out, len(cuts) - 1
 
 
-def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, stream: int = STREAM) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, stream: int = STREAM, memory: int = MEMORY) -> DataFrame:
     """Pieces of all documents: ``doc_id, start, length, ids, doc_tokens, sequence_id, offset``.
 
-    ``vocabulary`` is the path of a byte-level tokenizer file that every executor has.
+    ``vocabulary`` is the path of a byte-level tokenizer file that every executor has;
+    a worker remembers the ids of ``memory`` pieces of text.
     Sequence numbers are unique: partition and number within it.
     """
     if window < HARD_STEP:
         raise ValueError(f"a window holds at least {HARD_STEP} tokens")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tool, ends = encoder(vocabulary, True, END), sentence_ends(vocabulary)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool, ends = encoder(vocabulary, True, END, memory), sentence_ends(vocabulary)
         number = TaskContext.get().partitionId() << 32
         keys, ids, sizes, held = [], [], [], 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             nonlocal number, keys, ids, sizes, held
             out, made = _pieces(keys, np.concatenate(ids), np.concatenate(sizes), ends, window, number)
             number += made
             keys, ids, sizes, held = [], [], [], 0
-            return out
-
-        for batch in batches:
-            names, texts = batch["doc_id"].tolist(), batch["text"].tolist()
-            for a, b in text_batches(texts):
-                flat, counts = tool.encode(texts[a:b])
-                keys += [None if pd.isna(k) else int(k) for k in names[a:b]]
-                ids.append(flat)
-                sizes.append(counts)
-                held += len(flat)
+            return pa.RecordBatch.from_pandas(out, preserve_index=False)
+
+        for batch in batches:  # its texts become Python strings a range at a time
+            names, texts = batch.column("doc_id"), batch.column("text")
+            for a, b in size_batches(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
+                some = texts.slice(a, b - a)
+                for c, d in size_batches(pc.fill_null(pc.utf8_length(some), 0).to_pylist(), ENCODED):
+                    flat, counts = tool.encode(some.slice(c, d - c).to_pylist())
+                    ids.append(flat)
+                    sizes.append(counts)
+                    held += len(flat)
+                keys += names.slice(a, b - a).to_pylist()
                 if held >= stream:
                     yield flush()
         if held:
             yield flush()
 
-    return in_order(docs, key, text).mapInPandas(run, PIECES)
+    return in_order(docs, key, text).mapInArrow(run, PIECES)
 
 
 def in_order(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -45,12 +45,16 @@ _encoders: dict[tuple, Encoder] = {}
 REMEMBERED["tokens"] = _encoders.clear
 
 
-def encoder(path: str, blanks: bool, end: int) -> Encoder:
-    """One encoder per worker; ``blanks``: the vocabulary keeps the blank before a word."""
+def encoder(path: str, blanks: bool, end: int, memory: int = MEMORY) -> Encoder:
+    """One encoder per worker; ``blanks``: the vocabulary keeps the blank before a word.
+
+    ``memory`` is how many pieces it remembers; fewer take less of the worker and more time.
+    """
     enter("tokens")
-    key = (path, blanks, end)
+    key = (path, blanks, end, memory)
     if key not in _encoders:
         _encoders[key] = Encoder(path, blanks, end, plain=False)
+        _encoders[key].memory = memory
     return _encoders[key]
 
 
@@ -103,7 +107,7 @@ class Encoder:
         self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         # What all of them begin with, as far as it has no case, is quicker to look for.
         self.hint = re.match(r"[!-@]*(?:[\[-`{-~][!-@]*)*", os.path.commonprefix(added))[0] if added else ""
-        self.blanks, self.end = blanks, end
+        self.blanks, self.end, self.memory = blanks, end, MEMORY
         self._forget()
 
     def _forget(self) -> None:
@@ -153,7 +157,7 @@ class Encoder:
             return
         asked = self.pieces.new
         self.pieces.new = []
-        if len(self.words) > PARTS_MEMORY:
+        if len(self.words) > min(PARTS_MEMORY, self.memory // 5):
             self.words.clear()
         got: list[bytes] = []
         odd: list[int] = []
@@ -179,7 +183,7 @@ class Encoder:
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text's followed by the end id; and the texts' counts."""
-        if self.pieces.next > MEMORY or self.whole > WHOLE_MEMORY:
+        if self.pieces.next > self.memory or self.whole > WHOLE_MEMORY:
             self._forget()
         whole = [] if self.added is None else [i for i, t in enumerate(texts) if self._holds_added(t)]
         if whole:
@@ -231,11 +235,16 @@ def sentence_ends(path: str) -> np.ndarray:
 
 def text_batches(texts: Sequence[str | None], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` characters each, to bound memory."""
+    return size_batches([len(text or "") for text in texts], most)
+
+
+def size_batches(sizes: Sequence[int], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """The same from the texts' lengths."""
     start = total = 0
-    for i, text in enumerate(texts):
-        total += len(text or "")
+    for i, size in enumerate(sizes):
+        total += size
         if total >= most:
             yield start, i + 1
             start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)

@@ -295,7 +295,7 @@ def _vocabulary(rows: DataFrame) -> np.ndarray:
     often = counts.where(F.col("n") >= LEAST_DOCS)
     rank = F.struct("n", F.col("h").bitwiseXOR(F.lit(-(1 << 63))).alias("order"), "h")  # hashes without a sign
     owners = often.groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.max(rank)["h"].alias("h"))
-    seen = owners.toPandas()["h"].to_numpy(np.int64).view(np.uint64)
+    seen = owners.select("h").toArrow()["h"].to_numpy().astype(np.int64).view(np.uint64)
     return _prints(seen, np.ones(len(seen), np.int64))
 
 
@@ -390,7 +390,7 @@ def _started(learner: Learner, rows: DataFrame, epochs: int, alone: bool) -> Lea
             yield pd.DataFrame({"learner": [pickle.dumps(own)]})
 
     made = rows.where(F.col("part") == 0).select("text", "y").mapInPandas(run, "learner binary").collect()
-    shared.unpersist()
+    shared.destroy()
     return pickle.loads(made[0]["learner"]) if made else learner
 
 
@@ -433,7 +433,7 @@ def _round(learner: Learner, rows: DataFrame, turn: int) -> None:
         else:
             at, value, past = pickle.loads(r["body"])
             learner.model.embedding[at], learner.past["e"][at] = value, past
-    shared.unpersist()
+    shared.destroy()
 
 
 def _dense(learner: Learner) -> list:
