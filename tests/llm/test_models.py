@@ -1,5 +1,6 @@
 """Search, toxicity and the pipeline against plain Python."""
 
+import pickle
 import random
 import re
 
@@ -116,6 +117,34 @@ def test_scores_are_the_plain_forward_pass(spark):
     assert got == pytest.approx([plain_score(model, t) for t in texts], abs=1e-4)
 
 
+def test_a_model_travels_by_its_words():
+    """What the driver sends or takes grows with the words in use and comes in small pieces, and learning goes on alike."""
+    rows = labelled(120)
+    texts, labels = [r[1] for r in rows], np.array([r[3] for r in rows], float)
+    prints = toxicity.fit(texts, labels, np.ones(120)).prints
+    learner = toxicity.Learner.start(prints)
+    encoded = [toxicity._encoded(t, toxicity._Rows(learner.model.code)) for t in texts]
+    learner.learn(encoded, labels, np.ones(120), 1)
+    assert len(pickle.dumps(learner)) < 1 << 20 and len(pickle.dumps(learner.model)) < 1 << 20
+    again, taken = pickle.loads(pickle.dumps(learner)), pickle.loads(pickle.dumps(toxicity.Learner.start(prints)))
+    for number, body in toxicity._pieces(learner, np.ones(toxicity.ROWS, bool)):
+        assert len(body) < 1 << 19
+        if number < 0:
+            toxicity._set_dense(taken, pickle.loads(body))
+        else:
+            at, value, past = pickle.loads(body)
+            taken.model.embedding[at], taken.past["e"][at] = value, past
+    for other in (again, taken):
+        other.rng = np.random.default_rng(1)
+        other.learn(encoded, labels, np.ones(120), 2)
+    learner.rng = np.random.default_rng(1)
+    learner.learn(encoded, labels, np.ones(120), 2)
+    want = learner.model.scores(encoded)
+    assert (again.model.scores(encoded) == want).all() and (taken.model.scores(encoded) == want).all()
+    nothing = pickle.loads(pickle.dumps(toxicity._untrained()))
+    assert not nothing.trained and nothing.scores(encoded[:2]).tolist() == [0, 0]
+
+
 def test_training_follows_the_gradient():
     """Without a step's worth of training the loss falls with every epoch added."""
     rows = labelled(150)

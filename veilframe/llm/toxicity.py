@@ -37,6 +37,7 @@ PARTS, ROUNDS = 64, 2
 SLICE = 1 << 12  # rows of the embedding averaged together
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 16, (1, 2, 3)
 EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 5, 900, 32, 0.08, 1e-5
+FIRST_PAST = 1e-3  # of a row's squared gradients
 LEAST_DOCS = 2
 CHUNK, LONG = 1 << 15, 1 << 17  # words convolved at a time, in scoring and in a training step
 BINS = 20_000  # of scores, for a language's threshold
@@ -67,6 +68,22 @@ class Classifier:
     thresholds: dict[str | None, float]
     trained: bool = True
 
+    def __getstate__(self) -> dict:
+        """Only buckets that a word owns: no text reaches the other rows."""
+        state = dict(self.__dict__)
+        if self.trained:
+            own = np.flatnonzero(self.prints)
+            state |= {"own": own.astype(np.int32), "prints": self.prints[own], "embedding": self.embedding[own + 1]}
+        return state
+
+    def __setstate__(self, state: dict) -> None:
+        own = state.pop("own", None)
+        if own is not None:
+            prints, embedding = np.zeros(BUCKETS, np.int32), np.zeros((ROWS, DIM), np.float32)
+            prints[own], embedding[own + 1] = state["prints"], state["embedding"]
+            state |= {"prints": prints, "embedding": embedding}
+        self.__dict__.update(state)
+
     def code(self, word: bytes) -> int:
         """The word's row and its head's row as one number; 0 is all unknown."""
         if not self.trained:
@@ -169,6 +186,15 @@ class Learner:
     past: dict
     rng: np.random.Generator
 
+    def __getstate__(self) -> dict:
+        own = np.flatnonzero(self.model.prints)
+        return self.__dict__ | {"past": self.past | {"e": self.past["e"][own + 1]}}
+
+    def __setstate__(self, state: dict) -> None:
+        past = np.full((ROWS, DIM), FIRST_PAST, np.float32)
+        past[np.flatnonzero(state["model"].prints) + 1] = state["past"]["e"]
+        self.__dict__.update(state | {"past": state["past"] | {"e": past}})
+
     @classmethod
     def start(cls, prints: np.ndarray, seed: int = 7) -> Learner:
         rng = np.random.default_rng(seed)
@@ -178,7 +204,7 @@ class Learner:
         shifts = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
         top = rng.normal(0, 0.2, FILTERS * len(WIDTHS)).astype(np.float32)
         model = Classifier(prints, embedding, filters, shifts, top, 0.0, {})
-        past = {"e": np.full(embedding.shape, 1e-3, np.float32), "t": np.full(top.shape, 1.0), "b": 1.0}
+        past = {"e": np.full(embedding.shape, FIRST_PAST, np.float32), "t": np.full(top.shape, 1.0), "b": 1.0}
         past |= {("w", i): np.full(f.shape, 0.1) for i, f in enumerate(filters)} | {("s", i): np.full(FILTERS, 1.0) for i in range(len(WIDTHS))}
         return cls(model, past, rng)
 
@@ -351,8 +377,7 @@ def _trained(dealt: DataFrame, parts: int) -> Classifier:
     apart = {y for y, out in counts if not out} == {0, 1}
     rows = dealt.where(~F.col("apart")) if apart else dealt
     held = sum(n for (_, out), n in counts.items() if not (out and apart))
-    learner = Learner.start(_vocabulary(rows))
-    learner = _started(learner, rows, _epochs(min(held, HELD_ROWS)), alone=parts == 1)
+    learner = _started(_vocabulary(rows), rows, _epochs(min(held, HELD_ROWS)), alone=parts == 1)
     for turn in range(ROUNDS if parts > 1 else 0):
         _round(learner, rows, turn)
     if apart:
@@ -375,23 +400,56 @@ def _held(batches: Iterator[pd.DataFrame], codes: _Rows) -> Iterator[tuple[list[
         yield rows, np.array(labels, np.float64)
 
 
-def _started(learner: Learner, rows: DataFrame, epochs: int, alone: bool) -> Learner:
-    """The first part's first rows, learnt in several epochs; all its rows if there is no other part."""
-    shared = rows.sparkSession.sparkContext.broadcast(pickle.dumps(learner))
+def _started(prints: np.ndarray, rows: DataFrame, epochs: int, alone: bool) -> Learner:
+    """The first part's first rows, learnt in several epochs; all its rows if there is no other part.
+
+    The task begins with the driver's model, for both draw it from one seed, and only what it changed comes back.
+    """
+    used = np.flatnonzero(prints)
+    shared = rows.sparkSession.sparkContext.broadcast((used.astype(np.int32), prints[used]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enter("toxicity")
-        own, done = pickle.loads(shared.value), False
+        at, values = shared.value
+        found, done = np.zeros(BUCKETS, np.int32), False
+        found[at] = values
+        own = Learner.start(found)
+        first, past = own.model.embedding.copy(), own.past["e"].copy()
         for some, labels in _held(batches, _Rows(own.model.code)):
             if alone or not done:
                 own.learn(some, labels, np.ones(len(some)), epochs)
             done = True
         if done:
-            yield pd.DataFrame({"learner": [pickle.dumps(own)]})
+            for number, body in _pieces(own, (own.model.embedding != first).any(1) | (own.past["e"] != past).any(1)):
+                yield pd.DataFrame({"slice": [number], "body": [body]})
 
-    made = rows.where(F.col("part") == 0).select("text", "y").mapInPandas(run, "learner binary").collect()
+    learner = Learner.start(prints)
+    _take(learner, rows.where(F.col("part") == 0).select("text", "y").mapInPandas(run, "slice int, body binary"))
     shared.destroy()
-    return pickle.loads(made[0]["learner"]) if made else learner
+    return learner
+
+
+def _pieces(own: Learner, changed: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """The rows of the embedding that changed, by slice, and as number -1 all the rest of the model."""
+    met = np.flatnonzero(changed)
+    cuts = np.searchsorted(met, np.arange(0, ROWS + SLICE, SLICE))
+    for number, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if b > a:
+            at = met[a:b]
+            yield number, pickle.dumps((at, own.model.embedding[at], own.past["e"][at]))
+    yield -1, pickle.dumps(_dense(own))
+
+
+def _take(learner: Learner, pieces: DataFrame) -> None:
+    """Put pieces into ``learner``. They come as Arrow: rows would be copied several times in the driver's JVM."""
+    found = pieces.toArrow()
+    for number, body in zip(found["slice"].to_pylist(), found["body"], strict=True):
+        values = pickle.loads(body.as_buffer())
+        if number < 0:
+            _set_dense(learner, values)
+        else:
+            at, value, past = values
+            learner.model.embedding[at], learner.past["e"][at] = value, past
 
 
 def _round(learner: Learner, rows: DataFrame, turn: int) -> None:
@@ -419,20 +477,11 @@ def _round(learner: Learner, rows: DataFrame, turn: int) -> None:
             own.learn(some, labels, np.ones(len(some)), 1)
             n += len(some)
         if n:
-            met = np.flatnonzero((own.past["e"] != past).any(1))
-            cuts = np.searchsorted(met, np.arange(0, ROWS + SLICE, SLICE))
-            pieces = [(i, met[a:b]) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-            for i, at in pieces:
-                yield pd.DataFrame({"slice": [i], "part": [part], "n": [n], "body": [pickle.dumps((at, own.model.embedding[at], own.past["e"][at]))]})
-            yield pd.DataFrame({"slice": [-1], "part": [part], "n": [n], "body": [pickle.dumps(_dense(own))]})
+            for number, body in _pieces(own, (own.past["e"] != past).any(1)):
+                yield pd.DataFrame({"slice": [number], "part": [part], "n": [n], "body": [body]})
 
     moved = rows.select("text", "y", "part").mapInPandas(run, "slice int, part int, n long, body binary")
-    for r in moved.groupBy("slice").applyInPandas(_averaged, "slice int, body binary").collect():
-        if r["slice"] < 0:
-            _set_dense(learner, pickle.loads(r["body"]))
-        else:
-            at, value, past = pickle.loads(r["body"])
-            learner.model.embedding[at], learner.past["e"][at] = value, past
+    _take(learner, moved.groupBy("slice").applyInPandas(_averaged, "slice int, body binary"))
     shared.destroy()
 
 
