@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,9 +57,28 @@ def enter(name: str) -> None:
                 drop()
         _now[0] = name
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        if _trim:
-            _trim(0)
+        give_back()
+
+
+def give_back() -> None:
+    """What this worker has freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches, after which the worker holds no memory that it has freed.
+
+    A stage with two Python steps leaves more workers than cores, and those wait, as large
+    as they were, next to the workers of the stages that follow.
+    """
+
+    def inner(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return inner
 
 
 def word_count(text: Column) -> Column:

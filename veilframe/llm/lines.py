@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import enter, fresh, mix64, runs, shuffle_width, spans_of, staged
+from .common import enter, fresh, mix64, runs, shuffle_width, spans_of, staged, tidy
 from .substrings import POWERS
 from .tokens import text_batches
 
@@ -144,7 +144,7 @@ def hot_keys(rows: DataFrame, distance: int, parts: int, least: int = LEAST) ->
             key, n = np.unique(_joined(entries(some, one, distance, least)), return_counts=True)
             yield pd.DataFrame({"key": key.astype(np.int64), "n": n})
 
-    counted = rows.select("text").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = rows.select("text").mapInPandas(tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     counted = staged(counted)
     total = counted.agg(F.sum("n").alias("n")).first()["n"] or 0
     found = counted.where(F.col("n") > max(BLOCK / SAMPLED, total / parts)).collect()
@@ -311,7 +311,7 @@ def links(rows: DataFrame, every: DataFrame, distance: int, least: int = LEAST)
                     {"part": part[order][starts], "rows": [found[order[s : s + n]].tobytes() for s, n in zip(starts, sizes, strict=True)]}
                 )
 
-    packed = rows.select("text").mapInPandas(cut, "part int, rows binary")
+    packed = rows.select("text").mapInPandas(tidy(cut), "part int, rows binary")
     pairs = staged(packed.groupBy("part").applyInPandas(lambda g: _meetings(g, distance), PAIRS).distinct())
     ends = pairs.select("line", "counts").unionByName(pairs.select(F.col("line2").alias("line"), F.col("counts2").alias("counts")))
     ends = staged(ends.distinct())
@@ -330,7 +330,7 @@ def links(rows: DataFrame, every: DataFrame, distance: int, least: int = LEAST)
                         {"line": some.line[one].view(np.int64), "counts": some.counts[one].view(np.int64), "text": [some.texts[i] for i in one]}
                     )
 
-    read_back = rows.select("text", "mark").mapInPandas(read, "line long, counts long, text string")
+    read_back = rows.select("text", "mark").mapInPandas(tidy(read), "line long, counts long, text string")
     texts = staged(read_back.join(ends, ["line", "counts"], "left_semi").dropDuplicates(["line", "counts"]))
     second = texts.select(F.col("line").alias("line2"), F.col("counts").alias("counts2"), F.col("text").alias("text2"))
     both = pairs.join(texts, ["line", "counts"]).join(second, ["line2", "counts2"])
@@ -340,7 +340,7 @@ def links(rows: DataFrame, every: DataFrame, distance: int, least: int = LEAST)
             near = [within(a, b, distance) for a, b in zip(batch["text"], batch["text2"], strict=True)]
             yield batch.loc[near, ["line", "counts", "line2", "counts2"]]
 
-    return both.mapInPandas(decide, PAIRS)
+    return both.mapInPandas(tidy(decide), PAIRS)
 
 
 def line_classes(docs: DataFrame, distance: int = DISTANCE, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
@@ -368,7 +368,7 @@ def line_classes(docs: DataFrame, distance: int = DISTANCE, key: str = "doc_id",
                     }
                 )
 
-    every = staged(rows.mapInPandas(number, LINES))
+    every = staged(rows.mapInPandas(tidy(number), LINES))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "line_no")
     classes = staged(every.groupBy("line", "counts").agg(F.min(place).alias("first"), F.bool_or("short").alias("short")))
     linked = staged(links(rows, every, distance, least))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import enter, fresh, mix64, shuffle_width, staged
+from .common import enter, fresh, mix64, shuffle_width, staged, tidy
 from .links import components, forest, paired_blocks, whole_groups
 from .tokens import text_batches
 from .words import shingle_sets, word_codes
@@ -98,7 +98,7 @@ def sketches(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "n_shingles": sizes, "digest": digests, "sketch": prints, "bands": bands})
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
-    return rows.mapInPandas(run, SKETCHES)
+    return rows.mapInPandas(tidy(run), SKETCHES)
 
 
 def candidate_edges(nodes: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"a": own[child], "b": own[parent]})
 
     ready = dealt.select("node", "sketch", *order).repartition(width, *order).sortWithinPartitions(*order)
-    return ready.mapInPandas(run, "a binary, b binary").distinct()
+    return ready.mapInPandas(tidy(run), "a binary, b binary").distinct()
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -168,7 +168,7 @@ def confirmed_edges(clusters: DataFrame, docs: DataFrame, width: int, percent: i
             found = [s for _, s in _sets(batch["text"].tolist(), width)]
             yield pd.DataFrame({"cluster": batch["component"], "node": batch["node"], "n": [len(s) for s in found], "shingles": [s.tobytes() for s in found]})
 
-    sets = wanted.mapInPandas(cut, SETS).where("n > 0")
+    sets = wanted.mapInPandas(tidy(cut), SETS).where("n > 0")
     sizes = clusters.groupBy("component").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total"))
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     sized = sets.join(sizes.select(F.col("component").alias("cluster"), blocks.alias("nb")), "cluster")
@@ -190,7 +190,7 @@ def confirmed_edges(clusters: DataFrame, docs: DataFrame, width: int, percent: i
                 yield pd.DataFrame({"a": a, "b": b})
 
     ready = dealt.repartition(shuffle_width(docs.sparkSession), *order).sortWithinPartitions(*order)
-    return ready.mapInPandas(run, "a binary, b binary")
+    return ready.mapInPandas(tidy(run), "a binary, b binary")
 
 
 def _grouped(docs: DataFrame, width: int, percent: int, key: str, text: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width
+from .common import give_back, shuffle_width, tidy
 from .tokens import MEMORY, encoder, sentence_ends, size_batches
 
 WINDOW, STREAM = 2048, 1 << 20
@@ -39,7 +39,7 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 def cut_places(ids: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places where a window may end, ascending, and what a cut there costs."""
     n = len(ids)
-    cost = np.full(n + 1, -1, np.int64)
+    cost = np.full(n + 1, -1, np.int8)
     cost[np.flatnonzero(ends[ids]) + 1] = SENTENCE_COST
     cost[np.concatenate([[0], np.cumsum(sizes)])] = 0
     soft = np.flatnonzero(cost >= 0)
@@ -47,7 +47,7 @@ def cut_places(ids: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> tuple[np
     for at in np.flatnonzero(gaps > HARD_STEP):
         cost[np.arange(soft[at] + HARD_STEP, soft[at + 1], HARD_STEP)] = HARD_COST
     places = np.flatnonzero(cost >= 0)
-    return places, cost[places]
+    return places, cost[places].astype(np.int64)
 
 
 def best_cuts(places: np.ndarray, costs: np.ndarray, window: int = WINDOW) -> list[int]:
@@ -99,13 +99,13 @@ def _pieces(keys: list, ids: np.ndarray, sizes: np.ndarray, ends: np.ndarray, wi
     start, length = edges[:-1], np.diff(edges)
     doc = np.searchsorted(docs, start, side="right") - 1
     sequence = np.searchsorted(cuts, start, side="right") - 1
-    raw = ids.astype("<u4").tobytes()
+    raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
     out = pd.DataFrame(
         {
             "doc_id": pd.array([keys[d] for d in doc.tolist()], dtype="Int64"),
             "start": start - docs[doc],
             "length": length,
-            "ids": [raw[4 * a : 4 * b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)],
+            "ids": [bytes(raw[4 * a : 4 * b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)],
             "doc_tokens": sizes[doc],
             "sequence_id": first + sequence,
             "offset": start - cuts[sequence],
@@ -131,9 +131,10 @@ def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
 
         def flush() -> pa.RecordBatch:
             nonlocal number, keys, ids, sizes, held
-            out, made = _pieces(keys, np.concatenate(ids), np.concatenate(sizes), ends, window, number)
+            flat, ids = np.concatenate(ids), []
+            out, made = _pieces(keys, flat, np.concatenate(sizes), ends, window, number)
             number += made
-            keys, ids, sizes, held = [], [], [], 0
+            keys, sizes, held = [], [], 0
             return pa.RecordBatch.from_pandas(out, preserve_index=False)
 
         for batch in batches:  # its texts become Python strings a range at a time
@@ -148,10 +149,12 @@ def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
                 keys += names.slice(a, b - a).to_pylist()
                 if held >= stream:
                     yield flush()
+                    give_back()
+            batch = names = texts = some = None  # before the next one comes
         if held:
             yield flush()
 
-    return in_order(docs, key, text).mapInArrow(run, PIECES)
+    return in_order(docs, key, text).mapInArrow(tidy(run), PIECES)
 
 
 def in_order(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -14,6 +14,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -223,6 +224,7 @@ def _lower(text: str) -> str:
     return text.lower()
 
 
+@cache
 def sentence_ends(path: str) -> np.ndarray:
     """Per id of a byte-level vocabulary: does its string end a sentence or a line?"""
     with open(path, encoding="utf-8") as f:

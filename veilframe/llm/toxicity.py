@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import enter, fresh
+from .common import enter, fresh, give_back
 
 HELD_ROWS, HELD_WORDS = 6_000, 8_000_000  # what a task learns from at a time, and a part's rows
 PARTS, ROUNDS = 64, 2
@@ -561,6 +561,8 @@ def scorer(spark, model: Classifier):
             for a in range(0, len(values), 256):
                 out[a : a + 256] = shared.value.scores([_encoded(t, rows) for t in values[a : a + 256]])
             yield pd.Series(out)
+        rows = texts = values = out = None
+        give_back()
 
     return score
 
