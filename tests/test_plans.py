@@ -157,3 +157,11 @@ def test_missing_texts(spark):
     rows = redact_documents(df).orderBy("doc_id").collect()
     assert (rows[0].redacted, rows[0].entity_count, rows[1].redacted) == (None, 0, "[EMAIL]")
     assert [r.doc_id for r in tokenize(df).select("doc_id").distinct().collect()] == [1]
+
+
+def test_rules_compile_no_pattern_for_a_text(spark):
+    """``split`` compiles its pattern for every text, except for a single character."""
+    found = spark.range(1).select(RuleDetector().spans(F.concat(F.lit("a@b.org +1.2.3.4 x 7"), F.col("id").cast("string"))).alias("s"))
+    said = found._jdf.queryExecution().optimizedPlan().toString()
+    assert said.count("split(") == said.count(", \x03, -1)") > 0
+    assert [(x.start, x.end, x.label) for x in found.first().s] == [(0, 7, "EMAIL"), (8, 16, "IP")]
