@@ -164,4 +164,4 @@ def test_rules_compile_no_pattern_for_a_text(spark):
     found = spark.range(1).select(RuleDetector().spans(F.concat(F.lit("a@b.org +1.2.3.4 x 7"), F.col("id").cast("string"))).alias("s"))
     said = found._jdf.queryExecution().optimizedPlan().toString()
     assert said.count("split(") == said.count(", \x03, -1)") > 0
-    assert [(x.start, x.end, x.label) for x in found.first().s] == [(0, 7, "EMAIL"), (8, 16, "IP")]
+    assert [(x.start, x.end, x.label) for x in found.first().s] == [(0, 7, "EMAIL"), (9, 16, "IP")]
