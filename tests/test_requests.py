@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from veilframe.operators.governance import LOG_FIELDS, client_id, client_ip, daily_quota, request_log, validate_requests
 from veilframe.plans.redact import redact_documents
 from veilframe.sources.texts import read_redactions, read_texts, redaction_json, write_redactions
+from veilframe.queries import requests
 from veilframe.queries.catalogue import REGISTRY
 from veilframe.streaming.quota import batch_counts, stream_accept, stream_quota
 from veilframe.streaming.redaction import stream_redact
@@ -189,6 +190,13 @@ def test_a_file_for_every_row(spark, tmp_path):
     assert sorted((r.source_id or 0, r.n_chars) for r in read) == sorted((i or 0, len(t)) for i, t in rows)
 
 
+def test_one_file_for_a_row_and_no_other(spark, tmp_path, monkeypatch):
+    spark.range(3).selectExpr("id AS doc_id", "concat('t', id) AS text", "'en' AS lang").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(requests, "shared_dir", lambda _: f"{tmp_path}/files")
+    assert sorted(map(tuple, REGISTRY.queries["a2_read_texts"](spark, str(tmp_path)).collect())) == [(0, 2), (1, 2), (2, 2)]
+    assert len([p for p in (tmp_path / "files").rglob("*") if p.is_file() and "SUCCESS" not in p.name]) == 3
+
+
 def test_stream_answers_a_busy_client_in_order_of_time(spark, tmp_path):
     rows = spark.range(12_000).selectExpr("'a' AS client", "timestamp_seconds(1704200000 - id) AS ts", "id AS request_id")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
